@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from parchment.llm import quality
+from parchment.llm import line_dedup, mixing, quality, simhash
 
-MODULES = (quality,)
+MODULES = (line_dedup, mixing, simhash, quality)
 
 
 def queries() -> dict[str, Callable]:
