@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from parchment.llm import bpe, line_dedup, mixing, quality, simhash
+from parchment.llm import bpe, line_dedup, mixing, quality, simhash, toxicity
 
-MODULES = (line_dedup, bpe, mixing, simhash, quality)
+MODULES = (line_dedup, bpe, toxicity, mixing, simhash, quality)
 
 
 def queries() -> dict[str, Callable]:
