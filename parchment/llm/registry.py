@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from parchment.llm import bpe, licenses, line_dedup, mixing, quality, simhash, toxicity
+from parchment.llm import bpe, licenses, line_dedup, mixing, quality, simhash, topk, toxicity
 
-MODULES = (line_dedup, bpe, toxicity, mixing, simhash, licenses, quality)
+MODULES = (line_dedup, bpe, toxicity, mixing, simhash, topk, licenses, quality)
 
 
 def queries() -> dict[str, Callable]:
