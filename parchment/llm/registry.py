@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from parchment.llm import bpe, licenses, line_dedup, mixing, quality, simhash, suffix_tree, topk, toxicity
+from parchment.llm import bpe, licenses, line_dedup, mixing, quality, simhash, suffix_tree, topk, toxicity, wrappers
 
-MODULES = (line_dedup, bpe, suffix_tree, toxicity, mixing, simhash, topk, licenses, quality)
+MODULES = (line_dedup, bpe, suffix_tree, toxicity, mixing, simhash, topk, licenses, wrappers, quality)
 
 
 def queries() -> dict[str, Callable]:
