@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of a text, as the query contracts define them, for Java regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,7 +63,6 @@ def map_texts(
     schema: str,
     keep: Iterable[str],
     rows: int = 256,
-    dense: bool = True,
 ) -> DataFrame:
     """Map Arrow batches of whole texts.
 
@@ -72,7 +72,7 @@ def map_texts(
     """
     keep = list(keep)
     source = df.select(*keep, F.col(text_col).alias("__text"))
-    types = ", ".join(f"`{c}` {id_type(source, c)}" for c in keep)
+    out = StructType([source.schema[c] for c in keep] + StructType.fromDDL(schema).fields)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -85,4 +85,4 @@ def map_texts(
                 columns = {c: part.column(i) for i, c in enumerate(keep)} | made
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return source.mapInArrow(run, f"{types}, {schema}" if types else schema)
+    return source.mapInArrow(run, out)
