@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = "semantic_top5"
+from parchment.plans import text_queries
+
+MODULES = (text_queries,)
+FLAGSHIP = "text_sentences"
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
