@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from parchment.plans import text_queries
+from parchment.plans import text_queries, vector_queries
 
-MODULES = (text_queries,)
-FLAGSHIP = "text_sentences"
+MODULES = (text_queries, vector_queries)
+FLAGSHIP = "semantic_top5"
 
 
 def queries() -> dict[str, Callable]:
