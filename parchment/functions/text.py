@@ -227,3 +227,40 @@ def page_set(c: Column) -> Column:
     ends = F.transform(parts, lambda x: F.transform(F.split(x, "-"), lambda y: F.trim(y).cast("int")))
     ranges = F.transform(F.filter(ends, lambda e: F.element_at(e, 1) <= F.element_at(e, -1)), lambda e: F.sequence(F.element_at(e, 1), F.element_at(e, -1)))
     return F.array_sort(F.array_distinct(F.flatten(ranges)))
+
+
+def is_structural(c: Column) -> Column:
+    """Headings, quotes, table rows and list items."""
+    return c.startswith("#") | c.startswith(">") | c.startswith("|") | c.startswith("- ") | c.startswith("* ")
+
+
+#: What a number with a unit may look like, and openings of legal notes.
+VALUE = (
+    r"(?i)^[+-]?\d[\d,./]*(?:\s*(?:%|%p|bp|억원|천원|만원|조원|원|주|배|x)?)"
+    r"(?:\s+\d[\d,./]*(?:\s*(?:억원|천원|만원|조원|원|주|배|x)?)?)*$"
+)
+LEGAL_OPENINGS = ("forward-looking statements", "important notice", "notice:", "disclaimer:")
+LEAST_NOTE = 24
+
+
+def is_value(c: Column) -> Column:
+    c = strip(c)
+    plain = (F.length(c) <= 32) & ~is_structural(c) & (~c.contains(":") | c.rlike("^[1-4]Q"))
+    return (c != "") & plain & (is_period(c) | (~c.rlike(r"[.!?]{2,}") & c.rlike(VALUE)))
+
+
+def is_title(c: Column) -> Column:
+    """At most ten words and 80 characters, without punctuation of sentences."""
+    words = F.size(F.regexp_extract_all(c, F.lit("[A-Za-z]+|[가-힣]+|\\d+"), F.lit(0)))
+    return words.between(1, 10) & (F.length(c) <= 80) & ~c.rlike("[.!?,;:]")
+
+
+def is_legal_note(c: Column) -> Column:
+    """Long lines that may repeat anywhere on a page: legal notes, or eight words and more."""
+    c = collapse(c)
+    legal = c.rlike(COPYRIGHT) | c.rlike(DISCLAIMER) | c.rlike(WATERMARK)
+    opening = F.lit(False)
+    for x in LEGAL_OPENINGS:
+        opening = opening | F.lower(c).startswith(x)
+    wordy = (F.size(F.regexp_extract_all(c, F.lit("[A-Za-z가-힣]{2,}"), F.lit(0))) >= 8) & ~is_structural(c)
+    return (F.length(c) >= LEAST_NOTE) & (legal | opening | wordy)
