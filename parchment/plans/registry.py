@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from parchment.plans import page_queries, text_queries, vector_queries
+from parchment.plans import page_queries, table_queries, text_queries, vector_queries
 
-MODULES = (text_queries, page_queries, vector_queries)
+MODULES = (text_queries, page_queries, table_queries, vector_queries)
 FLAGSHIP = "semantic_top5"
 
 
