@@ -76,7 +76,7 @@ def table_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTEXTS = [
     (1, 1, "손익계산서 요약", "단위: 백만원", 5, 4, "Margin/1Q25/12%;Margin/2Q25/−3;Revenue/1Q25/1,200;Revenue/2Q25/1,350.5"),
     (2, 1, "text", "", 3, 3, ""),
-    (4, 1, "Near line", "", 4, 3, "Users/FY2023/10"),
+    (4, 1, "Near line", "", 4, 3, ""),
     (6, 1, "Sales table", "", 2, 3, "Net/'24YTD/+1.5;Net/하반기/7"),
 ]
 TABLE_CONTEXTS = f"SELECT page_number::INT AS page_number, table_index::INT AS table_index, title, unit, n_rows::INT AS n_rows, width::INT AS width, facts FROM (VALUES {values(CONTEXTS)}) AS v(page_number, table_index, title, unit, n_rows, width, facts)"
@@ -153,12 +153,12 @@ SELECT document_id, count(*) AS chunk_count, sum(n)::BIGINT AS total_characters,
 def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations' turns in two lanes under one numbering."""
     turns = conversation_pages(spark, sf_dir).withColumn("chunk_index", F.col("page_number") - 1)
-    relation = turns.where("page_number % 2 = 0").withColumn("text", F.upper("text"))
+    relation = turns.where("page_number % 2 = 0").withColumn("text", F.concat("text", F.lit("!")))
     return chunks.hybrid([("legacy", turns), ("relation", relation)]).select("document_id", "retrieval_lane", "chunk_index", "chunk_id", "char_count")
 
 
 HYBRID_UNION = """
-WITH u AS (SELECT conv_id, 0 AS lane, 'legacy' AS name, turn, trim(text) AS text FROM conversations UNION ALL SELECT conv_id, 1, 'relation', turn, trim(upper(text)) FROM conversations WHERE turn % 2 = 1)
+WITH u AS (SELECT conv_id, 0 AS lane, 'legacy' AS name, turn, trim(text) AS text FROM conversations UNION ALL SELECT conv_id, 1, 'relation', turn, trim(text || chr(33)) FROM conversations WHERE turn % 2 = 1)
 SELECT conv_id AS document_id, name AS retrieval_lane, (row_number() OVER (PARTITION BY conv_id ORDER BY lane, turn, text) - 1)::INT AS chunk_index, 'hybrid_' || name || '_' || turn AS chunk_id, length(text)::INT AS char_count FROM u WHERE text <> ''"""
 
 QUERIES = {
