@@ -17,6 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
 
+#: Rows of an Arrow batch while a table is written; whole texts make large batches.
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -35,11 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     It cuts the lineage, survives lost executors, and gives the planner exact sizes, so that a
-    join with it is a broadcast only below spark.sql.autoBroadcastJoinThreshold.
+    join with it is a broadcast only below spark.sql.autoBroadcastJoinThreshold. Python workers
+    get smaller Arrow batches while it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parchment/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = int(spark.conf.get(BATCH_ROWS))
+    spark.conf.set(BATCH_ROWS, min(before, ROWS) if before > 0 else ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,19 +66,37 @@ def fold(id_col: str, parts: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def sliced(batch, column: int, size: int) -> Iterator:
+    """Slices of a record batch with about `size` bytes in a string or list column each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    values = batch.column(column)
+    count = pc.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length(values)
+    total = np.cumsum(pc.fill_null(count, 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    start = 0
+    while start < batch.num_rows:
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + size, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
     worker: Callable[[], Callable[[list], dict]],
     schema: str,
     keep: Iterable[str],
-    rows: int = 256,
+    size: int = 1 << 20,
 ) -> DataFrame:
     """Map Arrow batches of whole texts.
 
     worker() runs once per task and returns a function from a list of texts (None for null) to a
     dict of Arrow arrays, one value per text. The columns in `keep` are passed through. Batches
-    are cut into slices of `rows` texts, so that a task's memory doesn't depend on the batch size.
+    are cut into slices of about `size` bytes of text, a longer text alone, so that a task's memory
+    doesn't depend on the batch size.
     """
     keep = list(keep)
     source = df.select(*keep, F.col(text_col).alias("__text"))
@@ -79,10 +107,49 @@ def map_texts(
 
         apply = worker()
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
+            for part in sliced(batch, len(keep), size):
                 made = apply(part.column(len(keep)).to_pylist())
                 columns = {c: part.column(i) for i, c in enumerate(keep)} | made
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return source.mapInArrow(run, out)
+
+
+class Places:
+    """A hash table from distinct keys of 64 bits to their positions; -1 is no key."""
+
+    def __init__(self, keys) -> None:
+        import numpy as np
+
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, (2 * len(keys) - 1).bit_length()))
+        slots = self._slot(keys)
+        order = np.argsort(slots, kind="stable")
+        steps = np.arange(len(keys))
+        # In the order of their slots, each key goes to its slot or to the next free place behind.
+        at = np.maximum.accumulate(slots[order] - steps) + steps
+        size = (1 << (64 - int(self.shift))) + len(keys) + 1
+        self.key, self.place = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        self.key[at], self.place[at] = keys[order], order
+
+    def _slot(self, keys):
+        import numpy as np
+
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted):
+        """The position of each wanted key, -1 for those that aren't there."""
+        import numpy as np
+
+        at = self._slot(wanted)
+        there = self.key[at]
+        found = np.where(there == wanted, self.place[at], -1)
+        more = np.flatnonzero((there != wanted) & (there != -1))
+        at = at[more] + 1
+        while len(more):
+            there = self.key[at]
+            hit = there == wanted[more]
+            found[more[hit]] = self.place[at[hit]]
+            stay = ~hit & (there != -1)
+            more, at = more[stay], at[stay] + 1
+        return found

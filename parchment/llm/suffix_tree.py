@@ -1,13 +1,13 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Words are counted over all training texts. The most frequent ones, and one class for all others,
-are the symbols of the tree. Its contexts grow level by level: a context is a candidate if it is
+Words are counted over all training texts. The most frequent ones have numbers; the first of these,
+and one class for all other words, are the symbols of the tree. Its contexts grow level by level: a context is a candidate if it is
 frequent, and stays if its next-symbol distribution diverges from that of its suffix. Distributions
 are smoothed by absolute discounting towards the suffix's. A text is scored with the longest
 suffix state at each place.
 
 Counting is distributed and covers every training text. What reaches the driver and is broadcast
-has fixed bounds: SYMBOLS words, and CONTEXTS contexts and PAIRS followers a level.
+has fixed bounds: WORDS words, and CONTEXTS contexts and PAIRS followers a level.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import fold, id_type, map_texts, table, written
+from parchment.llm.common import Places, fold, id_type, map_texts, table, written
 
-SYMBOLS = 1 << 15
+WORDS = 1 << 18
+SYMBOLS = 1 << 12
 CONTEXTS = 1 << 17
-PAIRS = 1 << 19
+PAIRS = 1 << 18
 DEPTH = 3
 #: A candidate context occurs at least so often; a follower of its own at least twice.
 FREQUENT = 20
@@ -30,14 +31,14 @@ DISCOUNT = 0.75
 DIVERGENCE = 5.0
 BITS = 18
 #: Tokens looked at together, and counts that a task holds.
-TOKENS = 400_000
-HELD = 400_000
+TOKENS = 200_000
+HELD = 250_000
 
 
 @dataclass
 class Level:
-    """Contexts of one length. keys: the sorted keys that name them; of each, the weight of the
-    suffix (1 if the context didn't stay); pairs and shares: sorted followers and what they add."""
+    """Contexts of one length. keys: the keys that name them; of each, the weight of the suffix
+    (1 if the context didn't stay); pairs and shares: followers and what they add."""
 
     keys: object
     back: object
@@ -47,21 +48,27 @@ class Level:
 
 @dataclass
 class Tree:
-    """words: the symbols from 1 on, by falling count; then come the end of a text and its beginning."""
+    """words: numbered from 1 on, by falling count; counts: of rare words together 0, of each word,
+    and of the ends of texts. Symbols of the tree: 0, the first words, the end and the beginning."""
 
     words: list[str]
     counts: object
     tokens: int
     distinct: int
+    most_symbols: int
     levels: list[Level] = field(default_factory=list)
 
+    @property
+    def symbols(self) -> int:
+        return min(self.most_symbols, len(self.words))
+
     @property
     def end(self) -> int:
-        return len(self.words) + 1
+        return self.symbols + 1
 
     @property
     def start(self) -> int:
-        return len(self.words) + 2
+        return self.symbols + 2
 
     @property
     def unit(self) -> int:
@@ -72,11 +79,18 @@ class Tree:
         """Add-one probabilities of the symbols; symbol 0 has what the others leave."""
         import numpy as np
 
-        p = (self.counts + 1.0) / self.unit
+        p = np.ones(self.symbols + 3)
+        p[1 : self.symbols + 1] = (self.counts[1 : self.symbols + 1] + 1.0) / self.unit
+        p[self.end] = (self.counts[-1] + 1.0) / self.unit
         p[0] = max(1.0 - p[1 : self.end + 1].sum(), 1.0 / self.unit)
-        p[self.start] = 1.0
         return p
 
+    def as_symbols(self, ids):
+        """Word numbers as symbols of the tree."""
+        import numpy as np
+
+        return np.where(ids <= self.symbols, ids, np.where(ids == len(self.words) + 1, self.end, 0))
+
 
 def split(text: str | None) -> list[bytes]:
     """The words of a text, A-Z lower-cased."""
@@ -121,26 +135,29 @@ def _least(df: DataFrame, column: str, most: int) -> int:
 
 
 def _encode(df: DataFrame, words: list[str], text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, ids (symbols, 0 for the class of rare words, the end last) and rare, those words."""
+    """`keep`, ids (word numbers, 0 for rare words, the end last) and rare, those words."""
 
     def worker():
+        from array import array
+        from itertools import repeat
+
         import numpy as np
         import pyarrow as pa
 
         ids = {w.encode(): i for i, w in enumerate(words, 1)}
 
         def apply(texts: list) -> dict:
-            symbols, rare, sizes = [], [], []
+            numbers, rare, sizes = array("i"), [], []
             for text in texts:
                 own = split(text)
-                found = [ids.get(w, 0) for w in own]
+                found = list(map(ids.get, own, repeat(0)))
                 rare.append([w.decode("utf-8", "replace") for w, i in zip(own, found, strict=True) if not i] if 0 in found else [])
-                symbols += found
-                symbols.append(len(words) + 1)
+                numbers.extend(found)
+                numbers.append(len(words) + 1)
                 sizes.append(len(own) + 1)
             ends = np.cumsum([0, *sizes])
             return {
-                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(symbols, pa.int32())),
+                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(numbers, np.int32))),
                 "rare": pa.array(rare, pa.list_(pa.string())),
             }
 
@@ -149,18 +166,8 @@ def _encode(df: DataFrame, words: list[str], text_col: str, keep: tuple[str, ...
     return map_texts(df, text_col, worker, "ids array<int>, rare array<string>", keep)
 
 
-def _find(keys, wanted):
-    """Positions in sorted keys, -1 for those that aren't there."""
-    import numpy as np
-
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
 def _slices(column):
-    """(first row, symbols, offsets) of a list column, some TOKENS symbols together."""
+    """(first row, word numbers, offsets) of a list column, some TOKENS of them together."""
     import numpy as np
 
     offsets = column.offsets.to_numpy().astype(np.int64)
@@ -173,8 +180,9 @@ def _slices(column):
         row = last
 
 
-def _states(x, offsets, tree: Tree):
-    """For each level from 1: (state, key) at each place; the state is -1 where there is none."""
+def _states(x, offsets, tree: Tree, longer: list[Places]):
+    """For each level from 1: (state, key) at each place of a stream of symbols, -1 where there is
+    none; longer: the keys of the levels from 2 on."""
     import numpy as np
 
     fresh = offsets[:-1]
@@ -182,12 +190,15 @@ def _states(x, offsets, tree: Tree):
     state[1:] = x[:-1]
     state[fresh] = tree.start
     yield state, state << BITS | x
-    for level in tree.levels[1:]:
-        key = np.where(state >= 0, state << BITS | x, -1)
-        state = np.empty_like(x)
-        state[1:] = _find(level.keys, key[:-1])
+    key = state << BITS | x
+    for places in longer:
+        # A context of one more symbol ends where one of this length was followed by a symbol.
+        last = np.flatnonzero(key[:-1] >= 0)
+        state = np.full(len(x), -1, np.int64)
+        state[last + 1] = places.find(key[last])
         state[fresh] = -1
-        yield state, np.where(state >= 0, state << BITS | x, -1)
+        key = np.where(state >= 0, state << BITS | x, -1)
+        yield state, key
 
 
 def _count_followers(encoded: DataFrame, tree: Tree) -> DataFrame:
@@ -202,9 +213,10 @@ def _count_followers(encoded: DataFrame, tree: Tree) -> DataFrame:
             return keys, np.bincount(where, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
         held: list = []
+        longer = [Places(level.keys) for level in tree.levels[1:]]
         for batch in batches:
-            for _, x, offsets in _slices(batch.column(0)):
-                *_, (state, key) = _states(x, offsets, tree)
+            for _, ids, offsets in _slices(batch.column(0)):
+                *_, (state, key) = _states(tree.as_symbols(ids), offsets, tree, longer)
                 held.append(np.unique(key[state >= 0], return_counts=True))
                 if sum(len(k) for k, _ in held) > 4 * HELD:
                     held = [merged()]
@@ -276,7 +288,7 @@ def _grow(train: DataFrame, tree: Tree, depth: int) -> None:
             after = last
         else:
             # Without its oldest symbol, a context is one of this level: its suffix's state, then the last symbol.
-            older = _find(level.keys, shorter[keys >> BITS] << BITS | last)
+            older = Places(level.keys).find(shorter[keys >> BITS] << BITS | last)
             keys, after = keys[older >= 0], older[older >= 0]
         shorter = after
         tree.levels.append(Level(keys, np.ones(len(keys))))
@@ -290,36 +302,42 @@ def _grow(train: DataFrame, tree: Tree, depth: int) -> None:
 
 
 def _score(encoded: DataFrame, tree: Tree, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, and per text: size, known and rare symbols, log10 of the add-one and of the tree's
-    probabilities. Rare words count as their class here."""
+    """`keep`, and per text: size, known words, words that are no symbols, the logs of the counts
+    plus one, and the logs of the tree's probabilities with those of such words' counts plus one.
+    The counts of rare words and what counts are divided by aren't in yet."""
     source = encoded.select(*keep, "ids")
     types = ", ".join(f"`{c}` {id_type(source, c)}" for c in keep)
-    names = ["size", "known", "rare", "plain", "tree"]
+    names = ["size", "known", "other", "plain", "tree"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         p0 = tree.unigram()
-        plain = np.log10(tree.counts + 1.0)
-        plain[0] = 0.0
+        logs = np.log10(tree.counts + 1.0)
+        logs[0] = 0.0
         known = tree.counts > 0
         known[0] = False
+        longer = [Places(level.keys) for level in tree.levels[1:]]
+        followers = [Places(level.pairs) for level in tree.levels]
         for batch in batches:
-            for row, x, offsets in _slices(batch.column(len(keep))):
+            for row, ids, offsets in _slices(batch.column(len(keep))):
+                x = tree.as_symbols(ids)
                 p = p0[x]
-                for level, (state, key) in zip(tree.levels, _states(x, offsets, tree), strict=True):
-                    there = np.flatnonzero(state >= 0)
-                    own = state[there]
-                    at = _find(level.pairs, key[there])
-                    add = np.where(at >= 0, level.shares[at] if len(level.shares) else 0.0, 0.0)
-                    p[there] = add + level.back[own] * p[there]
+                for level, places, (state, key) in zip(tree.levels, followers, _states(x, offsets, tree, longer), strict=True):
+                    there = np.flatnonzero(np.where(state >= 0, level.back[state] < 1, False))
+                    at = places.find(key[there])
+                    p[there] *= level.back[state[there]]
+                    hit = at >= 0
+                    p[there[hit]] += level.shares[at[hit]]
                 first = offsets[:-1]
-                sums = [np.diff(offsets), np.add.reduceat(known[x].astype(np.int64), first), np.add.reduceat((x == 0).astype(np.int64), first), np.add.reduceat(plain[x], first), np.add.reduceat(np.log10(p), first)]
+                own = logs[ids]
+                tree_logs = np.log10(p) + np.where(x == 0, own, 0.0)
+                sums = [np.diff(offsets), *(np.add.reduceat(v, first) for v in (known[ids].astype(np.int64), (x == 0).astype(np.int64), own, tree_logs))]
                 passed = [batch.column(i).slice(row, len(first)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*passed, *map(pa.array, sums)], names=[*keep, *names])
 
-    return source.mapInArrow(run, f"{types}, size bigint, known bigint, rare bigint, plain double, tree double")
+    return source.mapInArrow(run, f"{types}, size bigint, known bigint, other bigint, plain double, tree double")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -336,15 +354,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     vocabulary = written(count_words(docs.where("NOT held"), "t").where("c > 0"), "vocabulary")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = vocabulary.where("w = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = _least(vocabulary.where("w <> ''"), "c", SYMBOLS)
-    chosen = sorted(vocabulary.where((F.col("w") != "") & (F.col("c") >= least)).collect(), key=lambda r: (-r.c, r.w))
-    tree = Tree([r.w for r in chosen], np.array([0, *(r.c for r in chosen), ends, 0], np.int64), tokens, distinct)
+    least = _least(vocabulary.where("w <> ''"), "c", WORDS)
+    chosen = vocabulary.where((F.col("w") != "") & (F.col("c") >= least)).toArrow().sort_by([("c", "descending"), ("w", "ascending")])
+    counts = np.concatenate([[0], chosen.column("c").to_numpy(), [ends]]).astype(np.int64)
+    tree = Tree(chosen.column("w").to_pylist(), counts, tokens, distinct, SYMBOLS)
     encoded = _encode(docs, tree.words, "t", ("id", "held")).withColumn("row", F.monotonically_increasing_id())
     encoded = written(encoded, "encoded")
     if tokens:
         _grow(encoded.where("NOT held"), tree, depth)
     else:
-        tree.levels = [Level(np.arange(len(tree.counts)), np.ones(len(tree.counts)), np.zeros(0, np.int64), np.zeros(0))]
+        tree.levels = [Level(np.arange(tree.start + 1), np.ones(tree.start + 1), np.zeros(0, np.int64), np.zeros(0))]
     rare = encoded.select("row", F.explode("rare").alias("w")).join(vocabulary.where(F.col("c") < least), "w", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.log10(c + F.lit(1.0))).alias("logs"), F.sum((c > 0).cast("long")).alias("seen"))
@@ -358,7 +377,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
         (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("plain") + logs - F.col("size") * unit).alias("base_score"),
-        (F.col("tree") + logs - F.col("rare") * (unit + other)).alias("score"),
+        (F.col("tree") + logs - F.col("other") * (unit + other)).alias("score"),
     )
 
 

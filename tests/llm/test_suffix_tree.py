@@ -106,3 +106,28 @@ def test_empty_tables(spark):
     only = next(i for i in range(100) if held(i))
     row = st.score(spark.createDataFrame([(only, "some text")], "doc_id bigint, text string")).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 0, 0)
+
+
+def test_places():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3, 1000, 50_000):
+        keys = np.unique(rng.integers(0, max(1, 3 * n), n))
+        wanted = np.concatenate([keys, rng.integers(0, 10 * n + 5, 500)])
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        assert st.Places(keys).find(wanted).tolist() == [place.get(k, -1) for k in wanted.tolist()]
+
+
+def test_small_bounds_stay_exact_for_words_that_are_no_symbols(spark, monkeypatch):
+    """With few numbered words and symbols, base scores stay exact and scores stay probabilities."""
+    docs = [(i, f"a b c{i % 7} d{i % 50} a b e{i}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = {r.doc_id: r for r in st.score(df).collect()}
+    monkeypatch.setattr(st, "WORDS", 12)
+    monkeypatch.setattr(st, "SYMBOLS", 5)
+    got = st.score(df).collect()
+    for r in got:
+        assert r.base_score == pytest.approx(want[r.doc_id].base_score) and r.n_known == want[r.doc_id].n_known
+        assert r.score < 0
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
