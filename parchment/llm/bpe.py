@@ -9,18 +9,23 @@ creates pairs of higher rank, so each list is visited once.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import map_texts, table
+from parchment.llm.common import Places, map_texts, table
 
 #: Fixed value: how byte-level BPE cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers, at about 250 bytes each; then it forgets them all.
-CACHE = 300_000
+CACHE = 200_000
+#: Lists of more positions are merged with array operations.
+SHORT = 24
+#: Bytes of text whose words are merged together.
+SLICE = 1 << 22
 
 
 def byte_letters() -> list[str]:
@@ -35,6 +40,7 @@ class Tokenizer:
     """Encodes and decodes with a tokenizer file of the kind byte-level BPE."""
 
     def __init__(self, path: str) -> None:
+        import numpy as np
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -42,13 +48,17 @@ class Tokenizer:
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         byte = {c: b for b, c in enumerate(letters)}
-        self.first = [vocab[c] for c in letters]
+        self.first = np.array([vocab[c] for c in letters], np.int32)
         self.rank: dict[int, int] = {}
         self.made: list[tuple[int, int, int]] = []
         for r, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.rank[vocab[a] << 20 | vocab[b]] = r
             self.made.append((vocab[a], vocab[b], vocab[a + b]))
+        # By rank: the pairs' keys; and the rank of each pair of bytes, -1 for none.
+        self.pairs = Places(np.array([a << 20 | b for a, b, _ in self.made], np.int64))
+        both = (self.first[:, None].astype(np.int64) << 20 | self.first[None, :]).ravel()
+        self.rank_of_bytes = self.pairs.find(both)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes = [b""] * size
@@ -61,55 +71,87 @@ class Tokenizer:
         self.known: dict[str, bytes] = {}
 
     def merge(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian 32-bit integers."""
-        from array import array
-
-        rank, made, first = self.rank, self.made, self.first
-        token: list[int] = []
-        starts = []
-        places: dict[int, list[int]] = {}
-        for word in words:
-            starts.append(len(token))
-            last = -1
-            for b in word.encode():
-                t = first[b]
-                if last >= 0 and (r := rank.get(last << 20 | t)) is not None:
-                    if r in places:
-                        places[r].append(len(token) - 1)
-                    else:
-                        places[r] = [len(token) - 1]
-                token.append(t)
-                last = t
-            token.append(-1)  # between words; merged-away positions are -2
-        after = list(range(1, len(token) + 1))
-        before = list(range(-1, len(token)))
-        active = list(places)
-        heapify(active)
+        """The ids of each word, as 32-bit integers.
+
+        Long lists of positions are merged with array operations, short ones one by one; both work
+        on the same memory. Position n stands for what is before and behind each word.
+        """
+        import numpy as np
+
+        if not words:
+            return []
+        encoded = [w.encode() for w in words]
+        raw = np.frombuffer(b"".join(encoded), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        n = len(raw)
+        token, after, before = (array("i", bytes(4 * (n + 1))) for _ in range(3))
+        tokens, nexts, lasts = (np.frombuffer(x, np.int32) for x in (token, after, before))
+        tokens[:n], tokens[n] = self.first[raw], -1
+        nexts[:], lasts[:] = np.arange(1, n + 2), np.arange(-1, n)
+        nexts[ends - 1], lasts[0], lasts[ends[:-1]] = n, n, n
+        places: dict[int, list] = {}
+        active: list[int] = []
+
+        def file(ranks, positions) -> None:
+            """Put positions into the lists of their ranks."""
+            order = np.argsort(ranks, kind="stable")
+            ranks, positions = ranks[order], positions[order]
+            starts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+            for r, s, e in zip(ranks[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(ranks)], strict=True):
+                part = positions[s:e] if e - s > SHORT else positions[s:e].tolist()
+                if r not in places:
+                    places[r] = []
+                    heappush(active, r)
+                if e - s > SHORT:
+                    places[r].append(part)
+                else:
+                    places[r] += part
+
+        pairs = self.rank_of_bytes[raw[:-1].astype(np.int32) * 256 + raw[1:]] if n > 1 else np.zeros(0, np.int32)
+        pairs[ends[:-1] - 1] = -1
+        if (at := np.flatnonzero(pairs >= 0)).size:
+            file(pairs[at], at)
+        rank, made = self.rank, self.made
         while active:
             r = heappop(active)
             a, b, new = made[r]
-            for i in sorted(places.pop(r)):
+            listed = places.pop(r)
+            wide = [x for x in listed if not isinstance(x, int)]
+            if wide and a != b:
+                p = np.unique(np.concatenate([*wide, np.array([x for x in listed if isinstance(x, int)], np.int64)]))
+                p = p[tokens[p] == a]
+                j = nexts[p]
+                fits = tokens[j] == b
+                p, j = p[fits], j[fits]
+                k = nexts[j]
+                tokens[p], tokens[j], nexts[p], lasts[k] = new, -2, k, p
+                q = lasts[p]
+                right, left = tokens[k].astype(np.int64), tokens[q].astype(np.int64)
+                keys = np.concatenate([new << 20 | right[right >= 0], left[left >= 0] << 20 | new])
+                ranks = self.pairs.find(keys)
+                found = ranks >= 0
+                if found.any():
+                    file(ranks[found], np.concatenate([p[right >= 0], q[left >= 0]])[found])
+                continue
+            for i in sorted(set([y for x in listed for y in ([x] if isinstance(x, int) else x.tolist())] if wide else listed)):
                 j = after[i]
                 if token[i] != a or token[j] != b:
                     continue
                 token[i], token[j] = new, -2
                 k = after[i] = after[j]
                 before[k] = i
-                if token[k] >= 0 and (x := rank.get(new << 20 | token[k])) is not None:
-                    if x in places:
-                        places[x].append(i)
-                    else:
-                        places[x] = [i]
-                        heappush(active, x)
-                p = before[i]
-                if p >= 0 and token[p] >= 0 and (x := rank.get(token[p] << 20 | new)) is not None:
-                    if x in places:
-                        places[x].append(p)
-                    else:
-                        places[x] = [p]
-                        heappush(active, x)
-        ends = [*starts[1:], len(token)] if starts else []
-        return [array("i", [t for t in token[s:e] if t >= 0]).tobytes() for s, e in zip(starts, ends, strict=True)]
+                q = before[i]
+                for x, at in ((new << 20 | token[k] if token[k] >= 0 else -1, i), (token[q] << 20 | new if token[q] >= 0 else -1, q)):
+                    if (y := rank.get(x)) is not None:
+                        if y in places:
+                            places[y].append(at)
+                        else:
+                            places[y] = [at]
+                            heappush(active, y)
+        kept = tokens[:n] >= 0
+        ids = tokens[:n][kept].tobytes()
+        cuts = (4 * np.cumsum(kept)[ends - 1]).tolist()
+        return [ids[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 32-bit integers; special tokens in a text are themselves."""
@@ -164,7 +206,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
 
         return apply
 
-    return map_texts(df, text_col, worker, "ids array<int>" + ", decoded string" * round_trip, keep)
+    return map_texts(df, text_col, worker, "ids array<int>" + ", decoded string" * round_trip, keep, SLICE)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
