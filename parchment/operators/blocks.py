@@ -83,7 +83,7 @@ def classified(lines: DataFrame) -> DataFrame:
     """Lines with block_type (title, list, unknown, paragraph), role flags and reasons."""
     c, n = F.col("text"), label(F.col("text"))
     title, item = is_title(c), is_list_item(c)
-    kind = F.when(title, "title").when(item, "list").when(c.rlike("^[^\\w가-힣]+$"), "unknown").otherwise("paragraph")
+    kind = F.when(title, "title").when(item, "list").when(c.rlike("(?U)^[^\\w가-힣]+$"), "unknown").otherwise("paragraph")
     tabular = ~n.startswith("(") & ~is_list_item(n) & ~n.rlike(KOREAN_ENDING) & ~(is_value(n) & ~n.endswith("년")) & (F.length(n) <= MAX_LABEL)
     return lines.withColumns(
         {
