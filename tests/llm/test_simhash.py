@@ -74,7 +74,47 @@ def test_nulls_ties_empty_and_extra_columns(spark):
     assert got == {(3, 1, True), (None, 1, True), (1, 1, True), (2, 2, False), (None, None, False)}
     kept = simhash.deduplicate(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id is None, r.doc_id, r.fp) for r in kept.select("doc_id", "fp").collect() if r.doc_id is not None)[0][1] == 1
-    assert kept.count() == 3
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
     empty = df.limit(0)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
+
+
+def test_groups_of_similar_texts_against_all_pairs(spark):
+    """Planted copies with edits: every pair of at least 0.8 is together, and no group without such links."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    vocabulary = [word() for _ in range(400)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.choice([3, 12, 60, 250]))
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            edited = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                edited[rng.randrange(len(edited))] = word()
+            texts.append(" ".join(edited))
+    sets = []
+    for t in texts:
+        w = t.split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if texts[i] == texts[j] or shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                parent[root(i)] = root(j)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {}
+    for r in simhash.similar_groups(df).collect():
+        got.setdefault(r.root, set()).add(r.id)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(root(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
