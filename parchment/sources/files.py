@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +48,6 @@ def decode_texts(files: DataFrame) -> DataFrame:
 
     UTF-8 is decoded in the JVM; only the rest goes through Python, with the other encodings.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<text:string,encoding:string>")
     def other(contents: pd.Series) -> pd.DataFrame:
         def read(raw: bytes) -> tuple[str, str]:

@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +104,6 @@ def hwp_text(section: bytes) -> str:
 
 def decoded(files: DataFrame, decode: Callable[[bytes], str], content_col: str = "content") -> DataFrame:
     """files without content, with text and error: what a decoder makes of the bytes."""
-    import pandas as pd
-
     @F.pandas_udf("struct<text:string,error:string>")
     def run(contents: pd.Series) -> pd.DataFrame:
         rows = []
