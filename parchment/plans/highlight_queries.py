@@ -23,7 +23,7 @@ _TOK = "list_distinct(regexp_extract_all(lower({}), '[0-9A-Za-z가-힣.%]+'))"
 def curated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed score of every conversation turn."""
     found = highlights.curated_scores(_turns(spark, sf_dir), QUERY)
-    return found.select("document_id", "page_number", "word_overlap", "number_overlap", F.round("key_score", 6).alias("key_score"), "page_points", F.round("score", 4).alias("score"))
+    return found.select("document_id", "page_number", "word_overlap", "number_overlap", F.round("key_score", 6).alias("key_score"), "page_points", "score")
 
 
 CURATED_SCORES = f"""
@@ -34,7 +34,7 @@ f AS (SELECT p.*, {_TOK.format("text")} AS b, regexp_replace(lower(text), '\\s+'
       FROM p CROSS JOIN k LEFT JOIN d ON d.id = document_id * 1000 + page_number LEFT JOIN n ON n.id = document_id * 1000 + page_number),
 z AS (SELECT *, len(list_intersect(q, b))::INT AS w, len(list_intersect(list_filter(q, lambda x: regexp_matches(x, '\\d')), list_filter(b, lambda x: regexp_matches(x, '\\d'))))::INT AS nu,
    coalesce(list_sum(list_transform(list_filter(kt, lambda x: contains(flat, x)), lambda x: CASE WHEN regexp_matches(x, '^(?:20\\d{{2}}|[1-4]?q\\d{{2}}|ytd|qoq)$') THEN 0.05 WHEN length(x) >= 4 THEN 0.42 ELSE 0.18 END)), 0)::DOUBLE AS ks, CASE WHEN page_number = 3 THEN 1.2 ELSE -1.0 END::DOUBLE AS pp FROM f)
-SELECT document_id, page_number, w AS word_overlap, nu AS number_overlap, round(ks, 6) AS key_score, pp AS page_points, round(round(vs + w * 0.035::DOUBLE + nu * 0.08::DOUBLE + ks + CASE WHEN page_number % 2 = 0 THEN 0.16 ELSE 0 END + pp, 6), 4) AS score FROM z"""
+SELECT document_id, page_number, w AS word_overlap, nu AS number_overlap, round(ks, 6) AS key_score, pp AS page_points, round(vs + w * 0.035::DOUBLE + nu * 0.08::DOUBLE + ks + CASE WHEN page_number % 2 = 0 THEN 0.16 ELSE 0 END + pp, 6) AS score FROM z"""
 
 
 def best_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
