@@ -116,7 +116,8 @@ def probability(x: float, model: Model) -> float:
 def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
     """(id, t, y) of at most `sample` labelled documents of the training fold, chosen by hash.
 
-    At most `sample` ids and labels are broadcast; of several labels of an id the highest counts.
+    At most `sample` ids and labels are broadcast; of several labels of an id the highest counts, of
+    several texts of an id the smallest, so that repeated rows don't widen the sample.
     """
     chosen = (
         labels.where(F.col("toxic").isNotNull() & (fold(id_col, 4) != 2))
@@ -126,7 +127,8 @@ def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
         .limit(sample)
     )
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return written(texts.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", "t", "y"), "sample")
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("__id"))
+    return written(found.groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y")), "sample")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -241,7 +243,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         bins = [np.unique(np.round(np.asarray(v) * 4).astype(int), return_counts=True) for _, v, _ in found]
         return {
             "n": pa.array([n for n, _, _ in found], pa.int64()),
-            "scores": pa.array([sorted((s for *_, s in seg), reverse=True)[:50] for _, _, seg in found], pa.list_(pa.float64())),
+            "scores": pa.array([[s for *_, s in seg] for _, _, seg in found], pa.list_(pa.float64())),
             "bins": pa.array([b.tolist() for b, _ in bins], pa.list_(pa.int64())),
             "counts": pa.array([c.tolist() for _, c in bins], pa.list_(pa.int64())),
         }
