@@ -35,40 +35,49 @@ def find_duplicates(docs: DataFrame, registry: DataFrame) -> DataFrame:
 
 def ingest(docs: DataFrame, registry: DataFrame, model: str, order_col: str = "document_id") -> DataFrame:
     """docs in order with status: duplicate if a registry record that is indexed for the model, or an
-    earlier document of the same ingest, has the same content; else indexed."""
-    rows = find_duplicates(docs, registry)
-    first = Window.partitionBy("content_hash").orderBy(order_col)
-    rows = rows.withColumn("__first", F.first(order_col).over(first))
+    earlier document of the same ingest, has the same content; else indexed.
+
+    Only ids and hashes go through the lookups; a content that many documents share costs one row
+    per task, and a join whose hot keys can be split.
+    """
+    keys = find_duplicates(docs.select(order_col, "source_hash", "content_hash"), registry)
+    first = docs.groupBy("content_hash").agg(F.min(order_col).alias("__first"))
+    rows = keys.join(first, "content_hash", "left")
     known = F.coalesce(F.array_contains("existing_models", model), F.lit(False))
     earlier = F.col("__first") != F.col(order_col)
-    return rows.withColumns(
-        {
-            "status": F.when(known | earlier, "duplicate").otherwise("indexed"),
-            "reason": F.when(known, F.col("reason")).when(earlier, "content_hash"),
-            "existing_id": F.when(known, F.col("existing_id")).when(earlier, F.col("__first")),
-        }
-    ).drop("__first")
+    rows = rows.select(
+        order_col,
+        F.when(known | earlier, "duplicate").otherwise("indexed").alias("status"),
+        F.when(known, F.col("reason")).when(earlier, "content_hash").alias("reason"),
+        F.when(known, F.col("existing_id")).when(earlier, F.col("__first")).alias("existing_id"),
+        "existing_models",
+    )
+    return docs.join(rows, order_col)
 
 
 def partition_uploads(uploads: DataFrame, in_flight: DataFrame, registry: DataFrame, order_col: str = "position") -> DataFrame:
     """Uploads with a reason to skip them: same_batch, already_processing, same_source_hash; null to go on."""
-    place = F.row_number().over(Window.partitionBy("source_hash").orderBy(order_col))
-    rows = uploads.withColumn("__place", place)
+    rows = uploads.join(uploads.groupBy("source_hash").agg(F.min(order_col).alias("__first")), "source_hash")
     rows = rows.join(in_flight.select("source_hash", F.lit(True).alias("__busy")).distinct(), "source_hash", "left")
     rows = rows.join(registry.select("source_hash", F.lit(True).alias("__known")).distinct(), "source_hash", "left")
-    reason = F.when(F.col("__place") > 1, "same_batch").when(F.col("__busy"), "already_processing").when(F.col("__known"), "same_source_hash")
-    return rows.withColumn("reason", reason).drop("__place", "__busy", "__known")
+    later = F.col("__first") != F.col(order_col)
+    reason = F.when(later, "same_batch").when(F.col("__busy"), "already_processing").when(F.col("__known"), "same_source_hash")
+    return rows.withColumn("reason", reason).drop("__first", "__busy", "__known")
 
 
 def merged(registry: DataFrame, ingested: DataFrame, model: str) -> DataFrame:
     """The registry after an ingest: the model is added to records whose documents were indexed
-    again, new documents go to the end."""
+    again, new documents go to the end in the order of their ids."""
     indexed = ingested.where("status = 'indexed'")
     again = indexed.where("existing_id IS NOT NULL").select(F.col("existing_id").alias("document_id"), F.lit(True).alias("__again")).distinct()
     old = registry.join(again, "document_id", "left").withColumn("indexed_models", F.when(F.col("__again"), F.array_union("indexed_models", F.array(F.lit(model)))).otherwise(F.col("indexed_models")))
     last = registry.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("__last"))
-    new = indexed.where("existing_id IS NULL").withColumn("__rank", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("document_id")))
-    new = new.join(F.broadcast(last)).select("document_id", (F.col("__last") + F.col("__rank")).alias("position"), "source_name", "source_hash", "content_hash", F.array(F.lit(model)).alias("indexed_models"))
+    new = indexed.where("existing_id IS NULL")
+    lowest = new.agg(F.min("document_id").alias("__low"))
+    # One row each.
+    new = new.join(F.broadcast(last)).join(F.broadcast(lowest))
+    position = F.col("__last") + 1 + F.col("document_id") - F.col("__low")
+    new = new.select("document_id", position.alias("position"), "source_name", "source_hash", "content_hash", F.array(F.lit(model)).alias("indexed_models"))
     return old.select(new.columns).unionByName(new)
 
 
