@@ -83,6 +83,20 @@ def sliced(batch, column: int, size: int) -> Iterator:
         start = end
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker goes on to other tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -111,6 +125,9 @@ def map_texts(
                 made = apply(part.column(len(keep)).to_pylist())
                 columns = {c: part.column(i) for i, c in enumerate(keep)} | made
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                del made, columns
+        del apply
+        give_back()
 
     return source.mapInArrow(run, out)
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import Places, fold, id_type, map_texts, table, written
+from parchment.llm.common import Places, fold, give_back, id_type, map_texts, table, written
 
 WORDS = 1 << 18
 SYMBOLS = 1 << 12
@@ -31,7 +31,7 @@ DISCOUNT = 0.75
 DIVERGENCE = 5.0
 BITS = 18
 #: Tokens looked at together, and counts that a task holds.
-TOKENS = 200_000
+TOKENS = 150_000
 HELD = 250_000
 
 
@@ -48,19 +48,23 @@ class Level:
 
 @dataclass
 class Tree:
-    """words: numbered from 1 on, by falling count; counts: of rare words together 0, of each word,
+    """Words are numbered from 1 on, by falling count. counts: of rare words together 0, of each word,
     and of the ends of texts. Symbols of the tree: 0, the first words, the end and the beginning."""
 
-    words: list[str]
     counts: object
     tokens: int
     distinct: int
     most_symbols: int
     levels: list[Level] = field(default_factory=list)
 
+    @property
+    def words(self) -> int:
+        """How many words have numbers."""
+        return len(self.counts) - 2
+
     @property
     def symbols(self) -> int:
-        return min(self.most_symbols, len(self.words))
+        return min(self.most_symbols, self.words)
 
     @property
     def end(self) -> int:
@@ -89,7 +93,7 @@ class Tree:
         """Word numbers as symbols of the tree."""
         import numpy as np
 
-        return np.where(ids <= self.symbols, ids, np.where(ids == len(self.words) + 1, self.end, 0))
+        return np.where(ids <= self.symbols, ids, np.where(ids == self.words + 1, self.end, 0))
 
 
 def split(text: str | None) -> list[bytes]:
@@ -118,6 +122,7 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
                 if len(counts) > HELD:
                     yield flush()
         yield flush()
+        give_back()
 
     return df.select(F.col(text_col).alias("t")).mapInArrow(run, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -134,8 +139,11 @@ def _least(df: DataFrame, column: str, most: int) -> int:
     return least
 
 
-def _encode(df: DataFrame, words: list[str], text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, ids (word numbers, 0 for rare words, the end last) and rare, those words."""
+def _encode(df: DataFrame, words: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """`keep`, ids (word numbers, 0 for rare words, the end last) and rare, those words.
+
+    words: the numbered ones in order, separated by spaces, which no word holds.
+    """
 
     def worker():
         from array import array
@@ -144,7 +152,8 @@ def _encode(df: DataFrame, words: list[str], text_col: str, keep: tuple[str, ...
         import numpy as np
         import pyarrow as pa
 
-        ids = {w.encode(): i for i, w in enumerate(words, 1)}
+        ids = {w: i for i, w in enumerate(words.encode().split(), 1)}
+        end = len(ids) + 1
 
         def apply(texts: list) -> dict:
             numbers, rare, sizes = array("i"), [], []
@@ -153,7 +162,7 @@ def _encode(df: DataFrame, words: list[str], text_col: str, keep: tuple[str, ...
                 found = list(map(ids.get, own, repeat(0)))
                 rare.append([w.decode("utf-8", "replace") for w, i in zip(own, found, strict=True) if not i] if 0 in found else [])
                 numbers.extend(found)
-                numbers.append(len(words) + 1)
+                numbers.append(end)
                 sizes.append(len(own) + 1)
             ends = np.cumsum([0, *sizes])
             return {
@@ -209,8 +218,11 @@ def _count_followers(encoded: DataFrame, tree: Tree) -> DataFrame:
         import pyarrow as pa
 
         def merged():
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+            keys = np.concatenate([k for k, _ in held])
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], np.add.reduceat(np.concatenate([n for _, n in held])[order], first)
 
         held: list = []
         longer = [Places(level.keys) for level in tree.levels[1:]]
@@ -225,6 +237,9 @@ def _count_followers(encoded: DataFrame, tree: Tree) -> DataFrame:
                         held = []
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in merged()], names=["key", "n"])
+        held.clear()
+        longer.clear()
+        give_back()
 
     return encoded.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -336,6 +351,9 @@ def _score(encoded: DataFrame, tree: Tree, keep: tuple[str, ...]) -> DataFrame:
                 sums = [np.diff(offsets), *(np.add.reduceat(v, first) for v in (known[ids].astype(np.int64), (x == 0).astype(np.int64), own, tree_logs))]
                 passed = [batch.column(i).slice(row, len(first)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*passed, *map(pa.array, sums)], names=[*keep, *names])
+        longer.clear()
+        followers.clear()
+        give_back()
 
     return source.mapInArrow(run, f"{types}, size bigint, known bigint, other bigint, plain double, tree double")
 
@@ -357,8 +375,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     least = _least(vocabulary.where("w <> ''"), "c", WORDS)
     chosen = vocabulary.where((F.col("w") != "") & (F.col("c") >= least)).toArrow().sort_by([("c", "descending"), ("w", "ascending")])
     counts = np.concatenate([[0], chosen.column("c").to_numpy(), [ends]]).astype(np.int64)
-    tree = Tree(chosen.column("w").to_pylist(), counts, tokens, distinct, SYMBOLS)
-    encoded = _encode(docs, tree.words, "t", ("id", "held")).withColumn("row", F.monotonically_increasing_id())
+    tree = Tree(counts, tokens, distinct, SYMBOLS)
+    encoded = _encode(docs, " ".join(chosen.column("w").to_pylist()), "t", ("id", "held")).withColumn("row", F.monotonically_increasing_id())
     encoded = written(encoded, "encoded")
     if tokens:
         _grow(encoded.where("NOT held"), tree, depth)
