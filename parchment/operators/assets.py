@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +86,50 @@ def nearest_heading(things: DataFrame, texts: DataFrame, orders: int = 20) -> Da
     wide = F.least(F.col("x1"), F.col("h_x1")) - F.greatest(F.col("x0"), F.col("h_x0"))
     rows = things.join(texts, ["document_id", "page_number"]).where(behind.between(1, orders) & gap.between(-6, 90) & (wide >= 30))
     return rows.groupBy("document_id", "page_number", "id").agg(F.max_by("h_text", F.struct(100 - gap - 6 * behind, -F.col("h_order"))).alias("heading"))
+
+
+#: Characters on either side of a term, and how many windows and segments count.
+AROUND, MOST_WINDOWS, MOST_SEGMENTS = 120, 4, 4
+
+
+def windows(text: str, terms: list[str], around: int = AROUND, most: int = MOST_WINDOWS) -> list[str]:
+    """Parts of a text around its terms, in the order of the terms, none touching one before."""
+    lowered, taken, out = text.lower(), [], []
+    for term in terms:
+        at = lowered.find(term) if len(term) > 1 else -1
+        while at >= 0:
+            left, right = max(0, at - around), min(len(text), at + len(term) + around)
+            if all(right < a or b < left for a, b in taken):
+                taken.append((left, right))
+                out += [part] if (part := text[left:right].strip()) else []
+                if len(out) >= most:
+                    return out
+            at = lowered.find(term, at + len(term))
+    return out
+
+
+def focus_text(citations: DataFrame) -> DataFrame:
+    """Citations (query, section_hint, highlight, quote, chunk_text) with `focus`: hint, highlight,
+    windows around the terms of query and hint, longest first, and the segments that share most with
+    them (five a word of the query, six of the hint, three a number of the highlight)."""
+
+    @F.pandas_udf("array<string>")
+    def around(text: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([windows(x, list(y)) for x, y in zip(text, terms, strict=True)])
+
+    q, s = t.search_tokens(t.text("query")), t.search_tokens(t.quoted(t.text("section_hint")))
+    hint, mark, quote = (t.quoted(t.text(c)) for c in ("section_hint", "highlight", "quote"))
+    body = t.quoted(F.concat_ws("\n", quote, t.quoted(t.text("chunk_text"))))
+    anchors = t.numeric_tokens(F.when(mark != "", mark).otherwise(quote))
+    by_length = F.transform(F.array_sort(F.transform(F.array_union(q, s), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda y: y["x"])
+    rows = citations.withColumns({"__q": q, "__s": s, "__a": anchors, "__b": body, "__b2": by_length})
+    # Not to be merged into the expressions below, which can't call it.
+    rows = rows.withColumn("__w", around.asNondeterministic()("__b", "__b2"))
+    both = lambda a, b: F.size(F.array_intersect(a, b))
+    points = lambda x: both(F.col("__q"), t.search_tokens(x)) * 5 + both(F.col("__s"), t.search_tokens(x)) * 6 + both(F.col("__a"), t.numeric_tokens(x)) * 3
+    parts = F.filter(F.transform(F.split("__b", r"\n+|\s+##\s+", -1), lambda x: t.strip(x)), lambda x: x != "")
+    ranked = F.filter(F.transform(parts, lambda x, i: F.struct((-points(x)).alias("p"), i.alias("i"), x.alias("x"))), lambda y: y["p"] < 0)
+    best = F.transform(F.slice(F.array_sort(ranked), 1, MOST_SEGMENTS), lambda y: y["x"])
+    chosen = F.array_distinct(F.filter(F.concat(F.array(hint, mark), F.col("__w"), best), lambda x: x != ""))
+    rows = rows.withColumn("focus", t.quoted(F.array_join(F.when(F.size(chosen) > 0, chosen).otherwise(F.array("__b")), "\n")))
+    return rows.drop("__q", "__s", "__a", "__b", "__b2", "__w")

@@ -52,3 +52,14 @@ def test_clean_blocks(spark):
     text = "12\nA first paragraph of text\n45%\n\n3Q25\n\nshort\n\nA second paragraph\nof two lines\n\n" + "x" * 690 + "\n\n<br>\n1234567890123"
     got = spark.createDataFrame([(text,)], "t string").select(fragments.clean_blocks(F.col("t"))).first()[0]
     assert got == ["A first paragraph of text\n\nA second paragraph\nof two lines", "x" * 690]
+
+
+def test_focus_text(spark):
+    from parchment.operators import assets
+
+    text = "x" * 300 + " wind power grew " + "y" * 300 + " wind again " + "z" * 10
+    assert [w[:4] + "|" + str("wind" in w) for w in assets.windows(text, ["power", "wind"])] == ["xxxx|True", "yyyy|True"]
+    rows = [(1, "wind power in 2023", "Energy", "grew by 12%", "a quote", "Solar fell.\nWind power grew by 12% in 2023.\nNothing else"), (2, "q", None, None, None, None)]
+    got = {r.id: r.focus for r in assets.focus_text(spark.createDataFrame(rows, "id int, query string, section_hint string, highlight string, quote string, chunk_text string")).collect()}
+    lines = got[1].split("\n")
+    assert lines[:2] == ["Energy", "grew by 12%"] and "Wind power grew by 12% in 2023." in lines and got[2] == ""
