@@ -5,6 +5,8 @@ White space is Unicode white space, as in `(?U)\\s`. A null text counts as empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,25 +137,38 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
+def _stems(basic: Column) -> Column:
+    """What is left of Korean tokens without each particle that they may end with."""
+    endings = F.array(*[F.lit(p) for p in PARTICLES])
+
+    def one(token: Column) -> Column:
+        fits = F.filter(endings, lambda p: token.endswith(p) & (F.length(token) > F.length(p) + 1))
+        cut = F.transform(fits, lambda p: F.substring(token, F.lit(1), F.length(token) - F.length(p)))
+        counted = F.when(token.endswith("명") & (F.length(token) > 3), F.substring(token, F.lit(1), F.length(token) - 1))
+        return F.concat(cut, F.filter(F.array(counted), lambda x: x.isNotNull()))
+
+    return F.flatten(F.transform(F.filter(basic, lambda x: x.rlike("[가-힣]")), one))
+
+
 def search_tokens(c: Column) -> Column:
     """The token set of the search: tokens, Korean tokens without particles, the whole text written
     together if short, and neighbouring tokens written together."""
-    basic = tokens(c)
-    endings = F.array(*[F.lit(p) for p in PARTICLES])
-    stems = F.flatten(
-        F.transform(
-            F.filter(basic, lambda t: t.rlike("[가-힣]")),
-            lambda t: F.concat(
-                F.transform(F.filter(endings, lambda p: t.endswith(p) & (F.length(t) > F.length(p) + 1)), lambda p: F.substring(t, F.lit(1), F.length(t) - F.length(p))),
-                F.filter(F.array(F.when(t.endswith("명") & (F.length(t) > 3), F.substring(t, F.lit(1), F.length(t) - 1))), lambda x: x.isNotNull()),
-            ),
-        )
-    )
+    none = F.array().cast("array<string>")
     whole = F.regexp_replace(F.lower(c), "[^0-9a-zA-Z가-힣]+", "")
     together = F.filter(F.array(whole), lambda x: F.length(x).between(2, 24))
-    pairs = F.zip_with(F.slice(basic, 1, F.greatest(F.size(basic) - 1, F.lit(0))), F.slice(basic, 2, F.greatest(F.size(basic) - 1, F.lit(0))), lambda a, b: F.when((F.length(a) >= 2) & (F.length(b) >= 2) & (F.length(a) + F.length(b) <= 24), F.concat(a, b)))
-    found = F.concat(basic, stems, together, F.filter(pairs, lambda x: x.isNotNull()))
-    return F.when(F.size(basic) > 0, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    def found(basic: Column) -> Column:
+        # The last token has no neighbour: null, as are pairs that don't count.
+        pairs = F.zip_with(basic, F.slice(basic, F.lit(2), F.size(basic)), lambda x, y: F.when((F.length(x) >= 2) & (F.length(y) >= 2) & (F.length(x) + F.length(y) <= 24), F.concat(x, y)))
+        stems = F.when(c.rlike("[가-힣]"), _stems(basic)).otherwise(none)
+        return F.when(F.size(basic) > 0, F.array_distinct(F.concat(basic, stems, together, F.filter(pairs, lambda x: x.isNotNull())))).otherwise(none)
+
+    return let(tokens(c), found)
 
 
 def numeric_tokens(c: Column) -> Column:
