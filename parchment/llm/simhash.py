@@ -17,11 +17,9 @@ from parchment.llm.common import map_texts, table, written
 
 WIDTH = 4
 MAX_DISTANCE = 4
-#: For groups of near copies: words of a shingle, Jaccard similarity, hash bands and their rows, and
-#: the most differing bits of a band's pair (at a similarity of 0.8 they are 9.7 on average, give or take 2.9).
+#: For groups of near copies: words of a shingle, Jaccard similarity, hash bands and their rows.
 NEAR_WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-FAR = 22
 #: Largest bucket that one task searches: 256 KB of fingerprints.
 BUCKET = 1 << 15
 
@@ -205,9 +203,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(names, "root").select("id", "fp", "component")
 
 
+def folded(hashes):
+    """The distinct ones of some hashes, folded to 32 bits."""
+    import numpy as np
+
+    return np.unique((hashes ^ (hashes >> np.uint64(32))).astype(np.uint32).view(np.int32))
+
+
 def signatures(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int) -> DataFrame:
-    """`keep`, fp, and bands: BANDS keys, each of the smallest values of ROWS hash functions over the
-    shingles; texts without words share one key."""
+    """`keep`, fp, bands and size: BANDS keys, each of the smallest values of ROWS hash functions over
+    the shingles, and how many distinct ones there are; texts without words share one key."""
 
     def worker():
         import numpy as np
@@ -230,39 +235,38 @@ def signatures(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int)
 
         def apply(texts: list) -> dict:
             hashed = [shingle_hashes(t, width) for t in texts]
-            return {"fp": pa.array([_signed(fingerprint(h)) for h in hashed], pa.int64()), "bands": pa.array([keys(h) for h in hashed], pa.list_(pa.int64()))}
+            return {"fp": pa.array([_signed(fingerprint(h)) for h in hashed], pa.int64()), "bands": pa.array([keys(h) for h in hashed], pa.list_(pa.int64())), "size": pa.array([len(folded(h)) for h in hashed], pa.int32())}
 
         return apply
 
-    return map_texts(df, text_col, worker, "fp bigint, bands array<bigint>", keep)
+    return map_texts(df, text_col, worker, "fp bigint, bands array<bigint>, size int", keep)
 
 
 def shingle_sets(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int) -> DataFrame:
     """`keep` and shingles: the distinct shingles of each text, their hashes folded to 32 bits."""
 
     def worker():
-        import numpy as np
         import pyarrow as pa
 
-        fold = lambda h: np.unique((h ^ (h >> np.uint64(32))).astype(np.uint32).view(np.int32))
-        return lambda texts: {"shingles": pa.array([fold(shingle_hashes(t, width)) for t in texts], pa.list_(pa.int32()))}
+        return lambda texts: {"shingles": pa.array([folded(shingle_hashes(t, width)) for t in texts], pa.list_(pa.int32()))}
 
     return map_texts(df, text_col, worker, "shingles array<int>", keep)
 
 
-def candidates(distinct: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b), a > b: pairs of texts (th, fp, bands) that may be similar.
+def candidates(distinct: DataFrame, similarity: float = SIMILARITY, distance: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b), a > b: pairs of texts (th, fp, bands, size) that may be similar.
 
     Two searches: pigeonhole blocks give the fingerprints within `distance` bits, bands the texts
     that agree on the smallest shingles of a band. In each bucket of a band every text is paired
     with the first and the last one only; as bucket mates differ from band to band, a text meets
-    others of its group many times. Pairs of bands over FAR bits apart are no candidates.
+    others of its group many times. Pairs of a band whose sizes alone rule the similarity out are no candidates; their
+    fingerprints rule out nothing, as these count each repetition of a shingle.
     """
-    filed = distinct.select("th", "fp", F.posexplode("bands").alias("band", "key"))
-    one = F.struct("th", "fp")
+    filed = distinct.select("th", "fp", "size", F.posexplode("bands").alias("band", "key"))
+    one = F.struct("th", "fp", "size")
     ends = filed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(one).alias("lo"), F.max(one).alias("hi")).where("n > 1").drop("n")
-    met = filed.join(ends, ["band", "key"]).select("th", "fp", F.explode(F.array("lo", "hi")).alias("x"))
-    met = met.where((F.col("th") != F.col("x.th")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= FAR)).select("th", F.col("x.th").alias("other"))
+    met = filed.join(ends, ["band", "key"]).select("th", "fp", "size", F.explode(F.array("lo", "hi")).alias("x"))
+    met = met.where((F.col("th") != F.col("x.th")) & (F.least("size", "x.size") >= similarity * F.greatest("size", "x.size"))).select("th", F.col("x.th").alias("other"))
     first = written(distinct.groupBy("fp").agg(F.min("th").alias("t")), "first")
     same = distinct.join(first, "fp").where("th <> t").select("th", F.col("t").alias("other"))
     near = links(first.select("fp"), distance)
@@ -279,8 +283,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     hashed = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__t"))
     rows = written(signatures(hashed, "__t", ("id", "th"), width), "signatures")
-    distinct = written(rows.groupBy("th").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
-    pairs = written(candidates(distinct), "candidates")
+    distinct = written(rows.groupBy("th").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size")), "distinct")
+    pairs = written(candidates(distinct, similarity), "candidates")
     wanted = written(pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct(), "wanted")
     texts = hashed.select("th", "__t").join(wanted, "th", "left_semi").groupBy("th").agg(F.first("__t").alias("__t"))
     sets = written(shingle_sets(texts, "__t", ("th",), width), "sets")

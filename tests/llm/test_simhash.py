@@ -118,3 +118,16 @@ def test_groups_of_similar_texts_against_all_pairs(spark):
     for i in range(len(texts)):
         want.setdefault(root(i), set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_copies_whose_fingerprints_are_far_apart_by_repeats(spark):
+    """A line that repeats moves the fingerprint, but not the set of shingles."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(0, 40, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base[:152] + base[140:152] * 100 + base[152:]))]
+    far = [(a ^ b).bit_count() for a, b in zip(*([simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows[k::2]] for k in (0, 1)), strict=True)]
+    assert sum(d >= 22 for d in far) >= 10
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
