@@ -22,6 +22,8 @@ NEAR_WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Largest bucket that one task searches: 256 KB of fingerprints.
 BUCKET = 1 << 15
+#: Members of a bucket whose shingle sets are compared in one task; larger buckets go block by block.
+BLOCK = 1 << 10
 
 
 def shingle_hashes(text: str | None, width: int):
@@ -253,25 +255,79 @@ def shingle_sets(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int
     return map_texts(df, text_col, worker, "shingles array<int>", keep)
 
 
-def candidates(distinct: DataFrame, similarity: float = SIMILARITY, distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b), a > b: pairs of texts (th, fp, bands, size) that may be similar.
+def filed(distinct: DataFrame) -> DataFrame:
+    """(th, fp, size, band, key): the buckets that each text (th, fp, bands, size) is in."""
+    return distinct.select("th", "fp", "size", F.posexplode("bands").alias("band", "key"))
 
-    Two searches: pigeonhole blocks give the fingerprints within `distance` bits, bands the texts
-    that agree on the smallest shingles of a band. In each bucket of a band every text is paired
-    with the first and the last one only; as bucket mates differ from band to band, a text meets
-    others of its group many times. Pairs of a band whose sizes alone rule the similarity out are no candidates; their
-    fingerprints rule out nothing, as these count each repetition of a shingle.
+
+def candidates(buckets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a > b: each text with the first and the last one of its buckets.
+
+    These link most copies at little cost; `unlinked` has what is left to compare. Pairs whose sizes
+    alone rule the similarity out are no candidates; their fingerprints rule out nothing, as these
+    count each repetition of a shingle.
     """
-    filed = distinct.select("th", "fp", "size", F.posexplode("bands").alias("band", "key"))
     one = F.struct("th", "fp", "size")
-    ends = filed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(one).alias("lo"), F.max(one).alias("hi")).where("n > 1").drop("n")
-    met = filed.join(ends, ["band", "key"]).select("th", "fp", "size", F.explode(F.array("lo", "hi")).alias("x"))
-    met = met.where((F.col("th") != F.col("x.th")) & (F.least("size", "x.size") >= similarity * F.greatest("size", "x.size"))).select("th", F.col("x.th").alias("other"))
-    first = written(distinct.groupBy("fp").agg(F.min("th").alias("t")), "first")
-    same = distinct.join(first, "fp").where("th <> t").select("th", F.col("t").alias("other"))
-    near = links(first.select("fp"), distance)
-    near = near.join(first.select(F.col("fp").alias("a"), F.col("t").alias("th")), "a").join(first.select(F.col("fp").alias("b"), F.col("t").alias("other")), "b").select("th", "other")
-    return met.unionByName(same).unionByName(near).select(F.greatest("th", "other").alias("a"), F.least("th", "other").alias("b")).distinct()
+    ends = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(one).alias("lo"), F.max(one).alias("hi")).where("n > 1").drop("n")
+    met = buckets.join(ends, ["band", "key"]).select("th", "fp", "size", F.explode(F.array("lo", "hi")).alias("x"))
+    met = met.where((F.col("th") != F.col("x.th")) & (F.least("size", "x.size") >= similarity * F.greatest("size", "x.size")))
+    return met.select(F.greatest("th", "x.th").alias("a"), F.least("th", "x.th").alias("b")).distinct()
+
+
+def unlinked(buckets: DataFrame, roots: DataFrame, block: int | None = None) -> DataFrame:
+    """(band, key, i, j, th, root): the buckets that still have texts of different roots, in pairs of
+    blocks, so that each two members of a bucket are together in some group of at most some 2 * block.
+
+    In buckets of up to three, all pairs have one of the ends. Of buckets with the same members one
+    is taken.
+    """
+    block = block or BLOCK
+    rows = buckets.join(roots, "th", "left").select("band", "key", "th", F.coalesce("root", "th").alias("root"))
+    marks = [F.bit_xor(F.xxhash64("th", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    several = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), *marks).where("n > 3 AND lo <> hi")
+    several = several.groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("x")).select("x.band", "x.key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    rows = rows.join(written(several, "several"), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("th", F.lit(3)), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 OR own <> other")
+    return rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "th", "root")
+
+
+def _similar(names, roots, sets, similarity: float):
+    """(a, b), a > b: similar pairs that, with the pairs of equal roots, link all that similar pairs of
+    these texts link. Every text is compared with all that aren't linked to it yet."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    _, group, count = np.unique(roots, return_inverse=True, return_counts=True)
+    mark, found = np.zeros(int(flat.max(initial=-1)) + 1, bool), []
+    # Two texts of different groups aren't both in the largest one.
+    for x in np.flatnonzero(group != count.argmax()).tolist():
+        mark[own := flat[ends[x] - sizes[x] : ends[x]]] = True
+        shared = np.concatenate([[0], np.cumsum(mark[flat])])
+        shared = shared[ends] - shared[ends - sizes]
+        mark[own] = False
+        for y in np.flatnonzero((group != group[x]) & (shared >= similarity * (sizes + sizes[x] - shared))).tolist():
+            if group[y] != group[x]:
+                found.append((max(names[x], names[y]), min(names[x], names[y])))
+                group[group == group[y]] = group[x]
+        if (group == group[x]).all():
+            break
+    return found
+
+
+def search(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the edges of _similar in each group of `unlinked`, of the texts' shingle sets."""
+
+    def run(x):
+        import numpy as np
+        import pyarrow as pa
+
+        found = _similar(x["th"].to_numpy(), x["root"].to_numpy(), [np.asarray(v.values) for v in x["shingles"]], similarity)
+        return pa.table({k: pa.array([e[i] for e in found], pa.int64()) for i, k in enumerate("ab")})
+
+    keys = ["band", "key", "i", "j"]
+    return groups.join(sets, "th").groupBy(*keys).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -284,15 +340,24 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashed = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__t"))
     rows = written(signatures(hashed, "__t", ("id", "th"), width), "signatures")
     distinct = written(rows.groupBy("th").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size")), "distinct")
-    pairs = written(candidates(distinct, similarity), "candidates")
-    wanted = written(pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct(), "wanted")
-    texts = hashed.select("th", "__t").join(wanted, "th", "left_semi").groupBy("th").agg(F.first("__t").alias("__t"))
-    sets = written(shingle_sets(texts, "__t", ("th",), width), "sets")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = hashed.select("th", "__t").join(written(wanted.distinct(), "wanted"), "th", "left_semi").groupBy("th").agg(F.first("__t").alias("__t"))
+        return written(shingle_sets(texts, "__t", ("th",), width), "sets")
+
+    buckets = filed(distinct)
+    pairs = written(candidates(buckets, similarity), "candidates")
+    sets = sets_of(pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))))
     both = pairs.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y")
     both = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))).where(shared >= similarity * (total - shared))
-    roots = components(both.select("a", "b")).select(F.col("a").alias("th"), F.col("b").alias("root"))
+    edges = components(both.select("a", "b"))
+    groups = written(unlinked(buckets, edges.select(F.col("a").alias("th"), F.col("b").alias("root"))), "unlinked")
+    more = written(search(groups, sets_of(groups.select("th")), similarity), "links")
+    if not more.isEmpty():
+        edges = components(edges.select("a", "b").unionByName(more))
+    roots = edges.select(F.col("a").alias("th"), F.col("b").alias("root"))
     return rows.select("id", "th").join(roots, "th", "left").select("id", "th", F.coalesce("root", "th").alias("root"))
 
 

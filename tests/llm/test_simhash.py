@@ -131,3 +131,37 @@ def test_copies_whose_fingerprints_are_far_apart_by_repeats(spark):
     assert sum(d >= 22 for d in far) >= 10
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def linked(names, pairs):
+    """The groups that pairs make of names, sorted."""
+    of = {x: {x} for x in names}
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for x in of[b]:
+                of[x] = of[a]
+    return sorted({id(g): sorted(g) for g in of.values()}.values())
+
+
+def test_pairs_among_strangers_that_share_a_passage(spark, monkeypatch):
+    """Texts with 300 of 338 shingles in common are less than similar; planted copies among them are found."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage = [word() for _ in range(304)]
+    texts = []
+    for _ in range(240):
+        texts.append(passage + [word() for _ in range(38)])
+        if len(texts) % 3 == 0:
+            texts.append(texts[-1][:-31] + [word() for _ in range(31)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert 30 < len(pairs) < 200
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for block in (1 << 10, 50):
+        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        got = [(r.id, r.root) for r in simhash.similar_groups(df).collect()]
+        groups = {}
+        for i, root in got:
+            groups.setdefault(root, []).append(i)
+        assert sorted(map(sorted, groups.values())) == linked(range(len(texts)), pairs)
