@@ -255,9 +255,14 @@ def shingle_sets(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int
     return map_texts(df, text_col, worker, "shingles array<int>", keep)
 
 
-def filed(distinct: DataFrame) -> DataFrame:
-    """(th, fp, size, band, key): the buckets that each text (th, fp, bands, size) is in."""
-    return distinct.select("th", "fp", "size", F.posexplode("bands").alias("band", "key"))
+def filed(distinct: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+    """(th, fp, size, band, key): the buckets that each text (th, fp, bands, size) is in: those of its
+    bands, and the pigeonhole blocks that fingerprints within `distance` bits share. The latter's keys
+    are longer than in `links`, so that few strangers meet in them."""
+    blocks = masks(distance, _blocks(8 * distinct.count(), distance))
+    agree = F.array(*[F.struct(F.lit(BANDS + i).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(blocks)])
+    near = distinct.select("th", "fp", "size", F.explode(agree).alias("x")).select("th", "fp", "size", "x.band", "x.key")
+    return distinct.select("th", "fp", "size", F.posexplode("bands").alias("band", "key")).unionByName(near)
 
 
 def candidates(buckets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

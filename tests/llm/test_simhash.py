@@ -165,3 +165,25 @@ def test_pairs_among_strangers_that_share_a_passage(spark, monkeypatch):
         for i, root in got:
             groups.setdefault(root, []).append(i)
         assert sorted(map(sorted, groups.values())) == linked(range(len(texts)), pairs)
+
+
+def test_fingerprint_links_are_verified_pairs(spark, monkeypatch):
+    """Without bands, each pair of at most four bits that is similar enough links, whoever the centre of its bits is."""
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=90)
+        for _ in range(25):
+            texts.append(list(base))
+            at = rng.randrange(len(base))
+            base = base[:at] + [rng.choice(vocabulary)] + base[at + 1 :]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(" ".join(t), 5)) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4 and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    signatures = simhash.signatures
+    lone = lambda *a: signatures(*a).withColumn("bands", simhash.F.array(simhash.F.xxhash64("th")))
+    monkeypatch.setattr(simhash, "signatures", lone)
+    root = {r.id: r.root for r in simhash.similar_groups(df).collect()}
+    assert near and all(root[a] == root[b] for a, b in near)
