@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper inference.
 
 Pages of one host are token streams. Within a page, equal neighbouring groups of tokens become a
-repeated group. The streams of some pages of the host are then aligned one after the other with the
-wrapper so far, a union-free regular expression: what only one side has becomes optional, text that
+repeated group. The streams of all pages of the host are then aligned with the wrapper so far, block by block
+and the blocks' wrappers with each other, a union-free regular expression: what only one side has becomes optional, text that
 differs becomes a slot. A page is read by aligning it with its host's wrapper: text of the article
 goes out, but for what the wrapper shows to be template text.
 """
@@ -14,15 +14,16 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.llm.common import id_type, table, written
 
-#: Pages of a host that its wrapper is inferred from, those of the smallest hashes.
-SAMPLE = 8
+#: Pages of a host that one task aligns, and wrappers that one task merges.
+BLOCK, MERGED = 64, 16
 #: With fewer pages, nothing counts as template text.
 ENOUGH = 4
 LONGEST_GROUP = 12
@@ -132,12 +133,13 @@ def parse(html: str | None):
 
 
 class Item:
-    """A part of a stream or wrapper: its sign, and the numbers of its texts or its template text."""
+    """A part of a stream or wrapper: its sign, and the numbers of its texts or its template text; of a
+    wrapper, how many pages have it, and the votes for its text (pages with it less those with another)."""
 
-    __slots__ = ("const", "optional", "sign", "texts")
+    __slots__ = ("const", "pages", "sign", "texts", "votes")
 
-    def __init__(self, sign: str, texts: list[int], const: str | None = None, optional: bool = False) -> None:
-        self.sign, self.texts, self.const, self.optional = sign, texts, const, optional
+    def __init__(self, sign: str, texts: list[int], const: str | None = None, pages: int = 1, votes: int = 0) -> None:
+        self.sign, self.texts, self.const, self.pages, self.votes = sign, texts, const, pages, votes
 
 
 def repeats(items: list[Item]) -> list[Item]:
@@ -169,7 +171,9 @@ def fold(items: list[Item], others: list[Item]) -> list[Item]:
         while i < len(items):
             if " ".join(signs[i : i + size]) == inner:
                 part = items[i : i + size]
-                out.append(Item(group, [t for x in part for t in x.texts], None, part[0].optional))
+                consts = [x.const for x in part if "#" in x.sign]
+                const = " ".join(consts) if consts and None not in consts else None
+                out.append(Item(group, [t for x in part for t in x.texts], const, part[0].pages, min((x.votes for x in part if "#" in x.sign), default=0) if const else 0))
                 i += size
             else:
                 out.append(items[i])
@@ -191,39 +195,65 @@ def _matches(a: list[Item], b: list[Item]):
     return SequenceMatcher(None, [x.sign for x in a], [x.sign for x in b], autojunk=False)
 
 
-def infer(pages: list[str]) -> dict:
-    """The wrapper of some pages: items as [sign, template text or null, optional], and how many pages."""
+def _const(texts: list[tuple[str, int, int]], numbers: list[int]) -> str:
+    """A text as wrappers hold it: a long one by its digest."""
+    text = _text(texts, numbers)
+    return text if len(text) <= 64 else "\0" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def page_items(html: str | None) -> list[list]:
+    """The wrapper of one page: [sign, text or null, pages, votes]."""
+    texts, items = stream(html)
+    return [[x.sign, _const(texts, x.texts) if x.texts else None, 1, int(bool(x.texts))] for x in items]
+
+
+def _both(x: Item, y: Item) -> Item:
+    """Majority votes: a text in over half of the pages of both stays, whatever their order."""
+    if x.const == y.const:
+        return Item(x.sign, [], x.const, x.pages + y.pages, x.votes + y.votes)
+    most, least = (x, y) if (x.votes, x.const or "") >= (y.votes, y.const or "") else (y, x)
+    votes = most.votes - least.votes
+    return Item(x.sign, [], most.const if votes else None, x.pages + y.pages, votes)
+
+
+def merge(parts: list[list[list]]) -> list[list]:
+    """The wrapper of some wrappers. Those of equal signs are taken together first."""
+    alike: dict[tuple, list[Item]] = {}
+    for part in parts:
+        signs, items = tuple(x[0] for x in part), [Item(s, [], c, n, v) for s, c, n, v in part]
+        alike[signs] = [_both(x, y) for x, y in zip(alike[signs], items, strict=True)] if signs in alike else items
     wrapper: list[Item] | None = None
-    constant = varied = 0
-    for html in pages:
-        texts, items = stream(html)
-        for x in items:
-            x.const = _text(texts, x.texts) if x.texts else None
+    for items in alike.values():
         if wrapper is None:
             wrapper = items
             continue
         items, wrapper = fold(items, wrapper), fold(wrapper, items)
-        for x in items:
-            x.const = _text(texts, x.texts) if x.texts else None
         merged = []
         for op, a, b, c, d in _matches(wrapper, items).get_opcodes():
             if op == "equal":
-                for x, y in zip(wrapper[a:b], items[c:d], strict=True):
-                    merged.append(Item(x.sign, [], x.const if x.const == y.const else None, x.optional))
+                merged += [_both(x, y) for x, y in zip(wrapper[a:b], items[c:d], strict=True)]
             else:
-                merged += [Item(x.sign, [], x.const, True) for x in wrapper[a:b]]
-                merged += [Item(x.sign, [], y, True) for x in items[c:d] for y in [x.const]]
+                merged += wrapper[a:b] + items[c:d]
         wrapper = merged
-    for x in wrapper or []:
-        constant += x.const is not None and not x.optional
-        varied += x.const is None and "#" in x.sign
-    return {"pages": len(pages), "varied": varied, "items": [[x.sign, x.const, int(x.optional)] for x in wrapper or []]}
+    return [[x.sign, x.const, x.pages, x.votes] for x in wrapper or []]
+
+
+def closed(items: list[list], pages: int, least: int = 0) -> dict:
+    """Items as [sign, template text or null, optional], and how many pages. Template text has votes of
+    over half of the pages: it stands in more than half, and all text in over three quarters is."""
+    found = [[s, c if 2 * v > pages else None, int(n < pages)] for s, c, n, v in items if n > least]
+    return {"pages": pages, "varied": sum(c is None and "#" in s for s, c, _ in found), "items": found}
+
+
+def infer(pages: list[str]) -> dict:
+    """The wrapper of some pages."""
+    return closed(merge([page_items(x) for x in pages]), len(pages))
 
 
 @lru_cache(maxsize=256)
 def _loaded(wrapper: str) -> tuple[int, int, list[Item]]:
     found = json.loads(wrapper)
-    return found["pages"], found["varied"], [Item(s, [], c, bool(o)) for s, c, o in found["items"]]
+    return found["pages"], found["varied"], [Item(s, [], c) for s, c, _ in found["items"]]
 
 
 def extract(html: str | None, wrapper: str | None) -> str:
@@ -241,7 +271,7 @@ def extract(html: str | None, wrapper: str | None) -> str:
             items = fold(items, known)
             for a, b, n in _matches(known, items).get_matching_blocks():
                 for x, y in zip(known[a : a + n], items[b : b + n], strict=True):
-                    if x.const and not x.optional and y.texts and x.const == _text(texts, y.texts):
+                    if x.const and y.texts and x.const == _const(texts, y.texts):
                         template.update(y.texts)
     own = [t for t, (_, z, _) in enumerate(texts) if z == level]
     size = sum(len(texts[t][0]) for t in own)
@@ -258,21 +288,40 @@ def host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(df: DataFrame, url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper as JSON) from at most `sample` distinct pages of each host, which one task reads."""
+def wrappers(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper as JSON) from all distinct pages of each host: of blocks of pages, which are merged
+    as a tree. Only what stands in over half of a host's pages is kept in the end, as no other text counts."""
     import pandas as pd
+    import pyarrow as pa
 
     pages = df.select(host(url_col).alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html")).where("html IS NOT NULL")
-    order = Window.partitionBy("host").orderBy("h")
-    chosen = pages.select("host", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    chosen = written(chosen.select("host", "h"), "sampled")
-    pages = pages.join(chosen, ["host", "h"]).groupBy("host", "h").agg(F.first("html").alias("html"))
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        found = infer(x.sort_values("h").html.tolist())
-        return pd.DataFrame({"host": [x.host.iloc[0]], "wrapper": [json.dumps(found, ensure_ascii=False)]})
+    def parsed(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                made = pa.array([json.dumps(page_items(x), ensure_ascii=False) for x in part.column(2).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], names=["host", "h", "items"])
 
-    return pages.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("h")
+        found = merge([json.loads(v) for v in x["items"]])
+        return pd.DataFrame({"host": [x.host.iloc[0]], "h": [x.part.iloc[0]], "n": [x.n.iloc[0]], "items": [json.dumps(found, ensure_ascii=False)]})
+
+    def last(items, n):
+        return json.dumps(closed(json.loads(items), n, n // 2), ensure_ascii=False)
+
+    each = written(pages.mapInArrow(parsed, "host string, h bigint, items string").groupBy("host", "h").agg(F.first("items").alias("items")), "streams")
+    sizes = written(each.groupBy("host").agg(F.count("*").alias("n")), "sizes")
+    most = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    level = each.join(sizes, "host").withColumn("part", F.pmod("h", F.ceil(F.col("n") / BLOCK)))
+    parts = -(-most // BLOCK)
+    while True:
+        level = written(level.groupBy("host", "part").applyInPandas(run, "host string, h bigint, n bigint, items string"), "partial")
+        if parts <= 1:
+            return level.select("host", F.udf(last, "string")("items", "n").alias("wrapper"))
+        parts = -(-parts // MERGED)
+        level = level.withColumn("part", F.floor(F.col("h") / MERGED))
 
 
 def main_text(df: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -74,3 +74,13 @@ def test_query_against_the_pages_layout(spark):
         parts = re.split(r"</?(?:p|h1)>", body[1].replace("<br>", " ")) if body else []
         expected = " ".join(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts)))
         assert r.text == expected and r.n_chars == len(expected)
+
+
+def test_pages_of_another_layout_do_not_hide_the_template(spark, monkeypatch):
+    """Each tenth page of a host is cut off before its template text; the others' still goes."""
+    rows = [(i, "http://big/", page(i).split("<p>Thanks")[0] if i % 10 == 0 else page(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    monkeypatch.setattr(wrappers, "BLOCK", 9, raising=False)
+    monkeypatch.setattr(wrappers, "MERGED", 3, raising=False)
+    got = {r.page_id: r.text for r in wrappers.main_text(df).collect()}
+    assert got == {i: want(i) for i in range(200)}
