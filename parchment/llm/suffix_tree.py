@@ -1,99 +1,41 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Words are counted over all training texts. The most frequent ones have numbers; the first of these,
-and one class for all other words, are the symbols of the tree. Its contexts grow level by level: a context is a candidate if it is
-frequent, and stays if its next-symbol distribution diverges from that of its suffix. Distributions
-are smoothed by absolute discounting towards the suffix's. A text is scored with the longest
-suffix state at each place.
-
-Counting is distributed and covers every training text. What reaches the driver and is broadcast
-has fixed bounds: WORDS words, and CONTEXTS contexts and PAIRS followers a level.
+Every word is a symbol of the tree, named by a hash of 64 bits, and so is every sequence of words. The
+tree's contexts grow level by level: a context is a candidate if it is frequent, and stays if its
+next-word distribution diverges from that of its suffix. Distributions are smoothed by absolute
+discounting towards the suffix's. A text is scored with the longest suffix state at each place.
+
+The model is written tables with no bound on their rows. Texts are scored in chunks: a chunk asks for
+the words, contexts and followers that it has, a join by key answers. What workers hold beside that has
+fixed bounds and decides nothing but cost: filters by hashed bits, and the most frequent rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.llm.common import Places, fold, give_back, id_type, map_texts, table, written
 
-WORDS = 1 << 18
+#: Words and contexts, the most frequent ones, that each worker holds; all others are joined.
+WORDS = 1 << 14
 SYMBOLS = 1 << 12
-CONTEXTS = 1 << 17
-PAIRS = 1 << 18
 DEPTH = 3
 #: A candidate context occurs at least so often; a follower of its own at least twice.
 FREQUENT = 20
 DISCOUNT = 0.75
 #: Nats that a context must save over its suffix, over all its occurrences.
 DIVERGENCE = 5.0
-BITS = 18
-#: Tokens looked at together, and counts that a task holds.
+#: Tokens looked at together, tokens of a chunk, and counts that a task holds.
 TOKENS = 150_000
+CHUNK = 500_000
 HELD = 250_000
-
-
-@dataclass
-class Level:
-    """Contexts of one length. keys: the keys that name them; of each, the weight of the suffix
-    (1 if the context didn't stay); pairs and shares: followers and what they add."""
-
-    keys: object
-    back: object
-    pairs: object = None
-    shares: object = None
-
-
-@dataclass
-class Tree:
-    """Words are numbered from 1 on, by falling count. counts: of rare words together 0, of each word,
-    and of the ends of texts. Symbols of the tree: 0, the first words, the end and the beginning."""
-
-    counts: object
-    tokens: int
-    distinct: int
-    most_symbols: int
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def words(self) -> int:
-        """How many words have numbers."""
-        return len(self.counts) - 2
-
-    @property
-    def symbols(self) -> int:
-        return min(self.most_symbols, self.words)
-
-    @property
-    def end(self) -> int:
-        return self.symbols + 1
-
-    @property
-    def start(self) -> int:
-        return self.symbols + 2
-
-    @property
-    def unit(self) -> int:
-        """What the counts plus one are divided by."""
-        return self.tokens + self.distinct + 1
-
-    def unigram(self):
-        """Add-one probabilities of the symbols; symbol 0 has what the others leave."""
-        import numpy as np
-
-        p = np.ones(self.symbols + 3)
-        p[1 : self.symbols + 1] = (self.counts[1 : self.symbols + 1] + 1.0) / self.unit
-        p[self.end] = (self.counts[-1] + 1.0) / self.unit
-        p[0] = max(1.0 - p[1 : self.end + 1].sum(), 1.0 / self.unit)
-        return p
-
-    def as_symbols(self, ids):
-        """Word numbers as symbols of the tree."""
-        import numpy as np
-
-        return np.where(ids <= self.symbols, ids, np.where(ids == self.words + 1, self.end, 0))
+#: Most bits of a filter. More keys than that make it pass more, never less.
+FILTER = 1 << 26
+#: Names of the end and the beginning of a text; what sets apart keys of contexts and of followers.
+END, START = -1205034819632174695, 0x2545F4914F6CDD1D
+CONTEXT, FOLLOWER = 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93
+STEP = 0x9E3779B97F4A7C15
 
 
 def split(text: str | None) -> list[bytes]:
@@ -101,82 +43,41 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(df: DataFrame, text_col: str) -> DataFrame:
-    """(w, c) over all texts; the empty word stands for the end of a text."""
-
-    def run(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["w", "c"])
-            counts.clear()
-            return out
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for value in batch.column(0):
-                counts.update(split(value.as_py()))
-                counts[b""] += 1
-                if len(counts) > HELD:
-                    yield flush()
-        yield flush()
-        give_back()
-
-    return df.select(F.col(text_col).alias("t")).mapInArrow(run, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
-
-
-def _least(df: DataFrame, column: str, most: int) -> int:
-    """The smallest value with at most `most` rows at or above it (by a histogram up to 2**20)."""
-    counts = {r.n: r["count"] for r in df.groupBy(F.least(F.col(column), F.lit(1 << 20)).cast("long").alias("n")).count().collect()}
-    least = (1 << 20) + 1
-    for n in sorted(counts, reverse=True):
-        most -= counts[n]
-        if most < 0:
-            break
-        least = n
-    return least
-
-
-def _encode(df: DataFrame, words: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, ids (word numbers, 0 for rare words, the end last) and rare, those words.
-
-    words: the numbered ones in order, separated by spaces, which no word holds.
-    """
+def _encode(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """`keep`, ids (hashes of the words, the end last) and chunk: texts of some CHUNK tokens together."""
 
     def worker():
         from array import array
-        from itertools import repeat
 
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
+        from xxhash import xxh64_intdigest
 
-        ids = {w: i for i, w in enumerate(words.encode().split(), 1)}
-        end = len(ids) + 1
+        task = TaskContext.get().partitionId() << 32
+        seen = 0
 
         def apply(texts: list) -> dict:
-            numbers, rare, sizes = array("i"), [], []
+            nonlocal seen
+            numbers, sizes, chunks = array("Q"), [], []
             for text in texts:
                 own = split(text)
-                found = list(map(ids.get, own, repeat(0)))
-                rare.append([w.decode("utf-8", "replace") for w, i in zip(own, found, strict=True) if not i] if 0 in found else [])
-                numbers.extend(found)
-                numbers.append(end)
+                numbers.extend(map(xxh64_intdigest, own))
+                numbers.append(END % (1 << 64))
                 sizes.append(len(own) + 1)
+                chunks.append(task + seen // CHUNK)
+                seen += len(own) + 1
             ends = np.cumsum([0, *sizes])
-            return {
-                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(numbers, np.int32))),
-                "rare": pa.array(rare, pa.list_(pa.string())),
-            }
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(numbers, np.int64)))
+            return {"ids": ids, "chunk": pa.array(chunks, pa.int64())}
 
         return apply
 
-    return map_texts(df, text_col, worker, "ids array<int>, rare array<string>", keep)
+    return map_texts(df, text_col, worker, "ids array<bigint>, chunk bigint", keep)
 
 
 def _slices(column):
-    """(first row, word numbers, offsets) of a list column, some TOKENS of them together."""
+    """(first row, word hashes, offsets) of a list column, some TOKENS of them together."""
     import numpy as np
 
     offsets = column.offsets.to_numpy().astype(np.int64)
@@ -185,177 +86,206 @@ def _slices(column):
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + TOKENS, "right")) - 1)
         last = min(last, n)
-        yield row, values[offsets[row] : offsets[last]].astype(np.int64), offsets[row : last + 1] - offsets[row]
+        yield row, values[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
 
 
-def _states(x, offsets, tree: Tree, longer: list[Places]):
-    """For each level from 1: (state, key) at each place of a stream of symbols, -1 where there is
-    none; longer: the keys of the levels from 2 on."""
+def _mixed(ids):
     import numpy as np
 
-    fresh = offsets[:-1]
-    state = np.empty_like(x)
-    state[1:] = x[:-1]
-    state[fresh] = tree.start
-    yield state, state << BITS | x
-    key = state << BITS | x
-    for places in longer:
-        # A context of one more symbol ends where one of this length was followed by a symbol.
-        last = np.flatnonzero(key[:-1] >= 0)
-        state = np.full(len(x), -1, np.int64)
-        state[last + 1] = places.find(key[last])
-        state[fresh] = -1
-        key = np.where(state >= 0, state << BITS | x, -1)
-        yield state, key
-
-
-def _count_followers(encoded: DataFrame, tree: Tree) -> DataFrame:
-    """(key, n): how often each symbol follows each context of the tree's last level."""
+    x = ids.view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _keys(ids, offsets, depth: int):
+    """For each length: (places that have a context so long, keys of the contexts there, and of the
+    contexts with the word at the place). The key of words is a polynomial of their hashes, so that a
+    context with its follower is also a context one longer."""
+    import numpy as np
+
+    own = _mixed(ids)
+    place = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
+    start = _mixed(np.array([START], np.int64))[0]
+    context, power, step = np.zeros(len(ids), np.uint64), np.uint64(1), np.uint64(STEP)
+    for k in range(1, depth + 1):
+        there = np.flatnonzero(place >= k - 1)
+        older = np.where(place[there] == k - 1, start, own[there - k])
+        context[there] += older * power
+        power = np.uint64(int(power) * STEP % (1 << 64))
+        key = context[there]
+        yield there, key.view(np.int64), (key * step + own[there]).view(np.int64)
+
+
+def _bits(df: DataFrame):
+    """The filter of the keys of df, as words of 64 bits: 16 bits a key, FILTER at most."""
+    import numpy as np
+
+    size = min(FILTER, max(1 << 10, 1 << (16 * df.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit(size - 1))
+    rows = df.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return bits
+
+
+def _passes(bits, keys):
+    import numpy as np
+
+    slot = keys & np.int64(64 * len(bits) - 1)
+    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def _counted(encoded: DataFrame, length: int, bits=None) -> DataFrame:
+    """(key, s, low, n): how often a word follows a context of this length that passes the filter, with
+    the keys of the context and of the word behind the context's suffix. Length 0: (key, n) of words."""
+    names = ["key", "s", "low", "n"] if length else ["key", "n"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def merged():
-            keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys)
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[first], np.add.reduceat(np.concatenate([n for _, n in held])[order], first)
+            parts = [np.concatenate(c) for c in zip(*held, strict=True)]
+            first, inverse = np.unique(parts[0], return_index=True, return_inverse=True)[1:]
+            return [*(c[first] for c in parts[:-1]), np.bincount(inverse, parts[-1], len(first)).astype(np.int64)]
 
         held: list = []
-        longer = [Places(level.keys) for level in tree.levels[1:]]
         for batch in batches:
             for _, ids, offsets in _slices(batch.column(0)):
-                *_, (state, key) = _states(tree.as_symbols(ids), offsets, tree, longer)
-                held.append(np.unique(key[state >= 0], return_counts=True))
-                if sum(len(k) for k, _ in held) > 4 * HELD:
+                if length:
+                    low = ids
+                    for k, (there, context, key) in enumerate(_keys(ids, offsets, length), 1):
+                        if k < length:
+                            low = np.zeros(len(ids), np.int64)
+                            low[there] = key
+                    ok = _passes(bits, context)
+                    columns = [key[ok], context[ok], low[there][ok]]
+                else:
+                    columns = [ids]
+                _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
+                held.append([*(c[first] for c in columns), n])
+                if sum(len(x[0]) for x in held) > 4 * HELD:
                     held = [merged()]
                     if len(held[0][0]) > 2 * HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held[0]], names=["key", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held[0]], names=names)
                         held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in merged()], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in merged()], names=names)
         held.clear()
-        longer.clear()
         give_back()
 
-    return encoded.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = encoded.select("ids").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in names[1:-1]), F.sum("n").alias("n"))
 
 
-def _collected(df: DataFrame) -> tuple:
-    """Two long columns of a bounded table, sorted by the first."""
-    import numpy as np
-
-    rows = df.toArrow()
-    a, b = (rows.column(i).to_numpy() for i in (0, 1))
-    order = np.argsort(a)
-    return a[order], b[order]
-
-
-def _grow(train: DataFrame, tree: Tree, depth: int) -> None:
-    """Add the levels of the tree, one counting pass each."""
+def _grow(train: DataFrame, words: DataFrame, unit: int, depth: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The tree, by levels: contexts (key, total, back) and followers (key, share)."""
     import numpy as np
 
     spark = train.sparkSession
-    p0 = tree.unigram()
-    symbols = written(spark.createDataFrame([(i, float(p)) for i, p in enumerate(p0)], "w bigint, p double"), "symbols")
-    tree.levels = [Level(np.arange(len(p0)), np.ones(len(p0)))]
-    below = suffix = None
+    first = spark.createDataFrame([(int(x),) for x in _mixed(np.array([START], np.int64)).view(np.int64)], "key bigint")
+    frequent = written(_first_contexts(words.where((F.col("n") >= FREQUENT) & (F.col("key") != END))).unionByName(first), "frequent0")
+    below = words.select(F.col("key").alias("low"), ((F.col("n") + 1) / F.lit(float(unit))).alias("p"))
+    levels = []
     for length in range(1, depth + 1):
-        level = tree.levels[-1]
-        raw = written(_count_followers(train, tree), f"followers{length}")
-        counts = raw.select(F.shiftright("key", BITS).alias("s"), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("w"), "n", "key")
+        raw = written(_counted(train, length, _bits(frequent)), f"followers{length}")
         own = F.when(F.col("n") >= 2, F.col("n") - DISCOUNT).otherwise(0.0)
-        # At most CONTEXTS rows.
-        totals = counts.groupBy("s").agg(F.sum("n").alias("total"), F.sum(own).alias("kept"), F.sum(F.when(F.col("n") < 2, F.col("n")).otherwise(0)).alias("single"))
-        totals = totals.withColumn("back", 1 - F.col("kept") / F.col("total"))
-        seen = counts.where("n >= 2").join(F.broadcast(totals), "s")
-        if below is None:
-            seen = seen.join(F.broadcast(symbols), "w")
-        else:
-            seen = seen.join(F.broadcast(suffix), "s").join(below.select(F.col("s").alias("suffix"), "w", "p"), ["suffix", "w"])
+        totals = raw.groupBy("s").agg(F.sum("n").alias("total"), F.sum(own).alias("kept"), F.sum(F.when(F.col("n") < 2, F.col("n")).otherwise(0)).alias("single"))
+        totals = written(totals.where(F.col("total") >= FREQUENT).withColumn("back", 1 - F.col("kept") / F.col("total")), f"totals{length}")
+        seen = raw.where("n >= 2").join(totals, "s").join(below, "low")
         mixed = (F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.col("p")
-        seen = written(seen.select("key", "s", "w", "n", "total", "back", "single", "p", mixed.alias("q"), (F.col("n") * F.log(mixed / F.col("p"))).alias("gain")), f"gains{length}")
+        seen = written(seen.select("key", "s", "n", "total", "back", "single", "p", mixed.alias("q"), (F.col("n") * F.log(mixed / F.col("p"))).alias("gain")), f"gains{length}")
         saved = F.sum("gain") + F.first("single") * F.log(F.first("back"))
-        stay = seen.groupBy("s").agg(saved.alias("saved"), F.first("total").alias("total")).where((F.col("saved") > DIVERGENCE) & (F.col("total") >= FREQUENT))
-        stay = written(stay.select("s", "total"), f"stay{length}")
-        # The followers that gain most, in steps of a twentieth in the logarithm, at most PAIRS.
-        useful = seen.join(F.broadcast(stay.select("s")), "s").where("gain > 0.1").withColumn("step", F.floor(F.log("gain") * 20 + 100))
-        useful = useful.where(F.col("step") >= _least(useful, "step", PAIRS))
-        contexts, totals_ = _collected(stay)
-        level.pairs, n = _collected(useful.select("key", "n"))
-        total = np.zeros(len(level.keys))
-        total[contexts] = totals_
-        of = level.pairs >> BITS
-        level.shares = (n - DISCOUNT) / total[of]
-        back = 1 - np.bincount(of, level.shares, len(level.keys))
-        level.back = np.where(total > 0, back, 1.0)
-        if length == depth:
-            break
-        # Candidates of the next length: a context of this one with one more symbol behind it.
-        longer = raw.where((F.col("n") >= FREQUENT) & (F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)) != tree.end))
-        longer = longer.where(F.col("n") >= _least(longer, "n", CONTEXTS))
-        keys, _ = _collected(longer.select("key", "n"))
-        last = keys & ((1 << BITS) - 1)
-        if length == 1:
-            after = last
-        else:
-            # Without its oldest symbol, a context is one of this level: its suffix's state, then the last symbol.
-            older = Places(level.keys).find(shorter[keys >> BITS] << BITS | last)
-            keys, after = keys[older >= 0], older[older >= 0]
-        shorter = after
-        tree.levels.append(Level(keys, np.ones(len(keys))))
-        if not len(keys):
-            tree.levels.pop()
-            break
-        suffix = spark.createDataFrame([(i, int(x)) for i, x in enumerate(after)], "s bigint, suffix bigint")
-        suffix = written(suffix, "suffix")
-        p = F.when(F.col("stays"), F.col("q")).otherwise(F.col("p"))
-        below = seen.join(F.broadcast(stay.select("s", F.lit(True).alias("stays"))), "s", "left").select("s", "w", F.coalesce(p, "p").alias("p"))
-
-
-def _score(encoded: DataFrame, tree: Tree, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, and per text: size, known words, words that are no symbols, the logs of the counts
-    plus one, and the logs of the tree's probabilities with those of such words' counts plus one.
-    The counts of rare words and what counts are divided by aren't in yet."""
-    source = encoded.select(*keep, "ids")
-    types = ", ".join(f"`{c}` {id_type(source, c)}" for c in keep)
-    names = ["size", "known", "other", "plain", "tree"]
+        stay = seen.groupBy("s").agg(saved.alias("saved")).where(F.col("saved") > DIVERGENCE)
+        stay = written(stay.select("s", F.lit(True).alias("stays")), f"stay{length}")
+        share = (F.col("n") - DISCOUNT) / F.col("total")
+        followers = written(seen.join(stay, "s").where("gain > 0.1").select("key", "s", "total", share.alias("share")), f"shares{length}")
+        contexts = followers.groupBy("s").agg(F.first("total").alias("total"), (1 - F.sum("share")).alias("back"))
+        levels.append((written(contexts.select(F.col("s").alias("key"), "total", "back"), f"contexts{length}"), followers.select("key", "share")))
+        below = seen.join(stay, "s", "left").select(F.col("key").alias("low"), F.when(F.col("stays"), F.col("q")).otherwise(F.col("p")).alias("p"))
+        frequent = raw.where(F.col("n") >= FREQUENT).select("key")
+    return levels
+
+
+def _first_contexts(words: DataFrame) -> DataFrame:
+    """The keys of contexts of one word."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(batch.column(0).to_numpy()).view("int64"))], names=["key"])
+
+    return words.select("key").mapInArrow(run, "key bigint")
+
+
+def _asked(encoded: DataFrame, filters: tuple, held, depth: int) -> DataFrame:
+    """(chunk, key): what each chunk needs of the model, but for what workers hold."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        p0 = tree.unigram()
-        logs = np.log10(tree.counts + 1.0)
-        logs[0] = 0.0
-        known = tree.counts > 0
-        known[0] = False
-        longer = [Places(level.keys) for level in tree.levels[1:]]
-        followers = [Places(level.pairs) for level in tree.levels]
+        def flush():
+            keys = np.unique(np.concatenate(wanted))
+            keys = keys[known.find(keys) < 0]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk), pa.int64()), pa.array(keys)], names=["chunk", "key"])
+
+        known, wanted, chunk = Places(held), [], None
         for batch in batches:
-            for row, ids, offsets in _slices(batch.column(len(keep))):
-                x = tree.as_symbols(ids)
-                p = p0[x]
-                for level, places, (state, key) in zip(tree.levels, followers, _states(x, offsets, tree, longer), strict=True):
-                    there = np.flatnonzero(np.where(state >= 0, level.back[state] < 1, False))
-                    at = places.find(key[there])
-                    p[there] *= level.back[state[there]]
-                    hit = at >= 0
-                    p[there[hit]] += level.shares[at[hit]]
-                first = offsets[:-1]
-                own = logs[ids]
-                tree_logs = np.log10(p) + np.where(x == 0, own, 0.0)
-                sums = [np.diff(offsets), *(np.add.reduceat(v, first) for v in (known[ids].astype(np.int64), (x == 0).astype(np.int64), own, tree_logs))]
-                passed = [batch.column(i).slice(row, len(first)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*passed, *map(pa.array, sums)], names=[*keep, *names])
-        longer.clear()
-        followers.clear()
+            chunks = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if wanted and chunks[a] != chunk:
+                    yield flush()
+                    wanted = []
+                chunk = int(chunks[a])
+                for _, ids, offsets in _slices(batch.column(1).slice(a, b - a)):
+                    wanted.append(np.unique(ids))
+                    for _, context, key in _keys(ids, offsets, depth):
+                        ok = _passes(filters[0], context)
+                        wanted.append(np.unique(context[ok]) ^ np.int64(CONTEXT))
+                        key = np.unique(key[ok])
+                        wanted.append(key[_passes(filters[1], key)] ^ np.int64(FOLLOWER))
+        if wanted:
+            yield flush()
+        wanted.clear()
         give_back()
 
-    return source.mapInArrow(run, f"{types}, size bigint, known bigint, other bigint, plain double, tree double")
+    return encoded.select("chunk", "ids").mapInArrow(run, "chunk bigint, key bigint").distinct()
+
+
+def _score(encoded: DataFrame, model: DataFrame, filters: tuple, held: tuple, unit: int, depth: int, keep: tuple[str, ...]) -> DataFrame:
+    """`keep`, and per text: size, known words, and the logs of the base and the tree's probabilities."""
+    types = ", ".join(f"`{c}` {id_type(encoded, c)}" for c in keep)
+    names = ["size", "known", "base", "tree"]
+    found = _asked(encoded, filters, held[0], depth).join(model, "key").select("chunk", "key", "v")
+
+    def run(texts, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        if not texts.num_rows:
+            return pa.table({c: texts.column(c) for c in keep} | {c: pa.array([], pa.float64() if c in names[2:] else pa.int64()) for c in names})
+        places = Places(np.concatenate([held[0], rows.column("key").to_numpy()]))
+        values = np.concatenate([held[1], rows.column("v").to_numpy(), [0.0]])
+        made = []
+        for _, ids, offsets in _slices(texts.column("ids").combine_chunks()):
+            count = values[places.find(ids)]
+            p = (count + 1.0) / unit
+            own = np.log10(p)
+            for there, context, key in _keys(ids, offsets, depth):
+                at = places.find(context ^ np.int64(CONTEXT))
+                there, at, key = there[at >= 0], at[at >= 0], key[at >= 0]
+                p[there] = p[there] * values[at] + values[places.find(key ^ np.int64(FOLLOWER))]
+            made.append([np.diff(offsets), *(np.add.reduceat(v, offsets[:-1]) for v in ((count > 0).astype(np.int64), own, np.log10(p)))])
+        return pa.table({c: texts.column(c) for c in keep} | {c: pa.array(np.concatenate(v)) for c, v in zip(names, zip(*made, strict=True), strict=True)})
+
+    source = encoded.select("chunk", *keep, "ids")
+    return source.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, f"{types}, size bigint, known bigint, base double, tree double")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -369,33 +299,30 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     import numpy as np
 
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), (fold(id_col, 7) == 2).alias("held"))
-    vocabulary = written(count_words(docs.where("NOT held"), "t").where("c > 0"), "vocabulary")
-    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = vocabulary.where("w = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = _least(vocabulary.where("w <> ''"), "c", WORDS)
-    chosen = vocabulary.where((F.col("w") != "") & (F.col("c") >= least)).toArrow().sort_by([("c", "descending"), ("w", "ascending")])
-    counts = np.concatenate([[0], chosen.column("c").to_numpy(), [ends]]).astype(np.int64)
-    tree = Tree(counts, tokens, distinct, SYMBOLS)
-    encoded = _encode(docs, " ".join(chosen.column("w").to_pylist()), "t", ("id", "held")).withColumn("row", F.monotonically_increasing_id())
-    encoded = written(encoded, "encoded")
-    if tokens:
-        _grow(encoded.where("NOT held"), tree, depth)
-    else:
-        tree.levels = [Level(np.arange(tree.start + 1), np.ones(tree.start + 1), np.zeros(0, np.int64), np.zeros(0))]
-    rare = encoded.select("row", F.explode("rare").alias("w")).join(vocabulary.where(F.col("c") < least), "w", "left")
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.log10(c + F.lit(1.0))).alias("logs"), F.sum((c > 0).cast("long")).alias("seen"))
-    unit, other = float(np.log10(tree.unit)), float(np.log10(tree.unigram()[0]))
-    out = _score(encoded, tree, ("row", "id", "held")).join(rare, "row", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
+    encoded = written(_encode(docs, "t", ("id", "held")), "encoded")
+    train = encoded.where("NOT held")
+    words = written(_counted(train, 0), "words")
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    unit = tokens + distinct + 1
+    levels = _grow(train, words, unit, depth) if tokens else []
+    model, top = words.select("key", F.col("n").cast("double").alias("v")), [words.orderBy(F.desc("n"), "key").limit(WORDS).select("key", F.col("n").cast("double").alias("v"))]
+    contexts, followers = words.select("key", F.lit(0).alias("total"), F.lit(0.0).alias("back")).limit(0), words.select("key", F.lit(0.0).alias("share")).limit(0)
+    for a, b in levels:
+        contexts, followers = contexts.unionByName(a), followers.unionByName(b)
+    named = contexts.select(F.col("key").bitwiseXOR(F.lit(CONTEXT)).alias("key"), "total", F.col("back").alias("v"))
+    model = model.unionByName(named.select("key", "v")).unionByName(followers.select(F.col("key").bitwiseXOR(F.lit(FOLLOWER)).alias("key"), F.col("share").alias("v")))
+    top.append(named.orderBy(F.desc("total"), "key").limit(SYMBOLS).select("key", "v"))
+    rows = [x.toArrow() for x in top]
+    held = tuple(np.concatenate([r.column(i).to_numpy() for r in rows]) for i in (0, 1))
+    out = _score(encoded, model, (_bits(contexts), _bits(followers)), held, unit, depth, ("id", "held"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
         F.col("size").alias("n_tokens"),
-        (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("plain") + logs - F.col("size") * unit).alias("base_score"),
-        (F.col("tree") + logs - F.col("other") * (unit + other)).alias("score"),
+        F.col("base").alias("base_score"),
+        F.col("tree").alias("score"),
     )
 
 

@@ -131,3 +131,13 @@ def test_small_bounds_stay_exact_for_words_that_are_no_symbols(spark, monkeypatc
         assert r.base_score == pytest.approx(want[r.doc_id].base_score) and r.n_known == want[r.doc_id].n_known
         assert r.score < 0
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_all_frequent_words_are_symbols_against_brute_force(spark):
+    """More frequent words and contexts than any fixed number of symbols held: none is a class."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"x{k} y{k} z{k}" for k in (rng.randrange(2500) for _ in range(60)))) for i in range(2200)]
+    brute = Brute([t for d, t in rows if not held(d)], 3)
+    got = {r.doc_id: r.score for r in st.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(brute.c) > 7000
+    assert [got[d] for d, _ in rows[:300]] == pytest.approx([brute.score(t) for _, t in rows[:300]], abs=1e-5)
