@@ -184,16 +184,18 @@ def _grow(train: DataFrame, words: DataFrame, unit: int, depth: int) -> list[tup
     import numpy as np
 
     spark = train.sparkSession
-    first = spark.createDataFrame([(int(x),) for x in _mixed(np.array([START], np.int64)).view(np.int64)], "key bigint")
-    frequent = written(_first_contexts(words.where((F.col("n") >= FREQUENT) & (F.col("key") != END))).unionByName(first), "frequent0")
+    texts = words.where(F.col("key") == END).select("n").first()[0]
+    first = spark.createDataFrame([(int(x), texts) for x in _mixed(np.array([START], np.int64)).view(np.int64)], "key bigint, n bigint")
+    frequent = written(_first_contexts(words.where((F.col("n") >= FREQUENT) & (F.col("key") != END))).unionByName(first.where(F.col("n") >= FREQUENT)), "frequent0")
     below = words.select(F.col("key").alias("low"), ((F.col("n") + 1) / F.lit(float(unit))).alias("p"))
     levels = []
     for length in range(1, depth + 1):
-        raw = written(_counted(train, length, _bits(frequent)), f"followers{length}")
-        own = F.when(F.col("n") >= 2, F.col("n") - DISCOUNT).otherwise(0.0)
-        totals = raw.groupBy("s").agg(F.sum("n").alias("total"), F.sum(own).alias("kept"), F.sum(F.when(F.col("n") < 2, F.col("n")).otherwise(0)).alias("single"))
-        totals = written(totals.where(F.col("total") >= FREQUENT).withColumn("back", 1 - F.col("kept") / F.col("total")), f"totals{length}")
-        seen = raw.where("n >= 2").join(totals, "s").join(below, "low")
+        # A context occurs as often as its last word follows the others, so followers seen once needn't be kept.
+        raw = written(_counted(train, length, _bits(frequent)).where("n >= 2"), f"followers{length}")
+        totals = raw.groupBy("s").agg(F.sum("n").alias("several"), F.sum(F.col("n") - DISCOUNT).alias("kept"))
+        totals = totals.join(frequent.select(F.col("key").alias("s"), F.col("n").alias("total")), "s")
+        totals = written(totals.select("s", "total", (F.col("total") - F.col("several")).alias("single"), (1 - F.col("kept") / F.col("total")).alias("back")), f"totals{length}")
+        seen = raw.join(totals, "s").join(below, "low")
         mixed = (F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.col("p")
         seen = written(seen.select("key", "s", "n", "total", "back", "single", "p", mixed.alias("q"), (F.col("n") * F.log(mixed / F.col("p"))).alias("gain")), f"gains{length}")
         saved = F.sum("gain") + F.first("single") * F.log(F.first("back"))
@@ -204,20 +206,20 @@ def _grow(train: DataFrame, words: DataFrame, unit: int, depth: int) -> list[tup
         contexts = followers.groupBy("s").agg(F.first("total").alias("total"), (1 - F.sum("share")).alias("back"))
         levels.append((written(contexts.select(F.col("s").alias("key"), "total", "back"), f"contexts{length}"), followers.select("key", "share")))
         below = seen.join(stay, "s", "left").select(F.col("key").alias("low"), F.when(F.col("stays"), F.col("q")).otherwise(F.col("p")).alias("p"))
-        frequent = raw.where(F.col("n") >= FREQUENT).select("key")
+        frequent = raw.where(F.col("n") >= FREQUENT).select("key", "n")
     return levels
 
 
 def _first_contexts(words: DataFrame) -> DataFrame:
-    """The keys of contexts of one word."""
+    """(key, n) of contexts of one word."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_mixed(batch.column(0).to_numpy()).view("int64"))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(batch.column(0).to_numpy()).view("int64")), batch.column(1)], names=["key", "n"])
 
-    return words.select("key").mapInArrow(run, "key bigint")
+    return words.select("key", "n").mapInArrow(run, "key bigint, n bigint")
 
 
 def _asked(encoded: DataFrame, filters: tuple, held, depth: int) -> DataFrame:
