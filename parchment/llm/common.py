@@ -35,17 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int = ROWS) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     It cuts the lineage, survives lost executors, and gives the planner exact sizes, so that a
     join with it is a broadcast only below spark.sql.autoBroadcastJoinThreshold. Python workers
-    get smaller Arrow batches while it is written.
+    get Arrow batches of `rows` rows at most while it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parchment/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     before = int(spark.conf.get(BATCH_ROWS))
-    spark.conf.set(BATCH_ROWS, min(before, ROWS) if before > 0 else ROWS)
+    spark.conf.set(BATCH_ROWS, min(before, rows) if before > 0 else rows)
     try:
         df.write.parquet(path)
     finally:

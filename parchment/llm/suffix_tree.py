@@ -5,37 +5,46 @@ tree's contexts grow level by level: a context is a candidate if it is frequent,
 next-word distribution diverges from that of its suffix. Distributions are smoothed by absolute
 discounting towards the suffix's. A text is scored with the longest suffix state at each place.
 
-The model is written tables with no bound on their rows. Texts are scored in chunks: a chunk asks for
-the words, contexts and followers that it has, a join by key answers. What workers hold beside that has
-fixed bounds and decides nothing but cost: filters by hashed bits, and the most frequent rows.
+Texts are kept as chunks with a dictionary each. For a level, a chunk sends the distinct pairs of a
+candidate context and the word behind it, packed, to the parts of the tree. A part is a subtree: the
+contexts with one last word, or some of the following words if that last word is hot, so that what a pair is compared
+with, the pair of the context's suffix, is in the same part. The part adds the counts up and answers
+each chunk with the sums of its own pairs, in their order.
+
+Nothing bounds the model's rows. What workers hold beside a chunk or part has fixed bounds and decides
+nothing but cost: filters by hashed bits, and the most frequent words and contexts.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from parchment.llm.common import Places, fold, give_back, id_type, map_texts, table, written
+from parchment.llm.common import Places, fold, give_back, table, written
 
 #: Words and contexts, the most frequent ones, that each worker holds; all others are joined.
-WORDS = 1 << 14
-SYMBOLS = 1 << 12
+WORDS = 1 << 19
+SYMBOLS = 1 << 17
 DEPTH = 3
 #: A candidate context occurs at least so often; a follower of its own at least twice.
 FREQUENT = 20
 DISCOUNT = 0.75
-#: Nats that a context must save over its suffix, over all its occurrences.
-DIVERGENCE = 5.0
-#: Tokens looked at together, tokens of a chunk, and counts that a task holds.
-TOKENS = 150_000
-CHUNK = 500_000
-HELD = 250_000
+#: Nats that a context must save over its suffix, over all its occurrences; nats of a follower.
+DIVERGENCE, GAIN = 5.0, 0.1
+#: Tokens of a chunk (a longer text is one alone), training tokens of a part.
+CHUNK, PART = 2_000_000, 1_000_000
 #: Most bits of a filter. More keys than that make it pass more, never less.
 FILTER = 1 << 26
-#: Names of the end and the beginning of a text; what sets apart keys of contexts and of followers.
+#: Names of the end and the beginning of a text; what sets apart keys of contexts from those of words.
 END, START = -1205034819632174695, 0x2545F4914F6CDD1D
-CONTEXT, FOLLOWER = 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93
-STEP = 0x9E3779B97F4A7C15
+CONTEXT, STEP = 0x1B873593CC9E2D51, 0x9E3779B97F4A7C15
+#: The code of a follower that no count of two or more can have.
+OTHER = -1
 
 
 def split(text: str | None) -> list[bytes]:
@@ -43,51 +52,97 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def pack(*columns) -> bytes:
+    """Arrays as bytes. Signed integers are kept as differences, others in as few bytes as they need;
+    bytes of one weight stand together."""
+    import numpy as np
+    import pyarrow as pa
+
+    head, body = [len(columns)], []
+    for x in columns:
+        if x.dtype == np.int64:
+            steps = np.diff(x, prepend=np.int64(0))
+            x, kind = ((steps << 1) ^ (steps >> 63)).view(np.uint64), 0
+        else:
+            x = x.astype(np.min_scalar_type(int(x.max(initial=0)))) if x.dtype.kind == "u" else x
+            kind = ord(x.dtype.char)
+        head += [kind, len(x)]
+        body.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list:
+    import numpy as np
+    import pyarrow as pa
+
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    count = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * count, 8).tolist(), 8 + 16 * count, []
+    for code, n in zip(head[::2], head[1::2], strict=True):
+        kind = np.dtype(chr(code) if code else "u8")
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).reshape(n)
+        at += n * kind.itemsize
+        if not code:
+            x = np.cumsum((x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64))
+        out.append(x)
+    return out
+
+
 def _encode(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, ids (hashes of the words, the end last) and chunk: texts of some CHUNK tokens together."""
+    """chunk, the `keep` of its texts as arrays, and text: their sizes, the chunk's distinct words (the
+    end first) and the words of all texts as places in these, packed."""
+    source = df.select(*keep, F.col(text_col).alias("__text"))
+    out = StructType([StructField(c, ArrayType(source.schema[c].dataType)) for c in keep])
 
-    def worker():
+    def run(batches):
         from array import array
+        from collections import defaultdict
+        from itertools import count
 
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
         from xxhash import xxh64_intdigest
 
-        task = TaskContext.get().partitionId() << 32
-        seen = 0
-
-        def apply(texts: list) -> dict:
-            nonlocal seen
-            numbers, sizes, chunks = array("Q"), [], []
-            for text in texts:
-                own = split(text)
-                numbers.extend(map(xxh64_intdigest, own))
-                numbers.append(END % (1 << 64))
-                sizes.append(len(own) + 1)
-                chunks.append(task + seen // CHUNK)
-                seen += len(own) + 1
-            ends = np.cumsum([0, *sizes])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(numbers, np.int64)))
-            return {"ids": ids, "chunk": pa.array(chunks, pa.int64())}
-
-        return apply
+        chunk = TaskContext.get().partitionId() << 32
 
-    return map_texts(df, text_col, worker, "ids array<bigint>, chunk bigint", keep)
+        def fresh():
+            index = defaultdict(count().__next__)
+            return index, index[b""], array("I"), [], [[] for _ in keep]
 
+        def flush():
+            words = np.fromiter(map(xxh64_intdigest, index), np.uint64, len(index)).view(np.int64)
+            words[0] = END
+            order = np.argsort(words)
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            text = pack(np.array(sizes, np.uint64).astype(np.uint32), words[order], place[np.frombuffer(codes, np.uint32)])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(c)) for c in kept]
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([text], pa.binary())], names=["chunk", *keep, "text"])
+
+        index, end, codes, sizes, kept = fresh()
+        for batch in batches:
+            start = 0
+            for i, text in enumerate(batch.column(len(keep))):
+                own = split(text.as_py())
+                if sizes and len(codes) + len(own) >= CHUNK:
+                    for c, values in enumerate(kept):
+                        values.append(batch.column(c).slice(start, i - start))
+                    yield flush()
+                    start, chunk = i, chunk + 1
+                    index, end, codes, sizes, kept = fresh()
+                codes.extend(map(index.__getitem__, own))
+                codes.append(end)
+                sizes.append(len(own) + 1)
+            for c, values in enumerate(kept):
+                values.append(batch.column(c).slice(start))
+        if sizes:
+            yield flush()
+        del index, codes
+        give_back()
 
-def _slices(column):
-    """(first row, word hashes, offsets) of a list column, some TOKENS of them together."""
-    import numpy as np
-
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy()
-    row, n = 0, len(column)
-    while row < n:
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + TOKENS, "right")) - 1)
-        last = min(last, n)
-        yield row, values[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
-        row = last
+    return source.mapInArrow(run, StructType([*StructType.fromDDL("chunk bigint").fields, *out.fields, *StructType.fromDDL("text binary").fields]))
 
 
 def _mixed(ids):
@@ -98,23 +153,106 @@ def _mixed(ids):
     return x ^ (x >> np.uint64(29))
 
 
-def _keys(ids, offsets, depth: int):
-    """For each length: (places that have a context so long, keys of the contexts there, and of the
-    contexts with the word at the place). The key of words is a polynomial of their hashes, so that a
-    context with its follower is also a context one longer."""
+class Chunk:
+    """A chunk's texts: words by their hashes, and for each token the place of its word in these."""
+
+    def __init__(self, text: bytes, held=None) -> None:
+        import numpy as np
+
+        sizes, self.words, self.at = unpack(text)
+        self.sizes = sizes.astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.train = None if held is None else np.repeat(~np.asarray(held, bool), self.sizes)
+
+    def levels(self, depth: int):
+        """For each length: (places that have a context so long, keys of the contexts there, of their
+        suffixes, and of their last words). The key of words is a polynomial of their hashes, so that a
+        context with its follower is also a context one longer."""
+        import numpy as np
+
+        own = _mixed(self.words)[self.at]
+        place = np.arange(len(own)) - np.repeat(self.starts, self.sizes)
+        start = _mixed(np.array([START], np.int64))[0]
+        context, power, step, last = np.zeros(len(own), np.uint64), np.uint64(1), np.uint64(STEP), None
+        for k in range(1, depth + 1):
+            there = np.flatnonzero(place >= k - 1)
+            suffix = context[there]
+            context[there] = suffix + np.where(place[there] == k - 1, start, own[there - k]) * power
+            power = np.uint64(int(power) * int(step) % (1 << 64))
+            last = context.copy() if last is None else last
+            yield there, context[there].view(np.int64), suffix.view(np.int64), last[there].view(np.int64)
+
+
+@dataclass
+class Known:
+    """What each worker holds: words by falling count with their counts, bits of the words seen twice,
+    last words with more tokens than a part and their pieces, and how many parts there are."""
+
+    words: Any
+    counts: Any
+    twice: Any
+    hot: Any
+    pieces: Any
+    parts: int
+    unit: int
+
+    def codes(self, words):
+        """A held word's rank, another word's hash."""
+        import numpy as np
+
+        rank = Places(self.words).find(words).astype(np.int64)
+        return np.where(rank >= 0, rank, np.where((words >= OTHER) & (words < len(self.words)), words ^ (1 << 62), words))
+
+    def hashes(self, codes):
+        import numpy as np
+
+        held = (codes >= 0) & (codes < len(self.words))
+        out = codes.copy()
+        out[held] = self.words[codes[held]]
+        return out
+
+
+@dataclass
+class Pairs:
+    """The distinct pairs of one length in a chunk, by part, context and word."""
+
+    there: Any  # places with a candidate context
+    pair: Any  # the pair at each of these
+    context: Any  # of each pair: its context, as a place in contexts
+    contexts: Any
+    suffixes: Any
+    code: Any
+    part: Any
+
+
+def _pairs(chunk: Chunk, level: tuple, bits, known: Known, codes) -> Pairs:
+    import numpy as np
+
+    there, contexts, suffixes, last = level
+    ok = _passes(bits, contexts)
+    there, contexts, suffixes, last = there[ok], contexts[ok], suffixes[ok], last[ok]
+    distinct, first, context = np.unique(contexts, return_index=True, return_inverse=True)
+    often = np.where((codes >= 0) & (codes < len(known.words)), known.counts[np.clip(codes, 0, max(0, len(known.counts) - 1))] >= 2, _passes(known.twice, chunk.words)) if len(known.counts) else np.zeros(len(codes), bool)
+    names = np.where(often, codes, OTHER)
+    ordered, rank = np.unique(names, return_inverse=True)
+    key = context * np.int64(len(ordered)) + rank[chunk.at[there]]
+    key, pair = np.unique(key, return_inverse=True)
+    context, code = key // len(ordered), ordered[key % len(ordered)]
+    hot = Places(known.hot).find(last[first])
+    pieces = np.where(hot >= 0, known.pieces[hot], 1)[context] if len(known.hot) else np.ones(len(context), np.int64)
+    part = last[first].view(np.uint64)[context] + (code % pieces).view(np.uint64) * np.uint64(STEP)
+    part = ((part ^ (part >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(known.parts)
+    order = np.argsort(part, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return Pairs(there, back[pair], context[order], distinct, suffixes[first], code[order], part[order].astype(np.int64))
+
+
+def _edges(x):
+    """Where runs of equal values begin, and the end."""
     import numpy as np
 
-    own = _mixed(ids)
-    place = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
-    start = _mixed(np.array([START], np.int64))[0]
-    context, power, step = np.zeros(len(ids), np.uint64), np.uint64(1), np.uint64(STEP)
-    for k in range(1, depth + 1):
-        there = np.flatnonzero(place >= k - 1)
-        older = np.where(place[there] == k - 1, start, own[there - k])
-        context[there] += older * power
-        power = np.uint64(int(power) * STEP % (1 << 64))
-        key = context[there]
-        yield there, key.view(np.int64), (key * step + own[there]).view(np.int64)
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
 def _bits(df: DataFrame):
@@ -136,158 +274,318 @@ def _passes(bits, keys):
     return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
-def _counted(encoded: DataFrame, length: int, bits=None) -> DataFrame:
-    """(key, s, low, n): how often a word follows a context of this length that passes the filter, with
-    the keys of the context and of the word behind the context's suffix. Length 0: (key, n) of words."""
-    names = ["key", "s", "low", "n"] if length else ["key", "n"]
+def _counted(encoded: DataFrame) -> DataFrame:
+    """(key, n): how often each word stands in training texts."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def merged():
-            parts = [np.concatenate(c) for c in zip(*held, strict=True)]
-            first, inverse = np.unique(parts[0], return_index=True, return_inverse=True)[1:]
-            return [*(c[first] for c in parts[:-1]), np.bincount(inverse, parts[-1], len(first)).astype(np.int64)]
+        for batch in batches:
+            for text, held in zip(batch.column(0), batch.column(1), strict=True):
+                chunk = Chunk(text.as_py(), held.values.to_numpy(zero_copy_only=False))
+                n = np.bincount(chunk.at[chunk.train], minlength=len(chunk.words))
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.words[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["key", "n"])
+        give_back()
+
+    return encoded.select("text", "held").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
-        held: list = []
+
+def _cells(encoded: DataFrame, length: int, shared: Broadcast, bits: Broadcast) -> DataFrame:
+    """(part, chunk, cell): a chunk's pairs in a part: contexts, their numbers of pairs, their
+    suffixes, followers and training counts."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = shared.value
         for batch in batches:
-            for _, ids, offsets in _slices(batch.column(0)):
-                if length:
-                    low = ids
-                    for k, (there, context, key) in enumerate(_keys(ids, offsets, length), 1):
-                        if k < length:
-                            low = np.zeros(len(ids), np.int64)
-                            low[there] = key
-                    ok = _passes(bits, context)
-                    columns = [key[ok], context[ok], low[there][ok]]
-                else:
-                    columns = [ids]
-                _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
-                held.append([*(c[first] for c in columns), n])
-                if sum(len(x[0]) for x in held) > 4 * HELD:
-                    held = [merged()]
-                    if len(held[0][0]) > 2 * HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held[0]], names=names)
-                        held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in merged()], names=names)
-        held.clear()
+            for number, text, held in zip(*(batch.column(i) for i in range(3)), strict=True):
+                chunk = Chunk(text.as_py(), held.values.to_numpy(zero_copy_only=False))
+                for level in chunk.levels(length):
+                    pass
+                x = _pairs(chunk, level, bits.value, known, known.codes(chunk.words))
+                n = np.bincount(x.pair[chunk.train[x.there]], minlength=len(x.context))
+                del level
+                edges, parts, cells = _edges(x.part), [], []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    own = _edges(x.context[a:b])
+                    names = x.context[a:b][own[:-1]]
+                    parts.append(int(x.part[a]))
+                    cells.append(pack(x.contexts[names], np.diff(own).astype(np.uint32), x.suffixes[names], x.code[a:b], n[a:b].astype(np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([number.as_py()] * len(parts), pa.int64()), pa.array(cells, pa.binary())], names=["part", "chunk", "cell"])
         give_back()
 
-    rows = encoded.select("ids").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
-    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in names[1:-1]), F.sum("n").alias("n"))
+    return encoded.select("chunk", "text", "held").mapInArrow(run, "part bigint, chunk bigint, cell binary")
+
 
+MERGED = "part bigint, chunk bigint, cell binary, s array<bigint>, total array<bigint>, several array<bigint>, kept array<double>, next array<bigint>, asked array<bigint>"
 
-def _grow(train: DataFrame, words: DataFrame, unit: int, depth: int) -> list[tuple[DataFrame, DataFrame]]:
-    """The tree, by levels: contexts (key, total, back) and followers (key, share)."""
+
+def _merged(cells: DataFrame, shared: Broadcast) -> DataFrame:
+    """The sums of the cells of a part. With a chunk: the counts of its pairs, 0 for those under two.
+    Without: the pairs that count two or more, and of each context (s) its occurrences, and the counts and
+    discounted counts of its pairs; keys of frequent sequences; followers that aren't held."""
+
+    def run(x):
+        import numpy as np
+        import pyarrow as pa
+
+        own = [unpack(v.as_py()) for v in x.column("cell")]
+        parts = x.column("part")
+        counts = np.concatenate([c[1] for c in own]).astype(np.int64)
+        s, first, at = np.unique(np.concatenate([c[0] for c in own]), return_index=True, return_inverse=True)
+        suffix = np.concatenate([c[2] for c in own])[first]
+        w, word = np.unique(np.concatenate([c[3] for c in own]), return_inverse=True)
+        key, pair = np.unique(np.repeat(at, counts) * np.int64(len(w)) + word, return_inverse=True)
+        n = np.bincount(pair, np.concatenate([c[4] for c in own])).astype(np.int64)
+        context, word = key // len(w), key % len(w)
+        total = np.bincount(context, n, len(s)).astype(np.int64)
+        keeps = (n >= 2) & (w[word] != OTHER)
+        ends = np.cumsum([len(c[4]) for c in own])
+        answers = np.where(keeps, n, 0)[pair]
+        cells = [pack(answers[e - len(c[4]) : e].astype(np.uint64).astype(np.uint32)) for e, c in zip(ends, own, strict=True)]
+        context, word, n = context[keeps], word[keeps], n[keeps]
+        edges = _edges(context)
+        names = context[edges[:-1]]
+        several = np.bincount(context, n, len(s)).astype(np.int64)
+        kept = np.bincount(context, n - DISCOUNT, len(s))
+        often = n >= FREQUENT
+        known = shared.value
+        hashes = known.hashes(w[word[often]])
+        following = (s[context[often]].view(np.uint64) * np.uint64(STEP) + _mixed(hashes)).view(np.int64)[hashes != END]
+        asked = w[(w < 0) | (w >= len(known.words))]
+        asked = asked[np.isin(asked, w[word])]
+        lists = [s, total, several, kept, following, asked]
+        cells.append(pack(s[names], np.diff(edges).astype(np.uint32), suffix[names], w[word], n.astype(np.uint64)))
+        rows = len(own)
+        made = {"part": pa.array([parts[0].as_py()] * (rows + 1), pa.int64()), "chunk": pa.concat_arrays([x.column("chunk").combine_chunks(), pa.nulls(1, pa.int64())]), "cell": pa.array(cells, pa.binary())}
+        for name, values in zip(("s", "total", "several", "kept", "next", "asked"), lists, strict=True):
+            kind = pa.float64() if name == "kept" else pa.int64()
+            made[name] = pa.array([None] * rows + [values], pa.list_(kind))
+        return pa.table(made)
+
+    return cells.groupBy("part").applyInArrow(run, MERGED)
+
+
+def _gains(merged: DataFrame, right: DataFrame, length: int, shared: Broadcast) -> DataFrame:
+    """(part, cell, s, saved, share): the pairs of a part with the probabilities that their contexts'
+    suffixes give; what the pairs of each context save over these, and the shares of those that stay.
+
+    right, by kind: own (contexts s of the part with their total and back), stay (those of the level
+    below that stay), low (cells of the level below), word (total of a word s that isn't held)."""
+
+    def run(pairs, right):
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = {"part": pa.int64(), "cell": pa.binary(), "s": pa.list_(pa.int64()), "saved": pa.list_(pa.float64()), "share": pa.list_(pa.float64())}
+        if not pairs.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        s, counts, suffix, w, n = unpack(pairs.column("cell")[0].as_py())
+        context, n = np.repeat(np.arange(len(s)), counts), n.astype(np.float64)
+        sort = np.array(right.column("kind").to_pylist(), "U4")
+
+        def rows(kind: str):
+            own = right.filter(pa.array(sort == kind))
+            names = own.column("s").to_numpy()
+            order = np.argsort(names)
+            return names[order], own.column("total").to_numpy()[order].astype(np.float64), own.column("back").to_numpy()[order]
+
+        def found(names, wanted):
+            at = np.searchsorted(names, wanted)
+            at[at == len(names)] = 0
+            return at, names[at] == wanted if len(names) else np.zeros(len(wanted), bool)
+
+        if length == 1:
+            known = shared.value
+            held = (w >= 0) & (w < len(known.counts))
+            number = np.zeros(len(w))
+            number[held] = known.counts[w[held]]
+            names, more, _ = rows("word")
+            at, there = found(names, w)
+            there &= ~held
+            number[there] = more[at[there]]
+            p = (number + 1.0) / known.unit
+        else:
+            p = np.ones(len(n))
+            stay, total, back = rows("stay")
+            for cell in right.filter(pa.array(sort == "low")).column("cell").to_pylist():
+                ls, lcounts, lw, ln, q = unpack(cell)
+                lcontext, q = np.repeat(np.arange(len(ls)), lcounts), q.astype(np.float64)
+                at, stays = found(stay, ls)
+                if len(stay):
+                    q = np.where(stays[lcontext], (ln - DISCOUNT) / total[at][lcontext] + back[at][lcontext] * q, q)
+                names = np.unique(np.concatenate([w, lw]))
+                at, there = found(ls, suffix)
+                key = lcontext * np.int64(len(names)) + np.searchsorted(names, lw)
+                place, hit = found(key, at[context] * np.int64(len(names)) + np.searchsorted(names, w))
+                hit &= there[context]
+                p[hit] = q[place[hit]]
+        names, total, back = rows("own")
+        at, there = found(names, s)
+        saved = share = np.zeros(0)
+        if len(names):
+            ratio = (n - DISCOUNT) / total[at][context]
+            gain = n * np.log((ratio + back[at][context] * p) / p)
+            saved = np.bincount(context, gain, len(s))[there]
+            share = np.bincount(context, np.where(gain > GAIN, ratio, 0.0), len(s))[there]
+        cell = pack(s, counts, w, n.astype(np.uint64), p.astype(np.float32))
+        made = {"part": pairs.column("part")[0].as_py(), "cell": cell, "s": s[there], "saved": saved, "share": share}
+        return pa.table({k: pa.array([v], kinds[k]) for k, v in made.items()})
+
+    pairs = merged.where("chunk IS NULL").select("part", "cell")
+    return pairs.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, "part bigint, cell binary, s array<bigint>, saved array<double>, share array<double>")
+
+
+RIGHT = "part bigint, kind string, cell binary, s bigint, total bigint, back double"
+
+
+def _right(df: DataFrame, kind: str, **columns) -> DataFrame:
+    """df as rows of `_gains`."""
+    fields = StructType.fromDDL(RIGHT).fields
+    made = {"kind": F.lit(kind)} | columns
+    return df.select(*(made.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def _grow(encoded: DataFrame, words: DataFrame, texts: int, shared: Broadcast, depth: int) -> tuple[DataFrame, DataFrame, list[Broadcast]]:
+    """The tree: contexts that stay (s, total, back, least), the answers to chunks (chunk, level, part,
+    cell), and the filters of the candidates by level. back is what is left for the suffix in the fit,
+    least that of the pairs that stay."""
     import numpy as np
 
-    spark = train.sparkSession
-    texts = words.where(F.col("key") == END).select("n").first()[0]
-    first = spark.createDataFrame([(int(x), texts) for x in _mixed(np.array([START], np.int64)).view(np.int64)], "key bigint, n bigint")
-    frequent = written(_first_contexts(words.where((F.col("n") >= FREQUENT) & (F.col("key") != END))).unionByName(first.where(F.col("n") >= FREQUENT)), "frequent0")
-    below = words.select(F.col("key").alias("low"), ((F.col("n") + 1) / F.lit(float(unit))).alias("p"))
-    levels = []
+    spark, filters = encoded.sparkSession, []
+    start = [(int(x),) for x in _mixed(np.array([START], np.int64)).view(np.int64)] if texts >= FREQUENT else []
+    candidates = _first_contexts(words.where((F.col("n") >= FREQUENT) & (F.col("key") != END))).unionByName(spark.createDataFrame(start, "key bigint"))
+    tree = answers = below = None
     for length in range(1, depth + 1):
-        # A context occurs as often as its last word follows the others, so followers seen once needn't be kept.
-        raw = written(_counted(train, length, _bits(frequent)).where("n >= 2"), f"followers{length}")
-        totals = raw.groupBy("s").agg(F.sum("n").alias("several"), F.sum(F.col("n") - DISCOUNT).alias("kept"))
-        totals = totals.join(frequent.select(F.col("key").alias("s"), F.col("n").alias("total")), "s")
-        totals = written(totals.select("s", "total", (F.col("total") - F.col("several")).alias("single"), (1 - F.col("kept") / F.col("total")).alias("back")), f"totals{length}")
-        seen = raw.join(totals, "s").join(below, "low")
-        mixed = (F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.col("p")
-        seen = written(seen.select("key", "s", "n", "total", "back", "single", "p", mixed.alias("q"), (F.col("n") * F.log(mixed / F.col("p"))).alias("gain")), f"gains{length}")
-        saved = F.sum("gain") + F.first("single") * F.log(F.first("back"))
-        stay = seen.groupBy("s").agg(saved.alias("saved")).where(F.col("saved") > DIVERGENCE)
-        stay = written(stay.select("s", F.lit(True).alias("stays")), f"stay{length}")
-        share = (F.col("n") - DISCOUNT) / F.col("total")
-        followers = written(seen.join(stay, "s").where("gain > 0.1").select("key", "s", "total", share.alias("share")), f"shares{length}")
-        contexts = followers.groupBy("s").agg(F.first("total").alias("total"), (1 - F.sum("share")).alias("back"))
-        levels.append((written(contexts.select(F.col("s").alias("key"), "total", "back"), f"contexts{length}"), followers.select("key", "share")))
-        below = seen.join(stay, "s", "left").select(F.col("key").alias("low"), F.when(F.col("stays"), F.col("q")).otherwise(F.col("p")).alias("p"))
-        frequent = raw.where(F.col("n") >= FREQUENT).select("key", "n")
-    return levels
+        filters.append(spark.sparkContext.broadcast(_bits(candidates)))
+        merged = written(_merged(_cells(encoded, length, shared, filters[-1]), shared), f"level{length}", 64)
+        sums = merged.where("chunk IS NULL")
+        rows = sums.select("part", F.explode(F.arrays_zip("s", "total", "several", "kept")).alias("x")).select("part", "x.*")
+        totals = rows.groupBy("s").agg(*(F.sum(c).alias(c) for c in ("total", "several", "kept")), F.collect_set("part").alias("parts"))
+        totals = totals.where((F.col("total") >= FREQUENT) & (F.col("several") > 0))
+        totals = written(totals.select("s", "total", (F.col("total") - F.col("several")).alias("single"), (1 - F.col("kept") / F.col("total")).alias("back"), "parts"), f"totals{length}")
+        right = _right(totals.select("*", F.explode("parts").alias("part")), "own")
+        if below is None:
+            asked = sums.select("part", F.explode("asked").alias("key")).join(words, "key")
+            right = right.unionByName(_right(asked, "word", s=F.col("key"), total=F.col("n")))
+        else:
+            right = right.unionByName(below)
+        gains = written(_gains(merged, right, length, shared), f"gains{length}", 64)
+        saved = gains.select(F.explode(F.arrays_zip("s", "saved", "share")).alias("x")).select("x.*").groupBy("s").agg(F.sum("saved").alias("saved"), (1 - F.sum("share")).alias("least"))
+        stay = saved.join(totals, "s").where(F.col("saved") + F.col("single") * F.log("back") > DIVERGENCE)
+        stay = written(stay.select("s", "total", "back", "least", "parts"), f"stay{length}")
+        below = _right(gains, "low", s=F.lit(None)).unionByName(_right(stay.select("*", F.explode("parts").alias("part")), "stay"))
+        candidates = sums.select(F.explode("next").alias("key"))
+        own = merged.where("chunk IS NOT NULL").select("chunk", F.lit(length).alias("level"), "part", "cell")
+        tree = stay.drop("parts") if tree is None else tree.unionByName(stay.drop("parts"))
+        answers = own if answers is None else answers.unionByName(own)
+    return tree, answers, filters
 
 
 def _first_contexts(words: DataFrame) -> DataFrame:
-    """(key, n) of contexts of one word."""
+    """(key) of contexts of one word."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_mixed(batch.column(0).to_numpy()).view("int64")), batch.column(1)], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(batch.column(0).to_numpy()).view("int64"))], names=["key"])
 
-    return words.select("key", "n").mapInArrow(run, "key bigint, n bigint")
+    return words.select("key").mapInArrow(run, "key bigint")
 
 
-def _asked(encoded: DataFrame, filters: tuple, held, depth: int) -> DataFrame:
-    """(chunk, key): what each chunk needs of the model, but for what workers hold."""
+def _asked(encoded: DataFrame, depth: int, shared: Broadcast, tree: Broadcast) -> DataFrame:
+    """(chunk, key): the words and contexts that each chunk has and workers don't hold. tree: the
+    contexts that are held (names, total, back, least), and the filter of all."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def flush():
-            keys = np.unique(np.concatenate(wanted))
-            keys = keys[known.find(keys) < 0]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk), pa.int64()), pa.array(keys)], names=["chunk", "key"])
-
-        known, wanted, chunk = Places(held), [], None
+        words, held, bits = Places(shared.value.words), Places(tree.value[0]), tree.value[-1]
         for batch in batches:
-            chunks = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if wanted and chunks[a] != chunk:
-                    yield flush()
-                    wanted = []
-                chunk = int(chunks[a])
-                for _, ids, offsets in _slices(batch.column(1).slice(a, b - a)):
-                    wanted.append(np.unique(ids))
-                    for _, context, key in _keys(ids, offsets, depth):
-                        ok = _passes(filters[0], context)
-                        wanted.append(np.unique(context[ok]) ^ np.int64(CONTEXT))
-                        key = np.unique(key[ok])
-                        wanted.append(key[_passes(filters[1], key)] ^ np.int64(FOLLOWER))
-        if wanted:
-            yield flush()
-        wanted.clear()
+            for number, text in zip(batch.column(0), batch.column(1), strict=True):
+                chunk = Chunk(text.as_py())
+                wanted = [chunk.words[words.find(chunk.words) < 0]]
+                for _, contexts, _, _ in chunk.levels(depth):
+                    contexts = np.unique(contexts[_passes(bits, contexts)])
+                    wanted.append(contexts[held.find(contexts) < 0] ^ np.int64(CONTEXT))
+                keys = np.concatenate(wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number.as_py()), pa.int64()), pa.array(keys)], names=["chunk", "key"])
         give_back()
 
-    return encoded.select("chunk", "ids").mapInArrow(run, "chunk bigint, key bigint").distinct()
+    return encoded.select("chunk", "text").mapInArrow(run, "chunk bigint, key bigint")
 
 
-def _score(encoded: DataFrame, model: DataFrame, filters: tuple, held: tuple, unit: int, depth: int, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, and per text: size, known words, and the logs of the base and the tree's probabilities."""
-    types = ", ".join(f"`{c}` {id_type(encoded, c)}" for c in keep)
-    names = ["size", "known", "base", "tree"]
-    found = _asked(encoded, filters, held[0], depth).join(model, "key").select("chunk", "key", "v")
+def _score(encoded: DataFrame, right: DataFrame, shared: Broadcast, filters: list[Broadcast], tree: Broadcast, keep: tuple[str, ...]) -> DataFrame:
+    """`keep`, and per text: size, known words, and the logs of the base and the tree's probabilities.
 
-    def run(texts, rows):
+    right: answers to a chunk (level, part, cell) and what it asked for (key, n, back, least)."""
+    elements = [StructField(c, encoded.schema[c].dataType.elementType) for c in keep]
+    out = StructType([*elements, *StructType.fromDDL("size bigint, known bigint, base double, tree double").fields])
+
+    def run(texts, right):
         import numpy as np
         import pyarrow as pa
 
-        if not texts.num_rows:
-            return pa.table({c: texts.column(c) for c in keep} | {c: pa.array([], pa.float64() if c in names[2:] else pa.int64()) for c in names})
-        places = Places(np.concatenate([held[0], rows.column("key").to_numpy()]))
-        values = np.concatenate([held[1], rows.column("v").to_numpy(), [0.0]])
-        made = []
-        for _, ids, offsets in _slices(texts.column("ids").combine_chunks()):
-            count = values[places.find(ids)]
-            p = (count + 1.0) / unit
-            own = np.log10(p)
-            for there, context, key in _keys(ids, offsets, depth):
-                at = places.find(context ^ np.int64(CONTEXT))
-                there, at, key = there[at >= 0], at[at >= 0], key[at >= 0]
-                p[there] = p[there] * values[at] + values[places.find(key ^ np.int64(FOLLOWER))]
-            made.append([np.diff(offsets), *(np.add.reduceat(v, offsets[:-1]) for v in ((count > 0).astype(np.int64), own, np.log10(p)))])
-        return pa.table({c: texts.column(c) for c in keep} | {c: pa.array(np.concatenate(v)) for c, v in zip(names, zip(*made, strict=True), strict=True)})
-
-    source = encoded.select("chunk", *keep, "ids")
-    return source.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, f"{types}, size bigint, known bigint, base double, tree double")
+        made, known, held = [], shared.value, tree.value
+        asked = right.filter(pa.compute.is_null(right.column("level")))
+        names = asked.column("key").to_numpy()
+        sums, back, least = (asked.column(c).to_numpy() for c in ("n", "back", "least"))
+        words, contexts = Places(np.concatenate([known.words, names])), Places(np.concatenate([held[0] ^ np.int64(CONTEXT), names]))
+        counts = np.concatenate([known.counts, sums, [0]])
+        total, back, least = (np.concatenate([a, b, [0]]).astype(np.float64) for a, b in zip(held[1:4], (sums, back, least), strict=True))
+        for row in texts.column("text"):
+            chunk = Chunk(row.as_py())
+            count = counts[words.find(chunk.words)][chunk.at]
+            fit = (count + 1.0) / known.unit
+            base, p = np.log10(fit), fit.copy()
+            codes = known.codes(chunk.words)
+            for length, level in enumerate(chunk.levels(len(filters)), 1):
+                x = _pairs(chunk, level, filters[length - 1].value, known, codes)
+                cells = right.filter(pa.compute.equal(right.column("level"), length)).sort_by("part").column("cell")
+                n = np.concatenate([np.zeros(0, np.int64), *(unpack(c.as_py())[0].astype(np.int64) for c in cells)])[x.pair].astype(np.float64)
+                state = contexts.find(x.contexts ^ np.int64(CONTEXT))[x.context[x.pair]]
+                stays = state >= 0
+                there, n, state = x.there[stays], n[stays], state[stays]
+                share, kept, lower = (n - DISCOUNT) / total[state], n >= 2, fit[there]
+                mixed = share + back[state] * lower
+                gain = n * np.log(np.where(kept, mixed, lower) / lower)
+                p[there] = least[state] * p[there] + np.where(kept & (gain > GAIN), share, 0.0)
+                fit[there] = np.where(kept, mixed, lower)
+            known_words = np.add.reduceat((count > 0).astype(np.int64), chunk.starts)
+            made.append([chunk.sizes, known_words, np.add.reduceat(base, chunk.starts), np.add.reduceat(np.log10(p), chunk.starts)])
+        columns = [np.concatenate(c) if made else [] for c in (zip(*made, strict=True) if made else [()] * 4)]
+        rows = {c: pa.chunked_array([v.flatten() for v in texts.column(c).chunks], texts.schema.field(c).type.value_type) for c in keep}
+        return pa.table(rows | {"size": pa.array(columns[0], pa.int64()), "known": pa.array(columns[1], pa.int64()), "base": pa.array(columns[2], pa.float64()), "tree": pa.array(columns[3], pa.float64())})
+
+    source = encoded.select("chunk", *keep, "text")
+    return source.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, out)
+
+
+def _most(df: DataFrame, weight: str, bound: int) -> DataFrame:
+    """The rows of df of the largest weights, `bound` at most, whole steps of weights only."""
+    steps = df.groupBy(F.floor(F.log2(F.col(weight)) * 16).alias("step")).agg(F.count("*").alias("rows")).collect()
+    least, rows = float("inf"), 0
+    for step, count in sorted(((r.step, r.rows) for r in steps), reverse=True):
+        rows += count
+        if rows > bound:
+            break
+        least = step
+    return df.where(F.floor(F.log2(F.col(weight)) * 16) >= F.lit(least))
+
+
+def _held(df: DataFrame, weight: str, columns: tuple[str, ...]) -> tuple:
+    """The columns of df as arrays, by falling weight."""
+    import numpy as np
+
+    rows = df.select(*columns).toArrow()
+    found = [rows.column(c).to_numpy() for c in columns]
+    order = np.lexsort((found[0], -found[columns.index(weight)]))
+    return tuple(c[order] for c in found)
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -295,28 +593,34 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score
     (the tree), log10 probabilities of the whole text and its end. Null texts count as empty: one
-    token, the end. Repeated rows are counted and scored one by one. Without training texts all
-    words are unknown and all probabilities are those of an empty model.
+    token, the end. Repeated rows are counted and scored one by one. Other columns, whatever their
+    names, play no part. A text of any length is scored whole. Without training texts all
+    words are unknown and all probabilities are those of an empty model; of an empty table, no rows.
     """
     import numpy as np
 
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), (fold(id_col, 7) == 2).alias("held"))
-    encoded = written(_encode(docs, "t", ("id", "held")), "encoded")
-    train = encoded.where("NOT held")
-    words = written(_counted(train, 0), "words")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    unit = tokens + distinct + 1
-    levels = _grow(train, words, unit, depth) if tokens else []
-    model, top = words.select("key", F.col("n").cast("double").alias("v")), [words.orderBy(F.desc("n"), "key").limit(WORDS).select("key", F.col("n").cast("double").alias("v"))]
-    contexts, followers = words.select("key", F.lit(0).alias("total"), F.lit(0.0).alias("back")).limit(0), words.select("key", F.lit(0.0).alias("share")).limit(0)
-    for a, b in levels:
-        contexts, followers = contexts.unionByName(a), followers.unionByName(b)
-    named = contexts.select(F.col("key").bitwiseXOR(F.lit(CONTEXT)).alias("key"), "total", F.col("back").alias("v"))
-    model = model.unionByName(named.select("key", "v")).unionByName(followers.select(F.col("key").bitwiseXOR(F.lit(FOLLOWER)).alias("key"), F.col("share").alias("v")))
-    top.append(named.orderBy(F.desc("total"), "key").limit(SYMBOLS).select("key", "v"))
-    rows = [x.toArrow() for x in top]
-    held = tuple(np.concatenate([r.column(i).to_numpy() for r in rows]) for i in (0, 1))
-    out = _score(encoded, model, (_bits(contexts), _bits(followers)), held, unit, depth, ("id", "held"))
+    encoded = written(_encode(docs, "t", ("id", "held")), "encoded", 8)
+    words = written(_counted(encoded), "words")
+    tokens, distinct, texts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.max(F.when(F.col("key") == END, F.col("n")))).first()
+    names, counts = _held(_most(words, "n", WORDS), "n", ("key", "n"))
+    last = np.concatenate([_mixed(names), _mixed(np.array([START], np.int64))]).view(np.int64)
+    sizes = np.append(counts, texts or 0)
+    hot = sizes > PART
+    known = Known(names, counts, _bits(words.where("n >= 2")), last[hot], -(-sizes[hot] // PART), max(1, -(-tokens // PART)), tokens + distinct + 1)
+    shared = spark.sparkContext.broadcast(known)
+    model = words.selectExpr("key", "n", "CAST(NULL AS DOUBLE) back", "CAST(NULL AS DOUBLE) least")
+    kept, filters, answers = (*[np.zeros(0, np.int64)] * 4, np.zeros(16, np.int64)), [], None
+    if tokens and depth:
+        tree, answers, filters = _grow(encoded, words, texts, shared, depth)
+        kept = *_held(_most(tree, "total", SYMBOLS), "total", ("s", "total", "back", "least")), _bits(tree.withColumnRenamed("s", "key"))
+        model = model.unionByName(tree.select(F.col("s").bitwiseXOR(F.lit(CONTEXT)).alias("key"), F.col("total").alias("n"), "back", "least"))
+    kept = spark.sparkContext.broadcast(kept)
+    right = _asked(encoded, len(filters), shared, kept).join(model, "key").selectExpr("chunk", "key", "n", "back", "least", "CAST(NULL AS INT) level", "CAST(NULL AS BIGINT) part", "CAST(NULL AS BINARY) cell")
+    if answers is not None:
+        right = right.unionByName(answers, allowMissingColumns=True)
+    out = _score(encoded, right, shared, filters, kept, ("id", "held"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
