@@ -84,3 +84,54 @@ def test_pages_of_another_layout_do_not_hide_the_template(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "MERGED", 3, raising=False)
     got = {r.page_id: r.text for r in wrappers.main_text(df).collect()}
     assert got == {i: want(i) for i in range(200)}
+
+
+def unnamed(i, article=None):
+    """A page whose elements have no names: links, an advert, the article and a footer, all divs."""
+    words = " ".join(f"w{i}x{k}" for k in range(2 if i % 6 == 5 else 60))
+    article = article or f"<h1>Head {i}</h1><p>{words}</p><p>By <a href=x>someone</a>, {i}.</p>"
+    links = "".join(f"<li><a href='/{k}'>go {k}</a></li>" for k in range(3 + i % 3))
+    advert = f"<div>Buy {i} of these now while they last, they are cheap {i}</div>" if i % 2 else ""
+    return f"<html><body><div><ul><li><a href='/'>Home</a></li>{links}</ul></div>{advert}<div>{article}</div><div><p>&copy; Example Corp {i % 4}</p></div></body></html>"
+
+
+def article_of(i):
+    return " ".join([f"Head {i}", *[" ".join(f"w{i}x{k}" for k in range(2 if i % 6 == 5 else 60))], f"By someone, {i}."])
+
+
+def test_the_wrapper_finds_the_article_among_unnamed_elements(spark):
+    """The hosts' pages decide where the article is, also for pages that have more advert than article."""
+    rows = [(i, "http://plain/", unnamed(i)) for i in range(40)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: article_of(i) for i in range(40)}
+    alone = {i: wrappers.extract(unnamed(i), None) for i in range(40)}
+    assert all(alone[i] != got[i] for i in range(5, 40, 6))
+
+
+def test_results_come_from_the_wrapper(spark):
+    """With all names taken out of the corpus's pages, the wrapper still finds the same articles, and
+    without the article's place nearly all pages have other texts."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    found = {r.page_id: r.text for r in wrappers.op9_html_text(spark, DATA).collect()}
+    host = wrappers.host("url")
+    large = [r.h for r in pages.groupBy(host.alias("h")).count().where(f"count >= {wrappers.ENOUGH}").collect()]
+    plain = [(r.page_id, r.url, re.sub(r"<(/?)(?:nav|footer|article)>", r"<\1div>", r.html).replace('<div class="ad">', "<div>")) for r in pages.where(host.isin(large)).collect()]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(plain, "page_id bigint, url string, html string")).collect()}
+    assert len(got) > 100 and got == {i: found[i] for i in got}
+    nowhere = wrappers.json.dumps({"main": "", "menus": [], "items": []})
+    assert sum(wrappers.extract(x, nowhere) != got[i] for i, _, x in plain) > 0.9 * len(plain)
+
+
+def test_names_are_whole_and_a_tie_break():
+    parts = "".join(f'<div class="{c}"><p>Study text</p></div>' for c in ("social-science", "side-effects", "share-price", "notice-of-results"))
+    assert wrappers.extract(f"<article><h1>T</h1>{parts}</article>", None) == " ".join(["T"] + ["Study text"] * 4)
+    # An element that is called a widget but holds all pages' text is the article.
+    raw = [f"<body><div class=widget><h1>T{i}</h1><p>{'text ' * 50}{i}</p></div><div class=x><p>short {i}</p></div></body>" for i in range(30)]
+    wrapper = wrappers.json.dumps(wrappers.infer(raw))
+    assert wrappers.extract(raw[3], wrapper) == f"T3 {'text ' * 50}3"
+
+
+def test_copies_of_an_article_are_no_template():
+    raw = [f"<html><body><nav>{'<a>m</a>' * (i % 3)}</nav><article><p>{'same words ' * 30}</p></article><footer>{i}</footer></body></html>" for i in range(20)]
+    wrapper = wrappers.json.dumps(wrappers.infer(raw))
+    assert wrappers.extract(raw[0], wrapper) == " ".join(["same words"] * 30)
