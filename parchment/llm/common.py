@@ -66,6 +66,17 @@ def fold(id_col: str, parts: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def kept(columns: Iterable[str], made: Iterable[str]) -> list[str]:
+    """The columns that pass an operator: each once, without those named like one it makes (as Spark
+    compares names)."""
+    taken, out = {x.lower() for x in made}, []
+    for c in columns:
+        if c.lower() not in taken:
+            taken.add(c.lower())
+            out.append(c)
+    return out
+
+
 def sliced(batch, column: int, size: int) -> Iterator:
     """Slices of a record batch with about `size` bytes in a string or list column each."""
     import numpy as np
@@ -108,13 +119,15 @@ def map_texts(
     """Map Arrow batches of whole texts.
 
     worker() runs once per task and returns a function from a list of texts (None for null) to a
-    dict of Arrow arrays, one value per text. The columns in `keep` are passed through. Batches
+    dict of Arrow arrays, one value per text. The columns in `keep` are passed through, but for those
+    named like a column of the schema, which give way to it. Batches
     are cut into slices of about `size` bytes of text, a longer text alone, so that a task's memory
     doesn't depend on the batch size.
     """
-    keep = list(keep)
+    made_fields = StructType.fromDDL(schema).fields
+    keep = kept(keep, (f.name for f in made_fields))
     source = df.select(*keep, F.col(text_col).alias("__text"))
-    out = StructType([source.schema[c] for c in keep] + StructType.fromDDL(schema).fields)
+    out = StructType([source.schema[c] for c in keep] + made_fields)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

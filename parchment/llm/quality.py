@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import SPACES, WORD, table
+from parchment.llm.common import SPACES, WORD, kept, table
 
 #: Common function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -63,13 +63,22 @@ def _fails(rule: Rule) -> Column:
     return low | (F.col(rule.metric) > rule.high) if rule.high is not None else low
 
 
+#: The columns made here.
+MADE = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_exclamations n_upper n_stop_words repeat_percent mean_word_chars symbols_per_word "
+    "exclamations_per_word upper_ratio stop_ratio dup_line_ratio failed_rules base_failed kept"
+).split()
+
+
 def measure(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The metrics of every text. Null and empty texts have no words and all counts zero.
 
     Words are runs of anything but ASCII white space. Repeated words are the positions that
     three-word windows cover which occur at least twice in the same text: the windows' hashes are
-    sorted together with their positions, so a text of n words costs n log n.
+    sorted together with their positions, so a text of n words costs n log n. A kept column named like
+    one that is made here or by `verdicts` gives way to it.
     """
+    keep = kept(keep, MADE)
     d = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     d = d.withColumn("__w", F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)))
     d = d.withColumn("n_words", F.size("__w").cast("long"))

@@ -20,8 +20,7 @@ from parchment.llm.common import fold, map_texts, table, written
 
 #: Bound of the labelled sample that the classifier is fitted on, in documents.
 SAMPLE = 40_000
-#: Bound of the word beginnings that reach the driver.
-FEATURES = 1 << 18
+#: Letters of the beginnings of words that are features: a choice of the model, whole words are others.
 SHORTEST, LONGEST = 2, 8
 PRIOR = 10.0
 LEAST = 5
@@ -207,7 +206,7 @@ def _logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
     if not points:
         return -2.0, 1.0
     x = np.column_stack([np.ones(len(points)), np.log1p([p for p, _ in points])])
-    y = np.array([t for _, t in points], float)
+    y = np.array([t > 0 for _, t in points], float)
     beta, ridge = np.zeros(2), np.diag([1e-2, 1e-2])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -219,20 +218,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Fit on a hash sample of at most `sample` labelled documents whose crc32(id) mod 4 isn't 2.
 
     Three quarters of the sample give the weights, one quarter the calibration. Without labels the
-    model finds nothing.
+    model finds nothing. Null labels are none; of several labels of an id the highest counts; null texts
+    are empty.
     """
     chosen = _sample(df, labels, id_col, text_col, sample)
     part = F.pmod(F.xxhash64("id", F.lit(44)), F.lit(4))
     features = _counts(chosen.where(part != 0))
-    by_count = {r.n: r["count"] for r in features.groupBy(F.least(F.col("n0") + F.col("n1"), F.lit(100_000)).alias("n")).count().collect()}
-    least, room = 100_000, FEATURES
-    for n in sorted(by_count, reverse=True):
-        room -= by_count[n]
-        if room < 0:
-            break
-        least = n
-    rows = features.where(F.col("n0") + F.col("n1") >= least).collect()
-    counted = {r.f: (r.n0, r.n1) for r in rows}
+    # All features of the sample: they are bounded by it, whatever the corpus holds.
+    rows = features.select("f", "n0", "n1").toArrow()
+    counted = dict(zip(rows.column("f").to_pylist(), zip(rows.column("n0").to_pylist(), rows.column("n1").to_pylist(), strict=True), strict=True))
     n0, n1 = (sum(c[i] for f, c in counted.items() if f.endswith("\t")) for i in (0, 1))
     model = Model(weight=log_odds(counted, n0, n1))
 
@@ -251,13 +245,27 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     held = written(_scan(chosen.where(part == 0), model, "t", ("y",), "n bigint, scores array<double>, bins array<bigint>, counts array<bigint>", columns), "calibration")
     tokens = held.where("y = 0").select(F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("x.bins").agg(F.sum("x.counts").alias("n")).collect()
     model.rate = _rate({r.bins / 4: r.n for r in tokens})
-    points = [(r.n, r.scores, int(r.y > 0)) for r in held.select("n", "scores", "y").collect()]
-    clean = [max(n, 1) * math.exp(-model.rate * max(s, default=0.0)) for n, s, y in points if not y]
-    model.size = len(clean) / sum(clean) if clean else 1.0
-    model.intercept, model.slope = _logistic([(evidence(s, n, model), y) for n, s, y in points])
+    most = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    count, chance = held.where("y = 0").agg(F.count("*"), F.sum(F.greatest("n", F.lit(1)) * F.exp(most * -model.rate))).first()
+    model.size = count / chance if count else 1.0
+    points = _evidence(held, model).toArrow()
+    model.intercept, model.slope = _logistic(list(zip(points.column("x").to_pylist(), points.column("y").to_pylist(), strict=True)))
     return model
 
 
+def _evidence(held: DataFrame, model: Model) -> DataFrame:
+    """(x, y) of each row of the calibration, a quarter of the sample at most: its evidence and label."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [evidence(s, n, model) for n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(2)], names=["x", "y"])
+
+    return held.select("n", "scores", F.col("y").cast("double").alias("y")).mapInArrow(run, "x double, y double")
+
+
 def _rate(counts: dict[float, int]) -> float:
     """The positive solution x of: the mean of exp(x * weight) over clean tokens is 1."""
     total = sum(counts.values())
@@ -277,7 +285,9 @@ def passages(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
     """`keep`, score, and passages: the segments with a P-value of at most p_value, as token ranges.
 
     Tokens are runs of letters and digits. Null and empty texts have no passages and the score of
-    no evidence. The score depends on the text only.
+    no evidence. The score depends on the text only, so repeated rows have equal ones. Texts of any length
+    are scanned whole. A kept column named score or passages gives way to that made here; of an
+    empty table there are no rows.
     """
 
     def columns(found: list) -> dict:

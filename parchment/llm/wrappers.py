@@ -26,7 +26,7 @@ from html import unescape
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import id_type, table, written
+from parchment.llm.common import id_type, kept, table, written
 
 #: Pages of a host that one task aligns, and wrappers that one task merges.
 BLOCK, MERGED = 64, 16
@@ -437,10 +437,13 @@ def main_text(df: DataFrame, url_col: str = "url", html_col: str = "html", keep:
 
     Null pages are empty. Pages without a host share one wrapper. Character references are decoded,
     white space within a block becomes one space, blocks are joined by one space in page order.
-    Repeated rows are read one by one.
+    Repeated rows are read one by one, and count once for the wrapper. A kept column named text gives
+    way to the text made here; other columns play no part. Pages of any length are read whole; of an empty
+    table there are no rows.
     """
     import pyarrow as pa
 
+    keep = tuple(kept(keep, ("text",)))
     known = written(wrappers(df, url_col, html_col), "wrappers").select(F.col("host").alias("__host"), "wrapper")
     rows = df.select(*keep, F.col(html_col).alias("__html"), host(url_col).alias("__h")).join(known, F.col("__h") == F.col("__host"), "left")
     rows = rows.select(*keep, "__html", "wrapper")

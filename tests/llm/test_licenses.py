@@ -64,3 +64,33 @@ def test_places_nulls_repeats_and_extra_columns(spark):
     assert by[texts[6]].labels == ["apache-2.0", "isc", "mit"] and by[texts[6]].expressions[0].permissive
     assert by[texts[5]].labels == ["cc-by", "cc-by-nc"] and by[texts[7]].labels == [] and by[None].score == 0
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "postfix"),
+    [
+        ("MIT or see LICENSE", "mit"),
+        ("MIT and some other text", "mit"),
+        ("see file", ""),
+        ("mit with some changes", "mit"),
+        ("GPL-2.0+ OR LicenseRef-own-1", "gpl-2.0+ licenseref-own-1 or"),
+        ("CC-BY-SA-4.0", "cc-by-sa-4.0"),
+    ],
+)
+def test_prose_is_no_licence(text, postfix):
+    assert " ".join(licenses.to_postfix(text)) == postfix
+
+
+def test_notices_are_an_expression_that_is_evaluated():
+    phrases = licenses.automaton()
+    cases = {
+        "Licensed under the MIT license or the Apache License, version 2.0": ("mit apache or", True, ["apache", "mit"]),
+        "MIT license, or at your option any later GNU General Public License": ("mit gpl or", True, ["gpl", "mit"]),
+        "MIT license for code. All rights reserved for pictures.": ("mit reserved and", False, ["mit", "reserved"]),
+        "cc by-sa 4.0": ("cc-by-sa", False, ["cc-by", "cc-by-sa"]),
+        "no notice": (None, None, []),
+    }
+    for text, (postfix, permissive, labels) in cases.items():
+        got = licenses.scan_text(text, phrases)
+        found = got["expressions"][0] if got["expressions"] else {"postfix": None, "permissive": None}
+        assert (found["postfix"], found["permissive"], got["labels"]) == (postfix, permissive, labels), text

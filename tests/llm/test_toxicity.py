@@ -72,3 +72,24 @@ def test_empty_tables(spark):
     assert toxicity.passages(df, model).count() == 0
     some = spark.createDataFrame([(1, "a text")], "doc_id bigint, text string")
     assert toxicity.passages(some, toxicity.fit(some, marks)).first().score < 0.3
+
+
+def test_kept_columns_that_clash_give_way(spark):
+    """Each operator that keeps columns: a kept one named like a made one is replaced, not doubled."""
+    from parchment.llm import bpe, licenses, quality, wrappers
+
+    df = spark.createDataFrame([(1, "some text"), (None, None)], "doc_id bigint, text string")
+    df = df.selectExpr("*", *(f"7 AS {c}" for c in ("labels", "score", "ids", "n_words", "Passages", "kept")))
+    keep = ("doc_id", "labels", "score", "ids", "n_words", "Passages", "kept", "doc_id")
+    made = {
+        "licenses": licenses.scan(df, keep=keep),
+        "toxicity": toxicity.passages(df, toxicity.Model(), keep=keep),
+        "bpe": bpe.encode(df, bpe.vocabulary(), keep=keep),
+        "quality": quality.verdicts(df, keep=keep),
+        "wrappers": wrappers.main_text(df.selectExpr("*", "'http://h/' AS url", "text AS html"), keep=(*keep, "text")),
+    }
+    for name, found in made.items():
+        assert len({c.lower() for c in found.columns}) == len(found.columns), name
+        assert found.count() == 2 and len(found.collect()) == 2, name
+    row = made["quality"].where("doc_id = 1").first()
+    assert (row.n_words, row.labels, row.kept) == (2, 7, False)
