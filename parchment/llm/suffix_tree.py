@@ -37,12 +37,13 @@ DISCOUNT = 0.75
 #: Nats that a context must save over its suffix, over all its occurrences; nats of a follower.
 DIVERGENCE, GAIN = 5.0, 0.1
 #: Tokens of a chunk (a longer text is one alone), training tokens of a part.
-CHUNK, PART = 2_000_000, 1_000_000
+CHUNK, PART = 1_500_000, 1_000_000
 #: Most bits of a filter. More keys than that make it pass more, never less.
 FILTER = 1 << 26
-#: Names of the end and the beginning of a text; what sets apart keys of contexts from those of words.
+SLOTS = (0, 19, 38)
+#: Names of the end and the beginning of a text; the base of the keys of sequences.
 END, START = -1205034819632174695, 0x2545F4914F6CDD1D
-CONTEXT, STEP = 0x1B873593CC9E2D51, 0x9E3779B97F4A7C15
+STEP = 0x9E3779B97F4A7C15
 #: The code of a follower that no count of two or more can have.
 OTHER = -1
 
@@ -90,10 +91,10 @@ def unpack(blob: bytes) -> list:
 
 
 def _encode(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """chunk, the `keep` of its texts as arrays, and text: their sizes, the chunk's distinct words (the
-    end first) and the words of all texts as places in these, packed."""
+    """chunk, tokens, the `keep` of its texts as arrays, and text: their sizes, the chunk's distinct words
+    by falling count and the words of all texts as places in these, packed."""
     source = df.select(*keep, F.col(text_col).alias("__text"))
-    out = StructType([StructField(c, ArrayType(source.schema[c].dataType)) for c in keep])
+    out = StructType([*StructType.fromDDL("chunk bigint, tokens bigint").fields, *(StructField(c, ArrayType(source.schema[c].dataType)) for c in keep), *StructType.fromDDL("text binary").fields])
 
     def run(batches):
         from array import array
@@ -114,12 +115,13 @@ def _encode(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
         def flush():
             words = np.fromiter(map(xxh64_intdigest, index), np.uint64, len(index)).view(np.int64)
             words[0] = END
-            order = np.argsort(words)
+            at = np.frombuffer(codes, np.uint32)
+            order = np.lexsort((words, -np.bincount(at)))
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order))
-            text = pack(np.array(sizes, np.uint64).astype(np.uint32), words[order], place[np.frombuffer(codes, np.uint32)])
+            text = pack(np.array(sizes, np.uint64), words[order], place[at])
             lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(c)) for c in kept]
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([text], pa.binary())], names=["chunk", *keep, "text"])
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(at)], pa.int64()), *lists, pa.array([text], pa.binary())], names=["chunk", "tokens", *keep, "text"])
 
         index, end, codes, sizes, kept = fresh()
         for batch in batches:
@@ -142,7 +144,7 @@ def _encode(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
         del index, codes
         give_back()
 
-    return source.mapInArrow(run, StructType([*StructType.fromDDL("chunk bigint").fields, *out.fields, *StructType.fromDDL("text binary").fields]))
+    return source.mapInArrow(run, out)
 
 
 def _mixed(ids):
@@ -165,22 +167,31 @@ class Chunk:
         self.train = None if held is None else np.repeat(~np.asarray(held, bool), self.sizes)
 
     def levels(self, depth: int):
-        """For each length: (places that have a context so long, keys of the contexts there, of their
-        suffixes, and of their last words). The key of words is a polynomial of their hashes, so that a
-        context with its follower is also a context one longer."""
+        """For each length: (places that have a context so long, keys of the contexts there; by place, keys
+        of the contexts' suffixes and of their last words). The key of words is a polynomial of their
+        hashes, so that a context with its follower is also a context one longer."""
         import numpy as np
 
         own = _mixed(self.words)[self.at]
-        place = np.arange(len(own)) - np.repeat(self.starts, self.sizes)
+        place = (np.arange(len(own)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
         start = _mixed(np.array([START], np.int64))[0]
         context, power, step, last = np.zeros(len(own), np.uint64), np.uint64(1), np.uint64(STEP), None
         for k in range(1, depth + 1):
-            there = np.flatnonzero(place >= k - 1)
-            suffix = context[there]
-            context[there] = suffix + np.where(place[there] == k - 1, start, own[there - k]) * power
+            there = np.flatnonzero(place >= k - 1).astype(np.int32)
+            suffix = context.copy()
+            context[there] += np.where(place[there] == k - 1, start, own[there - k]) * power
             power = np.uint64(int(power) * int(step) % (1 << 64))
             last = context.copy() if last is None else last
-            yield there, context[there].view(np.int64), suffix.view(np.int64), last[there].view(np.int64)
+            yield there, context[there].view(np.int64), suffix.view(np.int64), last.view(np.int64)
+
+    def word_parts(self, parts: int):
+        """(order of the words by part and hash, edges of the parts in it, the parts)."""
+        import numpy as np
+
+        part = _mixed(self.words) % np.uint64(parts)
+        order = np.lexsort((self.words, part))
+        edges = _edges(part[order])
+        return order, edges, part[order][edges[:-1]].astype(np.int64)
 
 
 @dataclass
@@ -196,11 +207,17 @@ class Known:
     parts: int
     unit: int
 
+    def find(self, words):
+        """The ranks of words, -1 for those that aren't held. The table is made once a worker."""
+        if "places" not in self.__dict__:
+            self.places = Places(self.words)
+        return self.places.find(words)
+
     def codes(self, words):
         """A held word's rank, another word's hash."""
         import numpy as np
 
-        rank = Places(self.words).find(words).astype(np.int64)
+        rank = self.find(words).astype(np.int64)
         return np.where(rank >= 0, rank, np.where((words >= OTHER) & (words < len(self.words)), words ^ (1 << 62), words))
 
     def hashes(self, codes):
@@ -212,6 +229,22 @@ class Known:
         return out
 
 
+@dataclass
+class Tree:
+    """The contexts that each worker holds, by falling total, and the filter of all contexts."""
+
+    names: Any
+    total: Any
+    back: Any
+    least: Any
+    bits: Any
+
+    def find(self, contexts):
+        if "places" not in self.__dict__:
+            self.places = Places(self.names)
+        return self.places.find(contexts)
+
+
 @dataclass
 class Pairs:
     """The distinct pairs of one length in a chunk, by part, context and word."""
@@ -230,22 +263,23 @@ def _pairs(chunk: Chunk, level: tuple, bits, known: Known, codes) -> Pairs:
 
     there, contexts, suffixes, last = level
     ok = _passes(bits, contexts)
-    there, contexts, suffixes, last = there[ok], contexts[ok], suffixes[ok], last[ok]
-    distinct, first, context = np.unique(contexts, return_index=True, return_inverse=True)
+    there = there[ok]
+    distinct, first, context = np.unique(contexts[ok], return_index=True, return_inverse=True)
+    suffixes, last = suffixes[there[first]], last[there[first]]
     often = np.where((codes >= 0) & (codes < len(known.words)), known.counts[np.clip(codes, 0, max(0, len(known.counts) - 1))] >= 2, _passes(known.twice, chunk.words)) if len(known.counts) else np.zeros(len(codes), bool)
     names = np.where(often, codes, OTHER)
     ordered, rank = np.unique(names, return_inverse=True)
     key = context * np.int64(len(ordered)) + rank[chunk.at[there]]
     key, pair = np.unique(key, return_inverse=True)
     context, code = key // len(ordered), ordered[key % len(ordered)]
-    hot = Places(known.hot).find(last[first])
+    hot = Places(known.hot).find(last)
     pieces = np.where(hot >= 0, known.pieces[hot], 1)[context] if len(known.hot) else np.ones(len(context), np.int64)
-    part = last[first].view(np.uint64)[context] + (code % pieces).view(np.uint64) * np.uint64(STEP)
+    part = last.view(np.uint64)[context] + (code % pieces).view(np.uint64) * np.uint64(STEP)
     part = ((part ^ (part >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(known.parts)
     order = np.argsort(part, kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    return Pairs(there, back[pair], context[order], distinct, suffixes[first], code[order], part[order].astype(np.int64))
+    return Pairs(there, back[pair], context[order], distinct, suffixes, code[order], part[order].astype(np.int64))
 
 
 def _edges(x):
@@ -256,12 +290,13 @@ def _edges(x):
 
 
 def _bits(df: DataFrame):
-    """The filter of the keys of df, as words of 64 bits: 16 bits a key, FILTER at most."""
+    """The filter of the keys of df, as words of 64 bits: 16 bits a key, FILTER at most, of which a key
+    sets three."""
     import numpy as np
 
     size = min(FILTER, max(1 << 10, 1 << (16 * df.count()).bit_length()))
-    slot = F.col("key").bitwiseAND(F.lit(size - 1))
-    rows = df.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    slots = F.explode(F.array(*(F.shiftrightunsigned("key", k).bitwiseAND(F.lit(size - 1)) for k in SLOTS))).alias("slot")
+    rows = df.select(slots).select(F.shiftrightunsigned("slot", 6).alias("at"), F.expr("shiftleft(1L, CAST(slot & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.int64)
     bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return bits
@@ -270,25 +305,45 @@ def _bits(df: DataFrame):
 def _passes(bits, keys):
     import numpy as np
 
-    slot = keys & np.int64(64 * len(bits) - 1)
-    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+    ok = np.ones(len(keys), bool)
+    for k in SLOTS:
+        slot = ((keys.view(np.uint64) >> np.uint64(k)) & np.uint64(64 * len(bits) - 1)).view(np.int64)
+        ok &= (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+    return ok
 
 
-def _counted(encoded: DataFrame) -> DataFrame:
-    """(key, n): how often each word stands in training texts."""
+def _counted(encoded: DataFrame, parts: int) -> DataFrame:
+    """The words of training texts, counted by part: rows with a chunk have the counts of its words
+    (cell), rows without have all words of a part (key) and their counts (n)."""
 
-    def run(batches):
+    def send(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for text, held in zip(batch.column(0), batch.column(1), strict=True):
+            for number, text, held in zip(*(batch.column(i) for i in range(3)), strict=True):
                 chunk = Chunk(text.as_py(), held.values.to_numpy(zero_copy_only=False))
-                n = np.bincount(chunk.at[chunk.train], minlength=len(chunk.words))
-                yield pa.RecordBatch.from_arrays([pa.array(chunk.words[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["key", "n"])
+                n = np.bincount(chunk.at[chunk.train], minlength=len(chunk.words)).astype(np.uint64)
+                order, edges, part = chunk.word_parts(parts)
+                cells = [pack(chunk.words[order[a:b]], n[order[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([number.as_py()] * len(part), pa.int64()), pa.array(cells, pa.binary())], names=["part", "chunk", "cell"])
         give_back()
 
-    return encoded.select("text", "held").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    def merge(x):
+        import numpy as np
+        import pyarrow as pa
+
+        own = [unpack(v.as_py()) for v in x.column("cell")]
+        words, at = np.unique(np.concatenate([c[0] for c in own]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([c[1] for c in own])).astype(np.int64)
+        ends = np.cumsum([len(c[0]) for c in own])
+        cells = [pack(n[at[e - len(c[0]) : e]].astype(np.uint64)) for e, c in zip(ends, own, strict=True)]
+        lists = {k: pa.array([None] * len(own) + [v[n > 0]], pa.list_(pa.int64())) for k, v in (("key", words), ("n", n))}
+        part = pa.array([x.column("part")[0].as_py()] * (len(own) + 1), pa.int64())
+        return pa.table({"part": part, "chunk": pa.concat_arrays([x.column("chunk").combine_chunks(), pa.nulls(1, pa.int64())]), "cell": pa.array([*cells, None], pa.binary()), **lists})
+
+    cells = encoded.select("chunk", "text", "held").mapInArrow(send, "part bigint, chunk bigint, cell binary")
+    return cells.groupBy("part").applyInArrow(merge, "part bigint, chunk bigint, cell binary, key array<bigint>, n array<bigint>")
 
 
 def _cells(encoded: DataFrame, length: int, shared: Broadcast, bits: Broadcast) -> DataFrame:
@@ -497,33 +552,31 @@ def _first_contexts(words: DataFrame) -> DataFrame:
     return words.select("key").mapInArrow(run, "key bigint")
 
 
-def _asked(encoded: DataFrame, depth: int, shared: Broadcast, tree: Broadcast) -> DataFrame:
-    """(chunk, key): the words and contexts that each chunk has and workers don't hold. tree: the
-    contexts that are held (names, total, back, least), and the filter of all."""
+def _asked(encoded: DataFrame, depth: int, tree: Broadcast) -> DataFrame:
+    """(chunk, s): the contexts that each chunk has and workers don't hold."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        words, held, bits = Places(shared.value.words), Places(tree.value[0]), tree.value[-1]
         for batch in batches:
             for number, text in zip(batch.column(0), batch.column(1), strict=True):
-                chunk = Chunk(text.as_py())
-                wanted = [chunk.words[words.find(chunk.words) < 0]]
-                for _, contexts, _, _ in chunk.levels(depth):
-                    contexts = np.unique(contexts[_passes(bits, contexts)])
-                    wanted.append(contexts[held.find(contexts) < 0] ^ np.int64(CONTEXT))
+                wanted = []
+                for _, contexts, _, _ in Chunk(text.as_py()).levels(depth):
+                    contexts = np.unique(contexts[_passes(tree.value.bits, contexts)])
+                    wanted.append(contexts[tree.value.find(contexts) < 0])
                 keys = np.concatenate(wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number.as_py()), pa.int64()), pa.array(keys)], names=["chunk", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number.as_py()), pa.int64()), pa.array(keys)], names=["chunk", "s"])
         give_back()
 
-    return encoded.select("chunk", "text").mapInArrow(run, "chunk bigint, key bigint")
+    return encoded.select("chunk", "text").mapInArrow(run, "chunk bigint, s bigint")
 
 
 def _score(encoded: DataFrame, right: DataFrame, shared: Broadcast, filters: list[Broadcast], tree: Broadcast, keep: tuple[str, ...]) -> DataFrame:
     """`keep`, and per text: size, known words, and the logs of the base and the tree's probabilities.
 
-    right: answers to a chunk (level, part, cell) and what it asked for (key, n, back, least)."""
+    right: answers to a chunk (level, part, cell; level 0: words) and contexts that it asked for (s,
+    total, back, least)."""
     elements = [StructField(c, encoded.schema[c].dataType.elementType) for c in keep]
     out = StructType([*elements, *StructType.fromDDL("size bigint, known bigint, base double, tree double").fields])
 
@@ -533,31 +586,39 @@ def _score(encoded: DataFrame, right: DataFrame, shared: Broadcast, filters: lis
 
         made, known, held = [], shared.value, tree.value
         asked = right.filter(pa.compute.is_null(right.column("level")))
-        names = asked.column("key").to_numpy()
-        sums, back, least = (asked.column(c).to_numpy() for c in ("n", "back", "least"))
-        words, contexts = Places(np.concatenate([known.words, names])), Places(np.concatenate([held[0] ^ np.int64(CONTEXT), names]))
-        counts = np.concatenate([known.counts, sums, [0]])
-        total, back, least = (np.concatenate([a, b, [0]]).astype(np.float64) for a, b in zip(held[1:4], (sums, back, least), strict=True))
+        more = Places(asked.column("s").to_numpy())
+        total, back, least = (np.concatenate([getattr(held, c), asked.column(c).to_numpy()]).astype(np.float64) for c in ("total", "back", "least"))
+
+        def answers(level: int):
+            cells = right.filter(pa.compute.equal(right.column("level"), level)).sort_by("part").column("cell")
+            return np.concatenate([np.zeros(0, np.int64), *(unpack(c.as_py())[0].astype(np.int64) for c in cells)])
+
         for row in texts.column("text"):
             chunk = Chunk(row.as_py())
-            count = counts[words.find(chunk.words)][chunk.at]
-            fit = (count + 1.0) / known.unit
-            base, p = np.log10(fit), fit.copy()
+            order, _, _ = chunk.word_parts(known.parts)
+            count = np.empty(len(order), np.int64)
+            count[order] = answers(0)
+            known_words = np.add.reduceat((count > 0)[chunk.at].astype(np.int64), chunk.starts)
+            fit = ((count + 1.0) / known.unit)[chunk.at]
+            base, p = np.add.reduceat(np.log10(fit), chunk.starts), fit.copy()
             codes = known.codes(chunk.words)
             for length, level in enumerate(chunk.levels(len(filters)), 1):
                 x = _pairs(chunk, level, filters[length - 1].value, known, codes)
-                cells = right.filter(pa.compute.equal(right.column("level"), length)).sort_by("part").column("cell")
-                n = np.concatenate([np.zeros(0, np.int64), *(unpack(c.as_py())[0].astype(np.int64) for c in cells)])[x.pair].astype(np.float64)
-                state = contexts.find(x.contexts ^ np.int64(CONTEXT))[x.context[x.pair]]
+                del level
+                state = held.find(x.contexts)
+                rest = np.flatnonzero(state < 0)
+                found = more.find(x.contexts[rest])
+                state[rest] = np.where(found >= 0, found + len(held.names), -1)
+                state = state[x.context[x.pair]]
                 stays = state >= 0
-                there, n, state = x.there[stays], n[stays], state[stays]
+                there, state, n = x.there[stays], state[stays], answers(length)[x.pair[stays]].astype(np.float64)
+                del x, stays
                 share, kept, lower = (n - DISCOUNT) / total[state], n >= 2, fit[there]
-                mixed = share + back[state] * lower
-                gain = n * np.log(np.where(kept, mixed, lower) / lower)
+                mixed = np.where(kept, share + back[state] * lower, lower)
+                gain = n * np.log(mixed / lower)
                 p[there] = least[state] * p[there] + np.where(kept & (gain > GAIN), share, 0.0)
-                fit[there] = np.where(kept, mixed, lower)
-            known_words = np.add.reduceat((count > 0).astype(np.int64), chunk.starts)
-            made.append([chunk.sizes, known_words, np.add.reduceat(base, chunk.starts), np.add.reduceat(np.log10(p), chunk.starts)])
+                fit[there] = mixed
+            made.append([chunk.sizes, known_words, base, np.add.reduceat(np.log10(p), chunk.starts)])
         columns = [np.concatenate(c) if made else [] for c in (zip(*made, strict=True) if made else [()] * 4)]
         rows = {c: pa.chunked_array([v.flatten() for v in texts.column(c).chunks], texts.schema.field(c).type.value_type) for c in keep}
         return pa.table(rows | {"size": pa.array(columns[0], pa.int64()), "known": pa.array(columns[1], pa.int64()), "base": pa.array(columns[2], pa.float64()), "tree": pa.array(columns[3], pa.float64())})
@@ -602,25 +663,30 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), (fold(id_col, 7) == 2).alias("held"))
     encoded = written(_encode(docs, "t", ("id", "held")), "encoded", 8)
-    words = written(_counted(encoded), "words")
+    parts = max(1, -(-encoded.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // PART))
+    counted = written(_counted(encoded, parts), "words", 64)
+    words = counted.where("chunk IS NULL").select(F.explode(F.arrays_zip("key", "n")).alias("x")).select("x.key", "x.n")
     tokens, distinct, texts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.max(F.when(F.col("key") == END, F.col("n")))).first()
     names, counts = _held(_most(words, "n", WORDS), "n", ("key", "n"))
     last = np.concatenate([_mixed(names), _mixed(np.array([START], np.int64))]).view(np.int64)
     sizes = np.append(counts, texts or 0)
     hot = sizes > PART
-    known = Known(names, counts, _bits(words.where("n >= 2")), last[hot], -(-sizes[hot] // PART), max(1, -(-tokens // PART)), tokens + distinct + 1)
+    known = Known(names, counts, _bits(words.where("n >= 2")), last[hot], -(-sizes[hot] // PART), parts, tokens + distinct + 1)
     shared = spark.sparkContext.broadcast(known)
-    model = words.selectExpr("key", "n", "CAST(NULL AS DOUBLE) back", "CAST(NULL AS DOUBLE) least")
-    kept, filters, answers = (*[np.zeros(0, np.int64)] * 4, np.zeros(16, np.int64)), [], None
+    right = counted.where("chunk IS NOT NULL").select("chunk", F.lit(0).alias("level"), "part", "cell")
+    filters, held = [], Tree(*[np.zeros(0, np.int64)] * 4, np.zeros(16, np.int64))
+    columns = ("s", "total", "back", "least")
     if tokens and depth:
         tree, answers, filters = _grow(encoded, words, texts, shared, depth)
-        kept = *_held(_most(tree, "total", SYMBOLS), "total", ("s", "total", "back", "least")), _bits(tree.withColumnRenamed("s", "key"))
-        model = model.unionByName(tree.select(F.col("s").bitwiseXOR(F.lit(CONTEXT)).alias("key"), F.col("total").alias("n"), "back", "least"))
-    kept = spark.sparkContext.broadcast(kept)
-    right = _asked(encoded, len(filters), shared, kept).join(model, "key").selectExpr("chunk", "key", "n", "back", "least", "CAST(NULL AS INT) level", "CAST(NULL AS BIGINT) part", "CAST(NULL AS BINARY) cell")
-    if answers is not None:
-        right = right.unionByName(answers, allowMissingColumns=True)
-    out = _score(encoded, right, shared, filters, kept, ("id", "held"))
+        held = Tree(*_held(_most(tree, "total", SYMBOLS), "total", columns), _bits(tree.withColumnRenamed("s", "key")))
+        right = right.unionByName(answers)
+    tree_held = spark.sparkContext.broadcast(held)
+    if filters:
+        asked = _asked(encoded, len(filters), tree_held).join(tree, "s").select("chunk", *columns)
+        right = right.unionByName(asked, allowMissingColumns=True)
+    else:
+        right = right.selectExpr("*", "CAST(NULL AS BIGINT) s", "CAST(NULL AS BIGINT) total", "CAST(NULL AS DOUBLE) back", "CAST(NULL AS DOUBLE) least")
+    out = _score(encoded, right, shared, filters, tree_held, ("id", "held"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
