@@ -5,13 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, a temporary one."""
+    """A new folder below spark.checkpoint.dir. Only where that is unset and all runs on one machine
+    (tests), a temporary one; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("parchment.scratch", None)
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='parchment-')}"
         spark.conf.set("parchment.scratch", root)
     return f"{root.rstrip('/')}/parchment/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new shared folder and read again, for what more than one branch of a
+    plan needs."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from parchment.functions import text as t
 
-DIMENSIONS = 128
+#: Dimensions and tokens of the stored vectors, and of the local ones of the curated search.
+DIMENSIONS, LOCAL_DIMENSIONS = 128, 256
+LOCAL_TOKEN = r"[0-9A-Za-z가-힣.%]+"
 
 
 def token_buckets(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -30,9 +32,14 @@ def token_buckets(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.transform(tokens, one)
 
 
+def token_pattern(dimensions: int) -> str:
+    """The tokens of vectors of so many dimensions: local ones keep points and percent signs."""
+    return LOCAL_TOKEN if dimensions == LOCAL_DIMENSIONS else t.TOKEN
+
+
 def sparse_vectors(df: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, bucket, weight), summed per bucket; texts without tokens have no rows."""
-    tokens = F.regexp_extract_all(F.lower(t.text(text_col)), F.lit(t.TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(t.text(text_col)), F.lit(token_pattern(dimensions)), F.lit(0))
     rows = df.select(F.col(id_col).alias("id"), F.explode(tokens).alias("token")).groupBy("id", "token").count()
     one = token_buckets(F.array("token"), dimensions)[0]
     return rows.withColumn("x", one).groupBy("id", F.col("x.bucket").alias("bucket")).agg(F.sum(F.col("x.weight") * F.col("count")).alias("weight"))

@@ -9,7 +9,7 @@ from parchment.functions import text as t
 from parchment.operators import embedding, retrieval
 
 #: Tokens of the curated search, particles that it takes off, and words that are no key terms.
-TOKEN = r"[0-9A-Za-z가-힣.%]+"
+TOKEN = embedding.LOCAL_TOKEN
 PARTICLES = ("으로는", "에서는", "에게는", "과", "와", "은", "는", "이", "가", "을", "를", "의", "에", "로", "으로", "하고")
 NO_TERMS = ("얼마인가", "얼마야", "비교하면", "어떤가", "알려줘")
 #: Weights of key terms, shared words, shared numbers, chunk types and pages.
@@ -51,7 +51,7 @@ def page_points(chunk_page: Column, body: Column, asked: Column) -> Column:
     return F.when(F.size(asked) == 0, 0.0).when(F.arrays_overlap(have, asked), RIGHT_PAGE).when(F.size(have) > 0, WRONG_PAGE).otherwise(NO_PAGE)
 
 
-def curated_scores(chunks: DataFrame, query: str, id_cols: tuple[str, ...] = ("document_id", "chunk_index"), dimensions: int = 256, hybrid: bool = False) -> DataFrame:
+def curated_scores(chunks: DataFrame, query: str, id_cols: tuple[str, ...] = ("document_id", "chunk_index"), dimensions: int = embedding.LOCAL_DIMENSIONS, hybrid: bool = False) -> DataFrame:
     """Chunks (…, text, page_number, chunk_type) with vector_score, word and number overlaps,
     key_score, type and page points, and their sum `score` (6 decimals)."""
     key = F.struct(*id_cols)

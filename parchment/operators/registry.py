@@ -38,21 +38,24 @@ def ingest(docs: DataFrame, registry: DataFrame, model: str, order_col: str = "d
     earlier document of the same ingest, has the same content; else indexed.
 
     Only ids and hashes go through the lookups; a content that many documents share costs one row
-    per task, and a join whose hot keys can be split.
+    per task, and a join whose hot keys can be split. Rows of one id and content get one status each;
+    of one id and several contents, each has the status of its own.
     """
-    keys = find_duplicates(docs.select(order_col, "source_hash", "content_hash"), registry)
+    by = [order_col, "source_hash", "content_hash"]
+    keys = find_duplicates(docs.select(*by).distinct(), registry)
     first = docs.groupBy("content_hash").agg(F.min(order_col).alias("__first"))
     rows = keys.join(first, "content_hash", "left")
     known = F.coalesce(F.array_contains("existing_models", model), F.lit(False))
     earlier = F.col("__first") != F.col(order_col)
     rows = rows.select(
-        order_col,
+        *(F.col(c).alias(f"__{c}") for c in by),
         F.when(known | earlier, "duplicate").otherwise("indexed").alias("status"),
         F.when(known, F.col("reason")).when(earlier, "content_hash").alias("reason"),
         F.when(known, F.col("existing_id")).when(earlier, F.col("__first")).alias("existing_id"),
         "existing_models",
     )
-    return docs.join(rows, order_col)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return docs.join(rows, same).drop(*(f"__{c}" for c in by))
 
 
 def partition_uploads(uploads: DataFrame, in_flight: DataFrame, registry: DataFrame, order_col: str = "position") -> DataFrame:
@@ -67,12 +70,12 @@ def partition_uploads(uploads: DataFrame, in_flight: DataFrame, registry: DataFr
 
 def merged(registry: DataFrame, ingested: DataFrame, model: str) -> DataFrame:
     """The registry after an ingest: the model is added to records whose documents were indexed
-    again, new documents go to the end in the order of their ids."""
+    again, new documents go to the end in the order of their ids, rows of one id and content once."""
     indexed = ingested.where("status = 'indexed'")
     again = indexed.where("existing_id IS NOT NULL").select(F.col("existing_id").alias("document_id"), F.lit(True).alias("__again")).distinct()
     old = registry.join(again, "document_id", "left").withColumn("indexed_models", F.when(F.col("__again"), F.array_union("indexed_models", F.array(F.lit(model)))).otherwise(F.col("indexed_models")))
     last = registry.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("__last"))
-    new = indexed.where("existing_id IS NULL")
+    new = indexed.where("existing_id IS NULL").dropDuplicates(["document_id", "source_hash", "content_hash"])
     lowest = new.agg(F.min("document_id").alias("__low"))
     # One row each.
     new = new.join(F.broadcast(last)).join(F.broadcast(lowest))

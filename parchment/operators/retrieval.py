@@ -17,6 +17,8 @@ from parchment.functions import text as t
 INTENT_STOPS = ("표", "테이블", "수치", "숫자", "알려줘", "보여줘", "보여주", "궁금해", "대해", "대한", "관련", "내용", "요약")
 TABLE_PHRASES = ("표", "테이블", "손익계산서", "재무제표", "수치", "숫자", "항목", "series table")
 TABLE_SECTIONS = ("표", "현황", "실적", "비율", "재무상태표", "손익계산서", "추진 실적", "총회", "이사회")
+#: Words of table headers.
+HEADER_WORDS = ("성장률", "비율", "증감", "달성률", "개최일자", "참석인원", "항목", "실적", "계획")
 #: Weights of the page lookup by kind of candidate text: equal part, part of, further text, token.
 LOOKUP_WEIGHTS = {"element": (1600.0, 1000.0, 240.0, 18.0), "markdown": (1500.0, 900.0, 220.0, 10.0), "chunk": (1000.0, 700.0, 180.0, 12.0)}
 ENOUGH = 800.0
@@ -50,8 +52,9 @@ def _shared(a: str, b: Column) -> Column:
     return F.size(F.array_intersect(F.col(a), b))
 
 
-def _intents_in(c: Column) -> Column:
-    return F.size(F.filter("q_intents", lambda x: compact(c).contains(x)))
+def _intents_in(c: str) -> Column:
+    """How many of the question's intents a compact text holds."""
+    return F.size(F.filter("q_intents", lambda x: F.col(c).contains(x)))
 
 
 def scored(chunks: DataFrame, query: str) -> DataFrame:
@@ -67,7 +70,8 @@ def scored(chunks: DataFrame, query: str) -> DataFrame:
     source, section, body = (t.text(c) for c in ("source_name", "section_hint", "text"))
     rows = chunks.join(F.broadcast(question(chunks.sparkSession, query)))
     rows = rows.withColumn("__shared", _shared("q_tokens", t.search_tokens(body))).withColumn("__section", _shared("q_tokens", t.search_tokens(section)))
-    rows = rows.withColumn("__intent", _intents_in(source) * 7 + _intents_in(section) * 12 + _intents_in(body) * 5)
+    rows = rows.withColumns({"__c1": compact(source), "__c2": compact(section), "__c3": compact(body)})
+    rows = rows.withColumn("__intent", _intents_in("__c1") * 7 + _intents_in("__c2") * 12 + _intents_in("__c3") * 5).drop("__c1", "__c2", "__c3")
     words = _shared("q_tokens", t.search_tokens(source)) * 6 + F.col("__section") * 3 + F.col("__shared")
     exact = _shared("q_numbers", t.numeric_tokens(body)) * 8 + _shared("q_periods", t.temporal_tokens(body)) * 6
     asked = F.when((F.size("q_pages") == 0) | page.isNull(), 0).when(F.array_contains("q_pages", page), 30).otherwise(-25)
@@ -85,12 +89,18 @@ def search(chunks: DataFrame, query: str, k: int = 5) -> DataFrame:
 
 
 def sentence_scores(matches: DataFrame, query: str) -> DataFrame:
-    """Sentences of matched chunks with their relevance; tables count as one sentence."""
+    """Sentences of matched chunks with their relevance; tables count as one sentence. A question for
+    tables looks for table structure, sections and pages with tables (page_has_table, if it is
+    there), and for the header words that it names."""
+    on_page = F.coalesce(F.col("page_has_table"), F.lit(False)) if "page_has_table" in matches.columns else F.lit(False)
     parts = matches.withColumn("__s", t.sentences(t.text("text"))).select("*", F.posexplode("__s").alias("sentence_index", "sentence")).drop("__s")
     rows = parts.join(F.broadcast(question(matches.sparkSession, query)))
     s, section = F.col("sentence"), t.text("section_hint")
     score = _shared("q_tokens", t.search_tokens(s)) * 10.0 + _shared("q_tokens", t.search_tokens(section)) * 6.0 + _shared("q_numbers", t.numeric_tokens(s)) * 12.0 + _shared("q_periods", t.temporal_tokens(s)) * 10.0 - F.col("distance")
     table = F.when(has_table(s), 16.0).otherwise(0.0) + F.when(any_of(t.quoted(section), TABLE_SECTIONS), 10.0).otherwise(0.0)
+    headers = F.array_intersect("q_tokens", F.array(*map(F.lit, HEADER_WORDS)))
+    named = lambda c: F.size(F.array_intersect(headers, t.search_tokens(c)))
+    table = table + F.when(on_page, 12.0).otherwise(0.0) + named(s) * 8.0 + named(section) * 6.0
     score = score + F.when(F.col("q_table"), table).otherwise(0.0)
     rows = rows.withColumn("relevance", score)
     return rows.drop(*[c for c in rows.columns if c.startswith("q_")])

@@ -78,18 +78,34 @@ LEXICAL_TOP5 = f"WITH {_SCORED} SELECT DISTINCT ON (document_id, chunk_index) do
 
 
 def sentence_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relevance of every sentence of the turns on page 3."""
-    rows = retrieval.scored(_chunks(spark, sf_dir).where("page_number = 3"), QUERY)
+    """The relevance of every sentence of every turn."""
+    rows = retrieval.scored(_chunks(spark, sf_dir), QUERY)
     return retrieval.sentence_scores(rows, QUERY).groupBy("document_id").agg(F.count("*").alias("n_sentences"), F.round(F.sum("relevance"), 4).alias("total"), F.round(F.max("relevance"), 4).alias("best"))
 
 
 SENTENCE_RELEVANCE = rf"""
 WITH {_SCORED},
-p AS (SELECT o.*, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', concat('\1', chr(10)), 'g'), '\n+', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS st FROM o WHERE page_number = 3),
+p AS (SELECT o.*, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', concat('\1', chr(10)), 'g'), '\n+', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS st FROM o),
 r AS (SELECT document_id, {_both("qt", _tokens("st"))} * 10.0 + se * 6.0 + {_both("qn", _numbers("st"))} * 12.0 + {_both("qp", _periods("st"))} * 10.0 - distance AS rel FROM p, q)
 SELECT document_id, count(*) AS n_sentences, round(sum(rel), 4)::DOUBLE AS total, round(max(rel), 4)::DOUBLE AS best FROM r GROUP BY 1"""
 
 
+TABLE_QUERY = "성장률 실적 표"
+
+
+def table_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for a table over orders as one-line tables, half of them on pages with tables."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("document_id"), F.lit(0).alias("chunk_index"), F.when(F.col("o_orderstatus") == "F", "실적").otherwise("notes").alias("section_hint"), F.concat(F.when(F.col("o_orderstatus") == "O", "growth").otherwise("성장률"), F.lit(" | "), F.col("o_orderstatus")).alias("text"), (F.col("o_custkey") % 2 == 0).alias("page_has_table"), F.lit(0.5).alias("distance"))
+    return retrieval.sentence_scores(rows, TABLE_QUERY).select("document_id", "sentence", "relevance")
+
+
+TABLE_QUESTION = """
+SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus = 'O' THEN 'growth' ELSE '성장률' END || ' | ' || o_orderstatus AS sentence,
+  (16 + CASE WHEN o_orderstatus <> 'O' THEN 10 + 8 ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 6 + 10 + 6 ELSE 0 END + CASE WHEN o_custkey % 2 = 0 THEN 12 ELSE 0 END - 0.5)::DOUBLE AS relevance
+FROM orders"""
+
+
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question to answer: search, sentences, evidence, answer."""
     matches = retrieval.search(_ordered(_chunks(spark, sf_dir)), QUERY)
@@ -216,6 +232,7 @@ QUERIES = {
     "lexical_scores": lexical_scores,
     "lexical_top5": lexical_top5,
     "sentence_relevance": sentence_relevance,
+    "table_question": table_question,
     "extractive_answer": extractive_answer,
     "turn_alignment": turn_alignment,
     "quote_pages": quote_pages,
@@ -229,6 +246,7 @@ ORACLES = {
     "lexical_scores": LEXICAL_SCORES,
     "lexical_top5": LEXICAL_TOP5,
     "sentence_relevance": SENTENCE_RELEVANCE,
+    "table_question": TABLE_QUESTION,
     "turn_alignment": TURN_ALIGNMENT,
     "quote_pages": QUOTE_PAGES,
     "turn_overlaps": TURN_OVERLAPS,

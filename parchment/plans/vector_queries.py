@@ -21,7 +21,7 @@ def semantic_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hashed(source: str, dims: int) -> str:
     """CTEs v (id, bucket, w) from a relation (id, text)."""
     return f"""
-t AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z가-힣]+')) AS tok FROM {source}),
+t AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z가-힣{".%" if dims == 256 else ""}]+')) AS tok FROM {source}),
 c AS (SELECT id, tok, count(*) AS n, sha256(tok) AS h FROM t GROUP BY ALL),
 v AS (SELECT id, (('0x' || substr(h, 1, 8))::BIGINT % {dims})::INT AS bucket,
    sum(n * (CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * (1.0::DOUBLE + ('0x' || substr(h, 11, 2))::INT / 255.0::DOUBLE)) AS w FROM c GROUP BY 1, 2)"""
