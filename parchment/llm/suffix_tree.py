@@ -7,12 +7,12 @@ discounting towards the suffix's. A text is scored with the longest suffix state
 
 Texts are kept as chunks with a dictionary each. For a level, a chunk sends the distinct pairs of a
 candidate context and the word behind it, packed, to the parts of the tree. A part is a subtree: the
-contexts with one last word, or some of the following words if that last word is hot, so that what a pair is compared
-with, the pair of the context's suffix, is in the same part. The part adds the counts up and answers
-each chunk with the sums of its own pairs, in their order.
+contexts with one last word, or some of the following words if that last word is hot, so that what a pair is
+compared with, the pair of the context's suffix, is in the same part. The part adds the counts up and answers
+each chunk with the sums of its own pairs and the states of its own contexts, in their order.
 
 Nothing bounds the model's rows. What workers hold beside a chunk or part has fixed bounds and decides
-nothing but cost: filters by hashed bits, and the most frequent words and contexts.
+nothing but cost: filters by hashed bits, and the most frequent words.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from parchment.llm.common import Places, fold, give_back, table, written
 
-#: Words and contexts, the most frequent ones, that each worker holds; all others are joined.
+#: Words, the most frequent ones, that each worker holds; all others go by their hashes.
 WORDS = 1 << 19
-SYMBOLS = 1 << 17
 DEPTH = 3
 #: A candidate context occurs at least so often; a follower of its own at least twice.
 FREQUENT = 20
@@ -44,8 +43,8 @@ SLOTS = (0, 19, 38)
 #: Names of the end and the beginning of a text; the base of the keys of sequences.
 END, START = -1205034819632174695, 0x2545F4914F6CDD1D
 STEP = 0x9E3779B97F4A7C15
-#: The code of a follower that no count of two or more can have.
-OTHER = -1
+#: The codes of a follower that no count of two or more can have, and of the beginning of a text.
+OTHER, BEGINNING = -1, -2
 
 
 def split(text: str | None) -> list[bytes]:
@@ -218,7 +217,7 @@ class Known:
         import numpy as np
 
         rank = self.find(words).astype(np.int64)
-        return np.where(rank >= 0, rank, np.where((words >= OTHER) & (words < len(self.words)), words ^ (1 << 62), words))
+        return np.where(rank >= 0, rank, np.where((words >= BEGINNING) & (words < len(self.words)), words ^ (1 << 62), words))
 
     def hashes(self, codes):
         import numpy as np
@@ -226,51 +225,52 @@ class Known:
         held = (codes >= 0) & (codes < len(self.words))
         out = codes.copy()
         out[held] = self.words[codes[held]]
+        out[codes == BEGINNING] = START
         return out
 
 
-@dataclass
-class Tree:
-    """The contexts that each worker holds, by falling total, and the filter of all contexts."""
-
-    names: Any
-    total: Any
-    back: Any
-    least: Any
-    bits: Any
-
-    def find(self, contexts):
-        if "places" not in self.__dict__:
-            self.places = Places(self.names)
-        return self.places.find(contexts)
-
-
 @dataclass
 class Pairs:
-    """The distinct pairs of one length in a chunk, by part, context and word."""
+    """The distinct pairs of one length in a chunk, by part, context (by suffix and oldest word) and word."""
 
     there: Any  # places with a candidate context
     pair: Any  # the pair at each of these
-    context: Any  # of each pair: its context, as a place in contexts
-    contexts: Any
+    context: Any  # of each pair: its context, as a place in suffixes and oldest
     suffixes: Any
+    oldest: Any
     code: Any
     part: Any
 
+    def entries(self):
+        """Of each pair, the number of its part's context among those of all parts."""
+        import numpy as np
+
+        if not len(self.part):
+            return np.zeros(0, np.int64)
+        return np.concatenate([[0], np.cumsum((self.part[1:] != self.part[:-1]) | (self.context[1:] != self.context[:-1]))])
 
-def _pairs(chunk: Chunk, level: tuple, bits, known: Known, codes) -> Pairs:
+
+def _pairs(chunk: Chunk, level: tuple, length: int, bits, known: Known, codes) -> Pairs:
     import numpy as np
 
     there, contexts, suffixes, last = level
     ok = _passes(bits, contexts)
     there = there[ok]
-    distinct, first, context = np.unique(contexts[ok], return_index=True, return_inverse=True)
-    suffixes, last = suffixes[there[first]], last[there[first]]
-    often = np.where((codes >= 0) & (codes < len(known.words)), known.counts[np.clip(codes, 0, max(0, len(known.counts) - 1))] >= 2, _passes(known.twice, chunk.words)) if len(known.counts) else np.zeros(len(codes), bool)
-    names = np.where(often, codes, OTHER)
-    ordered, rank = np.unique(names, return_inverse=True)
-    key = context * np.int64(len(ordered)) + rank[chunk.at[there]]
-    key, pair = np.unique(key, return_inverse=True)
+    _, first, context = np.unique(contexts[ok], return_index=True, return_inverse=True)
+    at = there[first]
+    suffixes, last = suffixes[at], last[at]
+    begins = np.repeat(chunk.starts, chunk.sizes)[at] == at - length + 1
+    oldest = np.where(begins, BEGINNING, codes[chunk.at[at - length]])
+    order = np.lexsort((oldest, suffixes))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    context, suffixes, oldest, last = rank[context], suffixes[order], oldest[order], last[order]
+    if len(known.counts):
+        often = np.where((codes >= 0) & (codes < len(known.words)), known.counts[np.clip(codes, 0, len(known.counts) - 1)] >= 2, _passes(known.twice, chunk.words))
+    else:
+        often = np.zeros(len(codes), bool)
+    ordered, word = np.unique(np.where(often, codes, OTHER), return_inverse=True)
+    key, pair = np.unique(context * np.int64(len(ordered)) + word[chunk.at[there]], return_inverse=True)
     context, code = key // len(ordered), ordered[key % len(ordered)]
     hot = Places(known.hot).find(last)
     pieces = np.where(hot >= 0, known.pieces[hot], 1)[context] if len(known.hot) else np.ones(len(context), np.int64)
@@ -279,7 +279,7 @@ def _pairs(chunk: Chunk, level: tuple, bits, known: Known, codes) -> Pairs:
     order = np.argsort(part, kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    return Pairs(there, back[pair], context[order], distinct, suffixes, code[order], part[order].astype(np.int64))
+    return Pairs(there, back[pair], context[order], suffixes, oldest, code[order], part[order].astype(np.int64))
 
 
 def _edges(x):
@@ -347,8 +347,8 @@ def _counted(encoded: DataFrame, parts: int) -> DataFrame:
 
 
 def _cells(encoded: DataFrame, length: int, shared: Broadcast, bits: Broadcast) -> DataFrame:
-    """(part, chunk, cell): a chunk's pairs in a part: contexts, their numbers of pairs, their
-    suffixes, followers and training counts."""
+    """(part, chunk, cell): a chunk's pairs in a part: the suffixes of contexts, their oldest words, their
+    numbers of pairs, followers and training counts."""
 
     def run(batches):
         import numpy as np
@@ -360,73 +360,79 @@ def _cells(encoded: DataFrame, length: int, shared: Broadcast, bits: Broadcast)
                 chunk = Chunk(text.as_py(), held.values.to_numpy(zero_copy_only=False))
                 for level in chunk.levels(length):
                     pass
-                x = _pairs(chunk, level, bits.value, known, known.codes(chunk.words))
-                n = np.bincount(x.pair[chunk.train[x.there]], minlength=len(x.context))
+                x = _pairs(chunk, level, length, bits.value, known, known.codes(chunk.words))
+                n = np.bincount(x.pair[chunk.train[x.there]], minlength=len(x.context)).astype(np.uint64)
                 del level
                 edges, parts, cells = _edges(x.part), [], []
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     own = _edges(x.context[a:b])
                     names = x.context[a:b][own[:-1]]
                     parts.append(int(x.part[a]))
-                    cells.append(pack(x.contexts[names], np.diff(own).astype(np.uint32), x.suffixes[names], x.code[a:b], n[a:b].astype(np.uint32)))
+                    cells.append(pack(x.suffixes[names], x.oldest[names], np.diff(own).astype(np.uint64), x.code[a:b], n[a:b]))
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([number.as_py()] * len(parts), pa.int64()), pa.array(cells, pa.binary())], names=["part", "chunk", "cell"])
         give_back()
 
     return encoded.select("chunk", "text", "held").mapInArrow(run, "part bigint, chunk bigint, cell binary")
 
 
-MERGED = "part bigint, chunk bigint, cell binary, s array<bigint>, total array<bigint>, several array<bigint>, kept array<double>, next array<bigint>, asked array<bigint>"
+MERGED = "part bigint, chunk bigint, cell binary, own binary, s array<bigint>, total array<bigint>, several array<bigint>, kinds array<bigint>, next array<bigint>, asked array<bigint>"
 
 
-def _merged(cells: DataFrame, shared: Broadcast) -> DataFrame:
-    """The sums of the cells of a part. With a chunk: the counts of its pairs, 0 for those under two.
-    Without: the pairs that count two or more, and of each context (s) its occurrences, and the counts and
-    discounted counts of its pairs; keys of frequent sequences; followers that aren't held."""
+def _merged(cells: DataFrame, length: int, shared: Broadcast) -> DataFrame:
+    """The sums of the cells of a part. With a chunk: the counts of its pairs, 0 for those under two, and its
+    contexts as places in s (own). Without: the pairs that count two or more, and of each context (s) its
+    occurrences, and how often and how many followers stand there twice or more; keys of frequent
+    sequences; followers that aren't held."""
 
     def run(x):
         import numpy as np
         import pyarrow as pa
 
-        own = [unpack(v.as_py()) for v in x.column("cell")]
-        parts = x.column("part")
-        counts = np.concatenate([c[1] for c in own]).astype(np.int64)
-        s, first, at = np.unique(np.concatenate([c[0] for c in own]), return_index=True, return_inverse=True)
-        suffix = np.concatenate([c[2] for c in own])[first]
-        w, word = np.unique(np.concatenate([c[3] for c in own]), return_inverse=True)
+        known, rows = shared.value, x.num_rows
+        cells = [unpack(v.as_py()) for v in x.column("cell")]
+        suffix, oldest, counts, code, count = (np.concatenate([c[i] for c in cells]) for i in range(5))
+        counts = counts.astype(np.int64)
+        power = np.uint64(pow(STEP, length - 1, 1 << 64))
+        s, first, at = np.unique((suffix.view(np.uint64) + _mixed(known.hashes(oldest)) * power).view(np.int64), return_index=True, return_inverse=True)
+        # Contexts have their order in the cells.
+        order = np.lexsort((oldest[first], suffix[first]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        s, suffix, at = s[order], suffix[first][order], rank[at]
+        w, word = np.unique(code, return_inverse=True)
         key, pair = np.unique(np.repeat(at, counts) * np.int64(len(w)) + word, return_inverse=True)
-        n = np.bincount(pair, np.concatenate([c[4] for c in own])).astype(np.int64)
+        n = np.bincount(pair, count).astype(np.int64)
         context, word = key // len(w), key % len(w)
         total = np.bincount(context, n, len(s)).astype(np.int64)
         keeps = (n >= 2) & (w[word] != OTHER)
-        ends = np.cumsum([len(c[4]) for c in own])
-        answers = np.where(keeps, n, 0)[pair]
-        cells = [pack(answers[e - len(c[4]) : e].astype(np.uint64).astype(np.uint32)) for e, c in zip(ends, own, strict=True)]
+        answers = np.where(keeps, n, 0)[pair].astype(np.uint64)
+        ends, tops = np.cumsum([len(c[4]) for c in cells]), np.cumsum([len(c[0]) for c in cells])
+        answered = [pack(answers[e - len(c[4]) : e]) for e, c in zip(ends, cells, strict=True)]
+        owned = [pack(at[e - len(c[0]) : e]) for e, c in zip(tops, cells, strict=True)]
         context, word, n = context[keeps], word[keeps], n[keeps]
         edges = _edges(context)
         names = context[edges[:-1]]
         several = np.bincount(context, n, len(s)).astype(np.int64)
-        kept = np.bincount(context, n - DISCOUNT, len(s))
+        kinds = np.bincount(context, minlength=len(s))
         often = n >= FREQUENT
-        known = shared.value
         hashes = known.hashes(w[word[often]])
         following = (s[context[often]].view(np.uint64) * np.uint64(STEP) + _mixed(hashes)).view(np.int64)[hashes != END]
-        asked = w[(w < 0) | (w >= len(known.words))]
+        asked = w[(w < OTHER) | (w >= len(known.words))]
         asked = asked[np.isin(asked, w[word])]
-        lists = [s, total, several, kept, following, asked]
-        cells.append(pack(s[names], np.diff(edges).astype(np.uint32), suffix[names], w[word], n.astype(np.uint64)))
-        rows = len(own)
-        made = {"part": pa.array([parts[0].as_py()] * (rows + 1), pa.int64()), "chunk": pa.concat_arrays([x.column("chunk").combine_chunks(), pa.nulls(1, pa.int64())]), "cell": pa.array(cells, pa.binary())}
-        for name, values in zip(("s", "total", "several", "kept", "next", "asked"), lists, strict=True):
-            kind = pa.float64() if name == "kept" else pa.int64()
-            made[name] = pa.array([None] * rows + [values], pa.list_(kind))
+        answered.append(pack(s[names], np.diff(edges).astype(np.uint64), suffix[names], w[word], n.astype(np.uint64)))
+        made = {"part": pa.array([x.column("part")[0].as_py()] * (rows + 1), pa.int64()), "chunk": pa.concat_arrays([x.column("chunk").combine_chunks(), pa.nulls(1, pa.int64())])}
+        made |= {"cell": pa.array(answered, pa.binary()), "own": pa.array([*owned, None], pa.binary())}
+        for name, values in zip(("s", "total", "several", "kinds", "next", "asked"), (s, total, several, kinds, following, asked), strict=True):
+            made[name] = pa.array([None] * rows + [values], pa.list_(pa.int64()))
         return pa.table(made)
 
     return cells.groupBy("part").applyInArrow(run, MERGED)
 
 
 def _gains(merged: DataFrame, right: DataFrame, length: int, shared: Broadcast) -> DataFrame:
-    """(part, cell, s, saved, share): the pairs of a part with the probabilities that their contexts'
-    suffixes give; what the pairs of each context save over these, and the shares of those that stay.
+    """(part, cell, s, saved, most, among): the pairs of a part with the probabilities that their contexts'
+    suffixes give; what the pairs of each context save over these, and how often and how many of those stand
+    there that gain.
 
     right, by kind: own (contexts s of the part with their total and back), stay (those of the level
     below that stay), low (cells of the level below), word (total of a word s that isn't held)."""
@@ -435,11 +441,11 @@ def _gains(merged: DataFrame, right: DataFrame, length: int, shared: Broadcast)
         import numpy as np
         import pyarrow as pa
 
-        kinds = {"part": pa.int64(), "cell": pa.binary(), "s": pa.list_(pa.int64()), "saved": pa.list_(pa.float64()), "share": pa.list_(pa.float64())}
+        kinds = {"part": pa.int64(), "cell": pa.binary(), "s": pa.list_(pa.int64()), "saved": pa.list_(pa.float64()), "most": pa.list_(pa.int64()), "among": pa.list_(pa.int64())}
         if not pairs.num_rows:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
         s, counts, suffix, w, n = unpack(pairs.column("cell")[0].as_py())
-        context, n = np.repeat(np.arange(len(s)), counts), n.astype(np.float64)
+        context, n = np.repeat(np.arange(len(s)), counts.astype(np.int64)), n.astype(np.float64)
         sort = np.array(right.column("kind").to_pylist(), "U4")
 
         def rows(kind: str):
@@ -468,30 +474,63 @@ def _gains(merged: DataFrame, right: DataFrame, length: int, shared: Broadcast)
             stay, total, back = rows("stay")
             for cell in right.filter(pa.array(sort == "low")).column("cell").to_pylist():
                 ls, lcounts, lw, ln, q = unpack(cell)
-                lcontext, q = np.repeat(np.arange(len(ls)), lcounts), q.astype(np.float64)
+                lcontext, q = np.repeat(np.arange(len(ls)), lcounts.astype(np.int64)), q.astype(np.float64)
                 at, stays = found(stay, ls)
                 if len(stay):
                     q = np.where(stays[lcontext], (ln - DISCOUNT) / total[at][lcontext] + back[at][lcontext] * q, q)
-                names = np.unique(np.concatenate([w, lw]))
-                at, there = found(ls, suffix)
+                names, by = np.unique(np.concatenate([w, lw])), np.argsort(ls)
+                at, there = found(ls[by], suffix)
                 key = lcontext * np.int64(len(names)) + np.searchsorted(names, lw)
-                place, hit = found(key, at[context] * np.int64(len(names)) + np.searchsorted(names, w))
+                place, hit = found(key, by[at][context] * np.int64(len(names)) + np.searchsorted(names, w))
                 hit &= there[context]
                 p[hit] = q[place[hit]]
         names, total, back = rows("own")
         at, there = found(names, s)
-        saved = share = np.zeros(0)
+        saved, most, among = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(names):
             ratio = (n - DISCOUNT) / total[at][context]
             gain = n * np.log((ratio + back[at][context] * p) / p)
             saved = np.bincount(context, gain, len(s))[there]
-            share = np.bincount(context, np.where(gain > GAIN, ratio, 0.0), len(s))[there]
+            most = np.bincount(context, np.where(gain > GAIN, n, 0), len(s)).astype(np.int64)[there]
+            among = np.bincount(context, gain > GAIN, len(s)).astype(np.int64)[there]
         cell = pack(s, counts, w, n.astype(np.uint64), p.astype(np.float32))
-        made = {"part": pairs.column("part")[0].as_py(), "cell": cell, "s": s[there], "saved": saved, "share": share}
+        made = {"part": pairs.column("part")[0].as_py(), "cell": cell, "s": s[there], "saved": saved, "most": most, "among": among}
         return pa.table({k: pa.array([v], kinds[k]) for k, v in made.items()})
 
     pairs = merged.where("chunk IS NULL").select("part", "cell")
-    return pairs.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, "part bigint, cell binary, s array<bigint>, saved array<double>, share array<double>")
+    return pairs.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, "part bigint, cell binary, s array<bigint>, saved array<double>, most array<bigint>, among array<bigint>")
+
+
+def _states(merged: DataFrame, stay: DataFrame, level: int) -> DataFrame:
+    """(chunk, level, part, cell): which of a chunk's contexts in a part stay, in their order, and the
+    state of those: total, several, kinds, most, among."""
+    columns = ("total", "several", "kinds", "most", "among")
+
+    def run(rows, right):
+        import numpy as np
+        import pyarrow as pa
+
+        if not rows.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "cell": pa.array([], pa.binary())})
+        s = next(v for v in rows.column("s") if v.is_valid).values.to_numpy()
+        names = right.column("s").to_numpy()
+        by = np.argsort(names)
+        place = np.searchsorted(names[by], s)
+        place[place == len(names)] = 0
+        stays = names[by][place] == s if len(names) else np.zeros(len(s), bool)
+        values = [right.column(c).to_numpy()[by] for c in columns]
+        chunks, cells = [], []
+        for number, own in zip(rows.column("chunk").to_pylist(), rows.column("own"), strict=True):
+            if number is not None:
+                at = unpack(own.as_py())[0]
+                chunks.append(number)
+                cells.append(pack(stays[at].astype(np.uint8), *(v[place[at[stays[at]]]].astype(np.uint64) for v in values)))
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "part": pa.array([rows.column("part")[0].as_py()] * len(chunks), pa.int64()), "cell": pa.array(cells, pa.binary())})
+
+    left = merged.select("part", "chunk", "own", "s")
+    right = stay.select("s", *columns, F.explode("parts").alias("part"))
+    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, "chunk bigint, part bigint, cell binary")
+    return found.select("chunk", F.lit(-level).alias("level"), "part", "cell")
 
 
 RIGHT = "part bigint, kind string, cell binary, s bigint, total bigint, back double"
@@ -504,24 +543,25 @@ def _right(df: DataFrame, kind: str, **columns) -> DataFrame:
     return df.select(*(made.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
 
 
-def _grow(encoded: DataFrame, words: DataFrame, texts: int, shared: Broadcast, depth: int) -> tuple[DataFrame, DataFrame, list[Broadcast]]:
-    """The tree: contexts that stay (s, total, back, least), the answers to chunks (chunk, level, part,
-    cell), and the filters of the candidates by level. back is what is left for the suffix in the fit,
-    least that of the pairs that stay."""
+def _grow(encoded: DataFrame, words: DataFrame, texts: int, shared: Broadcast, depth: int) -> tuple[DataFrame, list[Broadcast]]:
+    """The tree as answers to chunks (chunk, level, part, cell): counts of pairs by level, states of
+    contexts by level with a minus; and the filters of the candidates by level."""
     import numpy as np
 
     spark, filters = encoded.sparkSession, []
     start = [(int(x),) for x in _mixed(np.array([START], np.int64)).view(np.int64)] if texts >= FREQUENT else []
     candidates = _first_contexts(words.where((F.col("n") >= FREQUENT) & (F.col("key") != END))).unionByName(spark.createDataFrame(start, "key bigint"))
-    tree = answers = below = None
+    answers = below = None
+    sums_of = lambda df, *columns: df.select(F.explode(F.arrays_zip("s", *columns)).alias("x")).select("x.*").groupBy("s").agg(*(F.sum(c).alias(c) for c in columns))
     for length in range(1, depth + 1):
         filters.append(spark.sparkContext.broadcast(_bits(candidates)))
-        merged = written(_merged(_cells(encoded, length, shared, filters[-1]), shared), f"level{length}", 64)
+        merged = written(_merged(_cells(encoded, length, shared, filters[-1]), length, shared), f"level{length}", 64)
         sums = merged.where("chunk IS NULL")
-        rows = sums.select("part", F.explode(F.arrays_zip("s", "total", "several", "kept")).alias("x")).select("part", "x.*")
-        totals = rows.groupBy("s").agg(*(F.sum(c).alias(c) for c in ("total", "several", "kept")), F.collect_set("part").alias("parts"))
+        rows = sums.select("part", F.explode(F.arrays_zip("s", "total", "several", "kinds")).alias("x")).select("part", "x.*")
+        totals = rows.groupBy("s").agg(*(F.sum(c).alias(c) for c in ("total", "several", "kinds")), F.collect_set("part").alias("parts"))
         totals = totals.where((F.col("total") >= FREQUENT) & (F.col("several") > 0))
-        totals = written(totals.select("s", "total", (F.col("total") - F.col("several")).alias("single"), (1 - F.col("kept") / F.col("total")).alias("back"), "parts"), f"totals{length}")
+        back = 1 - (F.col("several") - DISCOUNT * F.col("kinds")) / F.col("total")
+        totals = written(totals.withColumn("back", back), f"totals{length}")
         right = _right(totals.select("*", F.explode("parts").alias("part")), "own")
         if below is None:
             asked = sums.select("part", F.explode("asked").alias("key")).join(words, "key")
@@ -529,15 +569,13 @@ def _grow(encoded: DataFrame, words: DataFrame, texts: int, shared: Broadcast, d
         else:
             right = right.unionByName(below)
         gains = written(_gains(merged, right, length, shared), f"gains{length}", 64)
-        saved = gains.select(F.explode(F.arrays_zip("s", "saved", "share")).alias("x")).select("x.*").groupBy("s").agg(F.sum("saved").alias("saved"), (1 - F.sum("share")).alias("least"))
-        stay = saved.join(totals, "s").where(F.col("saved") + F.col("single") * F.log("back") > DIVERGENCE)
-        stay = written(stay.select("s", "total", "back", "least", "parts"), f"stay{length}")
+        stay = sums_of(gains, "saved", "most", "among").join(totals, "s").where(F.col("saved") + (F.col("total") - F.col("several")) * F.log("back") > DIVERGENCE)
+        stay = written(stay.drop("saved"), f"stay{length}")
         below = _right(gains, "low", s=F.lit(None)).unionByName(_right(stay.select("*", F.explode("parts").alias("part")), "stay"))
         candidates = sums.select(F.explode("next").alias("key"))
-        own = merged.where("chunk IS NOT NULL").select("chunk", F.lit(length).alias("level"), "part", "cell")
-        tree = stay.drop("parts") if tree is None else tree.unionByName(stay.drop("parts"))
+        own = merged.where("chunk IS NOT NULL").select("chunk", F.lit(length).alias("level"), "part", "cell").unionByName(_states(merged, stay, length))
         answers = own if answers is None else answers.unionByName(own)
-    return tree, answers, filters
+    return answers, filters
 
 
 def _first_contexts(words: DataFrame) -> DataFrame:
@@ -552,31 +590,10 @@ def _first_contexts(words: DataFrame) -> DataFrame:
     return words.select("key").mapInArrow(run, "key bigint")
 
 
-def _asked(encoded: DataFrame, depth: int, tree: Broadcast) -> DataFrame:
-    """(chunk, s): the contexts that each chunk has and workers don't hold."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for number, text in zip(batch.column(0), batch.column(1), strict=True):
-                wanted = []
-                for _, contexts, _, _ in Chunk(text.as_py()).levels(depth):
-                    contexts = np.unique(contexts[_passes(tree.value.bits, contexts)])
-                    wanted.append(contexts[tree.value.find(contexts) < 0])
-                keys = np.concatenate(wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number.as_py()), pa.int64()), pa.array(keys)], names=["chunk", "s"])
-        give_back()
-
-    return encoded.select("chunk", "text").mapInArrow(run, "chunk bigint, s bigint")
-
-
-def _score(encoded: DataFrame, right: DataFrame, shared: Broadcast, filters: list[Broadcast], tree: Broadcast, keep: tuple[str, ...]) -> DataFrame:
+def _score(encoded: DataFrame, answers: DataFrame, shared: Broadcast, filters: list[Broadcast], keep: tuple[str, ...]) -> DataFrame:
     """`keep`, and per text: size, known words, and the logs of the base and the tree's probabilities.
 
-    right: answers to a chunk (level, part, cell; level 0: words) and contexts that it asked for (s,
-    total, back, least)."""
+    answers: of words (level 0) and of `_grow`."""
     elements = [StructField(c, encoded.schema[c].dataType.elementType) for c in keep]
     out = StructType([*elements, *StructType.fromDDL("size bigint, known bigint, base double, tree double").fields])
 
@@ -584,34 +601,31 @@ def _score(encoded: DataFrame, right: DataFrame, shared: Broadcast, filters: lis
         import numpy as np
         import pyarrow as pa
 
-        made, known, held = [], shared.value, tree.value
-        asked = right.filter(pa.compute.is_null(right.column("level")))
-        more = Places(asked.column("s").to_numpy())
-        total, back, least = (np.concatenate([getattr(held, c), asked.column(c).to_numpy()]).astype(np.float64) for c in ("total", "back", "least"))
+        made, known = [], shared.value
 
-        def answers(level: int):
+        def answered(level: int, columns: int = 1) -> list:
+            """The columns of the chunk's answers of a level, in the order of the parts."""
             cells = right.filter(pa.compute.equal(right.column("level"), level)).sort_by("part").column("cell")
-            return np.concatenate([np.zeros(0, np.int64), *(unpack(c.as_py())[0].astype(np.int64) for c in cells)])
+            found = [unpack(c.as_py()) for c in cells]
+            return [np.concatenate([np.zeros(0, np.int64), *(f[i].astype(np.int64) for f in found)]) for i in range(columns)]
 
         for row in texts.column("text"):
             chunk = Chunk(row.as_py())
             order, _, _ = chunk.word_parts(known.parts)
             count = np.empty(len(order), np.int64)
-            count[order] = answers(0)
+            count[order] = answered(0)[0]
             known_words = np.add.reduceat((count > 0)[chunk.at].astype(np.int64), chunk.starts)
             fit = ((count + 1.0) / known.unit)[chunk.at]
             base, p = np.add.reduceat(np.log10(fit), chunk.starts), fit.copy()
             codes = known.codes(chunk.words)
             for length, level in enumerate(chunk.levels(len(filters)), 1):
-                x = _pairs(chunk, level, filters[length - 1].value, known, codes)
+                x = _pairs(chunk, level, length, filters[length - 1].value, known, codes)
                 del level
-                state = held.find(x.contexts)
-                rest = np.flatnonzero(state < 0)
-                found = more.find(x.contexts[rest])
-                state[rest] = np.where(found >= 0, found + len(held.names), -1)
-                state = state[x.context[x.pair]]
+                flags, total, several, kinds, most, among = answered(-length, 6)
+                back, least = 1 - (several - DISCOUNT * kinds) / total, 1 - (most - DISCOUNT * among) / total
+                state = np.where(flags > 0, np.cumsum(flags) - 1, -1)[x.entries()][x.pair]
                 stays = state >= 0
-                there, state, n = x.there[stays], state[stays], answers(length)[x.pair[stays]].astype(np.float64)
+                there, state, n = x.there[stays], state[stays], answered(length)[0][x.pair[stays]].astype(np.float64)
                 del x, stays
                 share, kept, lower = (n - DISCOUNT) / total[state], n >= 2, fit[there]
                 mixed = np.where(kept, share + back[state] * lower, lower)
@@ -624,7 +638,7 @@ def _score(encoded: DataFrame, right: DataFrame, shared: Broadcast, filters: lis
         return pa.table(rows | {"size": pa.array(columns[0], pa.int64()), "known": pa.array(columns[1], pa.int64()), "base": pa.array(columns[2], pa.float64()), "tree": pa.array(columns[3], pa.float64())})
 
     source = encoded.select("chunk", *keep, "text")
-    return source.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, out)
+    return source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, out)
 
 
 def _most(df: DataFrame, weight: str, bound: int) -> DataFrame:
@@ -673,20 +687,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     hot = sizes > PART
     known = Known(names, counts, _bits(words.where("n >= 2")), last[hot], -(-sizes[hot] // PART), parts, tokens + distinct + 1)
     shared = spark.sparkContext.broadcast(known)
-    right = counted.where("chunk IS NOT NULL").select("chunk", F.lit(0).alias("level"), "part", "cell")
-    filters, held = [], Tree(*[np.zeros(0, np.int64)] * 4, np.zeros(16, np.int64))
-    columns = ("s", "total", "back", "least")
+    answers, filters = counted.where("chunk IS NOT NULL").select("chunk", F.lit(0).alias("level"), "part", "cell"), []
     if tokens and depth:
-        tree, answers, filters = _grow(encoded, words, texts, shared, depth)
-        held = Tree(*_held(_most(tree, "total", SYMBOLS), "total", columns), _bits(tree.withColumnRenamed("s", "key")))
-        right = right.unionByName(answers)
-    tree_held = spark.sparkContext.broadcast(held)
-    if filters:
-        asked = _asked(encoded, len(filters), tree_held).join(tree, "s").select("chunk", *columns)
-        right = right.unionByName(asked, allowMissingColumns=True)
-    else:
-        right = right.selectExpr("*", "CAST(NULL AS BIGINT) s", "CAST(NULL AS BIGINT) total", "CAST(NULL AS DOUBLE) back", "CAST(NULL AS DOUBLE) least")
-    out = _score(encoded, right, shared, filters, tree_held, ("id", "held"))
+        tree, filters = _grow(encoded, words, texts, shared, depth)
+        answers = answers.unionByName(tree)
+    out = _score(encoded, answers, shared, filters, ("id", "held"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),

@@ -120,16 +120,16 @@ def test_places():
 
 
 def test_small_bounds_stay_exact_for_words_that_are_no_symbols(spark, monkeypatch):
-    """With few numbered words and symbols, base scores stay exact and scores stay probabilities."""
+    """With few words held and many parts, hot words in pieces, all scores are the same."""
     docs = [(i, f"a b c{i % 7} d{i % 50} a b e{i}") for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     want = {r.doc_id: r for r in st.score(df).collect()}
     monkeypatch.setattr(st, "WORDS", 12)
-    monkeypatch.setattr(st, "SYMBOLS", 5)
+    monkeypatch.setattr(st, "PART", 100)
     got = st.score(df).collect()
     for r in got:
         assert r.base_score == pytest.approx(want[r.doc_id].base_score) and r.n_known == want[r.doc_id].n_known
-        assert r.score < 0
+        assert r.score < 0 and r.score == pytest.approx(want[r.doc_id].score, abs=1e-9)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
