@@ -1,9 +1,10 @@
 """Exact top-k inner products over an impact-ordered score-at-a-time index.
 
 Each block of vectors is indexed by quantised impact: a posting says that a vector has a component
-of some level in some dimension, and a segment holds all postings of one level. Segments are added
-to the scores in descending impact. Bounds on what is still missing prove which vectors can be
-among the k best; when few are left they are scored exactly, so nothing is approximate.
+of some level and sign in some dimension, and a segment lists the postings of one level, sign and dimension.
+A query goes through the segments by descending impact, its own component times the segment's. Bounds on
+what is still missing prove which vectors can be among the k best; when few are left, or no segment is, they
+are scored exactly, so nothing is approximate.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from parchment.llm.common import table
 
 K = 5
 EVERY = 50
-#: Rows of a block of candidates and of queries; one task holds one block of each.
-ROWS = 16_384
-QUERIES_PER_BLOCK = 4_096
-LEVELS = 8
-#: Queries scored side by side, and the share of the block that is worth scoring exactly.
-BATCH = 128
-FEW = 0.02
+#: Rows of a block of candidates, which one task indexes, and of the queries that it answers.
+ROWS = 8_192
+QUERIES_PER_BLOCK = 65_536
+LEVELS = 32
+#: Shares of the postings after which a query looks at what is left, and the share of vectors that is few.
+STEPS = (0.35, 0.6, 0.8, 1.0)
+FEW = 0.25
 
 
 def integers(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -38,75 +39,68 @@ def integers(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
 
 class Index:
-    """Impact segments of a block: for each level, from the highest, the postings' middle values
-    and a mask of them, both by vector and dimension."""
+    """Posting lists of a block: the vectors of each segment, one after another."""
 
-    def __init__(self, vectors, kind) -> None:
+    def __init__(self, vectors) -> None:
         import numpy as np
 
+        n, dimensions = vectors.shape
         self.vectors = vectors
-        top = int(np.abs(vectors).max(initial=0))
-        self.step = max(1, -(-(top + 1) // LEVELS))
-        level = np.abs(vectors) // self.step
-        self.kind = kind
-        self.segments = []
-        for n in range(LEVELS - 1, -1, -1):
-            postings = level == n
-            if postings.any():
-                middle = np.sign(vectors) * (n * self.step + (self.step - 1) / 2)
-                self.segments.append((n, np.where(postings, middle, 0).astype(kind), postings.astype(kind)))
-
-    def search(self, queries, barred, k: int):
-        """For each query the positions that can be among its k best; barred: one position or -1 each."""
+        self.step = max(1, -(-(int(np.abs(vectors).max(initial=0)) + 1) // LEVELS))
+        key = ((np.abs(vectors) // self.step * dimensions + np.arange(dimensions)) * 2 + (vectors < 0)).T.ravel()
+        order = np.argsort(key, kind="stable")
+        self.postings = np.tile(np.arange(n, dtype=np.int32), dimensions)[order]
+        key = key[order]
+        self.start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(key)))
+        segment = key[self.start]
+        level, self.dimension = segment // (2 * dimensions), segment // 2 % dimensions
+        self.most = level * self.step + self.step - 1
+        self.middle = (1 - 2 * (segment % 2)) * (level * self.step + (self.step - 1) / 2)
+
+    def search(self, query, barred, k: int):
+        """The positions that can be among the query's k best, without those in `barred`."""
         import numpy as np
 
-        n = len(self.vectors)
-        amount = np.abs(queries)
-        whole = amount.sum(axis=1, keepdims=True).astype(np.float64)
-        q, a = queries.astype(self.kind), amount.astype(self.kind)
-        score = np.zeros((len(queries), n), self.kind)
-        seen = np.zeros((len(queries), n), self.kind)
-        off = [(i, b) for i, b in enumerate(barred) if len(b)]
-        possible = None
-        half = (self.step - 1) / 2
-        for level, middle, mask in self.segments:
-            score += q @ middle.T
-            seen += a @ mask.T
-            # Off by half a step where seen; components not seen are below this level.
-            below = max(level * self.step - 1, 0)
-            slack = half * seen + below * (whole - seen) + 1e-9 * whole * self.step * LEVELS
+        n, amount = len(self.vectors), np.abs(query).astype(np.float64)
+        impact = amount[self.dimension] * self.most
+        order = np.argsort(-impact, kind="stable")
+        total = np.cumsum(self.size[order])
+        weight = query[self.dimension] * self.middle
+        score, seen = np.zeros(n), np.zeros(n)
+        # Off by half a step where seen; components not seen have at most the next segment's impact.
+        half = amount.sum() * ((self.step - 1) / 2 + 1e-9 * self.step * LEVELS)
+        possible, done = np.ones(n, bool), 0
+        for share in STEPS if n > k else ():
+            end = len(order) if share == 1 else int(np.searchsorted(total, share * total[-1])) + 1 if len(order) else 0
+            own, done = order[done:end], end
+            sizes = self.size[own]
+            rows = self.postings[np.repeat(self.start[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            score += np.bincount(rows, np.repeat(weight[own], sizes), n)
+            seen += np.bincount(rows, minlength=n)
+            slack = half + (len(query) - seen) * (impact[order[end]] if end < len(order) else 0.0)
             low, high = score - slack, score + slack
-            for i, b in off:
-                low[i, b] = high[i, b] = -np.inf
-            if n > k:
-                kth = np.partition(low, n - k, axis=1)[:, n - k : n - k + 1]
-                possible = high >= kth
-                if possible.sum() <= FEW * possible.size + k * len(queries):
-                    break
-        if possible is None:
-            possible = np.ones((len(queries), n), bool)
-        for i, b in off:
-            possible[i, b] = False
-        return [np.flatnonzero(row) for row in possible]
+            low[barred] = high[barred] = -np.inf
+            possible = high >= np.partition(low, n - k)[n - k]
+            if possible.sum() <= FEW * n:
+                break
+        possible[barred] = False
+        return np.flatnonzero(possible)
 
 
 def block_top(ids, vectors, query_ids, queries, k: int):
     """(query, candidate, score) arrays: the k best of one block for each query, ties to the smaller id."""
     import numpy as np
 
-    # Sums of halves below 2**23 are exact in 32 bits; beyond, in 64 bits up to 2**52.
-    largest = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * vectors.shape[1]
-    index = Index(vectors, np.float32 if largest < 1 << 23 else np.float64)
+    index = Index(vectors)
     order = np.argsort(ids, kind="stable")
+    left, right = (np.searchsorted(ids, query_ids, side, sorter=order) for side in ("left", "right"))
     found: list[tuple] = []
-    for start in range(0, len(queries), BATCH):
-        part, own = queries[start : start + BATCH], query_ids[start : start + BATCH]
-        left, right = (np.searchsorted(ids, own, side, sorter=order) for side in ("left", "right"))
-        barred = [order[x:y] for x, y in zip(left, right, strict=True)]
-        for q, vector, rows in zip(own, part, index.search(part, barred, k), strict=True):
-            exact = vectors[rows] @ vector
-            best = np.lexsort((ids[rows], -exact))[:k]
-            found.append((np.full(len(best), q), ids[rows][best], exact[best]))
+    for q, vector, a, b in zip(query_ids, queries, left, right, strict=True):
+        rows = index.search(vector, order[a:b], k)
+        exact = vectors[rows] @ vector
+        best = np.lexsort((ids[rows], -exact))[:k]
+        found.append((np.full(len(best), q), ids[rows][best], exact[best]))
     return [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ()))]
 
 
@@ -122,10 +116,11 @@ def _matrix(columns, dimensions: int):
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, rows: int = ROWS, per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the highest inner product per query.
 
-    Both have (id, v). Every block of queries meets every block of candidates once; each pair of
-    blocks sends on k rows a query. A candidate with the query's own id is left out. Shorter
+    Both have (id, v). Queries meet every block of candidates, whose index is built once for up to
+    per_block of them; each sends on k rows a query. A candidate with the query's own id is left out. Shorter
     vectors count as filled up with zeros. Ties go to the smaller id; fewer than k candidates are
-    all returned.
+    all returned, and none of an empty table. Candidates of one id are ranked one by one, queries of
+    one id together.
     """
     import pandas as pd
 
