@@ -22,6 +22,8 @@ NEAR_WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Largest bucket that one task searches: 256 KB of fingerprints.
 BUCKET = 1 << 15
+#: A key that more than one row in so many has is hot.
+HOT = 1 << 10
 #: Members of a bucket whose shingle sets are compared in one task; larger buckets go block by block.
 BLOCK = 1 << 10
 
@@ -182,27 +184,43 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = MAX_DISTANCE) -> DataFrame:
-    """(id, th, fp, root) of every row of df: text hash, fingerprint, smallest fp of its component.
+def by_hot_key(rows: DataFrame, values: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """rows with the columns of values (key unique; count: how many rows have it, which is left out).
+
+    Keys that more than one in HOT rows has, fewer than HOT of them, are broadcast, so that no task gets all
+    rows of one; the others are joined by key.
+    """
+    total = values.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = values.where(F.col(count) * HOT > total).drop(count)
+    rest = values.where(F.col(count) * HOT <= total).drop(count)
+    spread = rows.join(F.broadcast(hot), key)
+    return spread.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = MAX_DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row of df, and of every distinct fp its root, the smallest fp of its component, with
+    the smallest id and the number of rows.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and
     copies share a fingerprint and are only told apart at the end.
     """
-    hashed = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__t"))
-    rows = written(fingerprints(hashed, "__t", ("id", "th"), width), "fingerprints")
-    distinct = written(rows.select("fp").distinct(), "distinct")
-    roots = components(links(distinct, distance)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    return rows.join(roots, "fp", "left").select("id", "th", "fp", F.coalesce("root", "fp").alias("root"))
+    rows = written(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")), "__t", ("id",), width), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = components(links(distinct.select("fp"), distance)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return rows, distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = MAX_DISTANCE) -> DataFrame:
     """(id, fp, component): the component of a row is the smallest id reachable, itself included.
 
-    Null ids are reported as they are and never name a component that has others.
+    Null ids are reported as they are and never name a component that has others. Other columns, whatever
+    their names, play no part; of an empty table there are no rows.
     """
-    rows = written(clusters(df, id_col, text_col, width, distance), "clusters")
-    names = rows.groupBy("root").agg(F.min("id").alias("component"))
-    return rows.join(names, "root").select("id", "fp", "component")
+    rows, distinct = clusters(df, id_col, text_col, width, distance)
+    distinct = written(distinct, "clusters")
+    names = written(distinct.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("__n")), "names")
+    named = written(by_hot_key(distinct.select("fp", "root", "n"), names, "root", "__n").select("fp", "component", "n"), "named")
+    return by_hot_key(rows, named, "fp").select("id", "fp", "component")
 
 
 def folded(hashes):
