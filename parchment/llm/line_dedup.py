@@ -70,7 +70,7 @@ def remove_boilerplate(
     at the smallest position; so a document of which there are copies everywhere stays whole once.
     A null site is a site of its own. Null texts stay null; texts may become empty; all rows stay.
     Rows with equal id and text are treated alike. Columns n_lines and n_removed are replaced if
-    df has them.
+    df has them; texts of any length are read whole; of an empty table there are no rows.
     """
     base = df.drop("n_lines", "n_removed")
     lines = written(_lines(base, id_col, text_col, site_col), "lines")
@@ -84,7 +84,8 @@ def remove_boilerplate(
     ).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone")
     joined = base.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    kept = F.transform(stay, lambda i: F.get(parts, i))
     return joined.withColumns(
         {
             "n_lines": F.coalesce(F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(SPACES)) != "")), F.lit(0)).cast("long"),
