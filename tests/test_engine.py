@@ -35,3 +35,25 @@ def test_ingest_ask_and_delete(spark, tmp_path):
     assert engine.search("pasta", 3, document_ids=[2]).count() == 0
     again = {r.document_id: r.status for r in engine.ingest(docs.where("document_id = 3")).collect()}
     assert again == {3: "indexed"}
+
+
+def test_changes_append_and_compaction_keeps_all(spark, tmp_path):
+    folder = f"file://{tmp_path}/engine"
+    engine = Engine(spark, folder)
+    engine.ingest(spark.createDataFrame(TEXTS[:2], "document_id bigint, source_name string, markdown string"))
+    first = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "engine" / "chunks" / "0").iterdir()}
+    engine.ingest(spark.createDataFrame([(1, "Energy report.pdf", "Hydrogen is new here.")], "document_id bigint, source_name string, markdown string"))
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "engine" / "chunks" / "0").iterdir()} == first
+    assert [r.text for r in engine.content(1).collect()] == ["Hydrogen is new here."]
+    engine.delete([2])
+
+    def state(e):
+        return [sorted(map(str, e.table(n).drop("version").collect())) for n in ("documents", "chunks", "registry", "vectors")]
+
+    before = state(engine)
+    assert len(before[0]) == 1 and "Hydrogen" in engine.search("hydrogen", 1).first().text
+    engine.compact()
+    other = Engine(spark, folder)
+    assert state(other) == before and list((tmp_path / "engine" / "done").iterdir())
+    assert {r.status for r in other.ingest(spark.createDataFrame(TEXTS[1:2], "document_id bigint, source_name string, markdown string")).collect()} == {"indexed"}
+    assert "eleven minutes" in other.answer("how long does the pasta take").first().answer
