@@ -32,19 +32,40 @@ TERMINAL = "[.!?。！？:]$"
 KOREAN_ENDING = r"(?:다|니다|함|됨|음)\.?$"
 
 
-def normalised_lines(docs: DataFrame, id_col: str = "document_id", text_col: str = "markdown") -> DataFrame:
-    """(document_id, line_index, text, indent, page): lines without control characters, blank lines
-    and noise. Lines count from 1; a form feed begins a page."""
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(document_id, lines): line_index, text, indent and page of the lines that count."""
     lines = F.split(t.unix_lines(t.text(text_col)), "\n", -1)
     rows = docs.select(F.col(id_col).alias("document_id"), lines.alias("l"))
     feeds = F.transform("l", lambda x: F.length(x) - F.length(F.translate(x, "\f", "")))
-    pages = F.aggregate(feeds, F.array(F.lit(1)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    rows = rows.withColumn("p", F.slice(pages, F.lit(2), F.size("l")))
-    rows = rows.select("document_id", F.posexplode(F.arrays_zip("l", "p")).alias("i", "x")).select("document_id", (F.col("i") + 1).alias("line_index"), F.regexp_replace("x.l", "\f", " ").alias("raw"), F.col("x.p").alias("page"))
-    text = t.strip(F.regexp_replace(F.regexp_replace("raw", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "), r"[ \t]{2,}", " "))
-    indent = F.length(F.regexp_extract("raw", r"^[ \t]*", 0))
-    rows = rows.select("document_id", "line_index", text.alias("text"), indent.alias("indent"), "page").where("text <> ''")
-    return rows.where(~is_noise(F.col("text")))
+    counted = F.aggregate(feeds, F.array(F.lit(1)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    # Few texts have form feeds; only they pay for the fold.
+    pages = F.when(F.exists("l", lambda x: x.contains("\f")), F.slice(counted, F.lit(2), F.size("l")))
+    rows = rows.withColumn("p", pages)
+    raw = F.transform("l", lambda x, i: F.struct((i + 1).alias("line_index"), F.regexp_replace(x, "\f", " ").alias("raw"), F.coalesce(F.get("p", i), F.lit(1)).alias("page")))
+    text = lambda x: t.strip(F.regexp_replace(F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "), r"[ \t]{2,}", " "))
+    indent = lambda x: F.length(F.regexp_extract(x, r"^[ \t]*", 0))
+    made = F.transform(raw, lambda x: F.struct(x["line_index"].alias("line_index"), text(x["raw"]).alias("text"), indent(x["raw"]).alias("indent"), x["page"].alias("page")))
+    return rows.select("document_id", F.filter(made, lambda x: (x["text"] != "") & ~is_noise(x["text"])).alias("lines"))
+
+
+def normalised_lines(docs: DataFrame, id_col: str = "document_id", text_col: str = "markdown") -> DataFrame:
+    """(document_id, line_index, text, indent, page): lines without control characters, blank lines
+    and noise. Lines count from 1; a form feed begins a page."""
+    return _lines(docs, id_col, text_col).select("document_id", F.explode("lines").alias("x")).select("document_id", "x.*")
+
+
+def classified_documents(docs: DataFrame, id_col: str = "document_id", text_col: str = "markdown") -> DataFrame:
+    """(document_id, lines): the classified lines of each document in its own row, so that nothing is
+    shuffled to read them together."""
+    rows = _lines(docs, id_col, text_col)
+    named = F.transform("lines", lambda x: F.struct(x["line_index"].alias("line_index"), x["text"].alias("text"), x["indent"].alias("indent"), x["page"].alias("page"), label(x["text"]).alias("label")))
+    rows = rows.withColumn("lines", named)
+    plain = ("line_index", "text", "indent", "page")
+
+    def one(x: Column) -> Column:
+        return F.struct(*(x[k].alias(k) for k in plain), *(v.alias(k) for k, v in roles(x["text"], x["label"]).items()))
+
+    return rows.withColumn("lines", F.transform("lines", one))
 
 
 def is_noise(c: Column) -> Column:
@@ -75,29 +96,33 @@ def label(c: Column) -> Column:
 
 
 def is_label(c: Column) -> Column:
-    n = label(c)
+    return _labels(label(c))
+
+
+def _labels(n: Column) -> Column:
     return ~is_list_item(n) & ~is_value(n) & ~n.rlike(KOREAN_ENDING) & (F.length(n) <= MAX_LABEL) & (words(n) <= 3)
 
 
+def roles(c: Column, n: Column) -> dict[str, Column]:
+    """What a line can be; n: the line as a label."""
+    kind = F.when(is_title(c), "title").when(is_list_item(c), "list").when(c.rlike("(?U)^[^\\w가-힣]+$"), "unknown").otherwise("paragraph")
+    tabular = ~n.startswith("(") & ~is_list_item(n) & ~n.rlike(KOREAN_ENDING) & ~(is_value(n) & ~n.endswith("년")) & (F.length(n) <= MAX_LABEL)
+    return {
+        "block_type": kind,
+        "label": n,
+        "is_label": _labels(n),
+        "is_value": is_value(c),
+        "is_scalar": is_value(c) | ((F.length(c) <= MAX_TITLE) & ~_labels(n)),
+        "is_tabular": tabular,
+        "is_cell": c.rlike(DATE_VALUE) | c.rlike(NUMERIC_VALUE) | c.rlike(DAY_VALUE),
+        "ends": c.rlike(TERMINAL),
+        "plain": t.strip(F.regexp_replace(t.strip(F.regexp_replace(c, BULLET, "")), r"^\.", "")),
+    }
+
+
 def classified(lines: DataFrame) -> DataFrame:
     """Lines with block_type (title, list, unknown, paragraph), role flags and reasons."""
-    c, n = F.col("text"), label(F.col("text"))
-    title, item = is_title(c), is_list_item(c)
-    kind = F.when(title, "title").when(item, "list").when(c.rlike("(?U)^[^\\w가-힣]+$"), "unknown").otherwise("paragraph")
-    tabular = ~n.startswith("(") & ~is_list_item(n) & ~n.rlike(KOREAN_ENDING) & ~(is_value(n) & ~n.endswith("년")) & (F.length(n) <= MAX_LABEL)
-    return lines.withColumns(
-        {
-            "block_type": kind,
-            "label": n,
-            "is_label": is_label(c),
-            "is_value": is_value(c),
-            "is_scalar": is_value(c) | ((F.length(c) <= MAX_TITLE) & ~is_label(c)),
-            "is_tabular": tabular,
-            "is_cell": c.rlike(DATE_VALUE) | c.rlike(NUMERIC_VALUE) | c.rlike(DAY_VALUE),
-            "ends": c.rlike(TERMINAL),
-            "plain": t.strip(F.regexp_replace(t.strip(F.regexp_replace(c, BULLET, "")), r"^\.", "")),
-        }
-    ).withColumn(
+    return lines.withColumns(roles(F.col("text"), label(F.col("text")))).withColumn(
         "reasons",
         F.when(F.col("block_type") == "title", F.array(F.lit("title_rule")))
         .when(F.col("block_type") == "list", F.array(F.lit("list_rule")))
@@ -231,9 +256,13 @@ _BLOCK = "struct<type:string,section:string,page:int,line_start:int,line_end:int
 
 def blocks(lines: DataFrame) -> DataFrame:
     """(document_id, block_index, block): the blocks of classified lines, with the number of the
-    chunk that each is in. One document's lines are read together."""
+    chunk that each is in. One document's lines are read together: rows of classified_documents as they
+    are, single lines after a shuffle."""
     names = ["line_index", "text", "indent", "page", "block_type", "label", "is_label", "is_value", "is_scalar", "is_tabular", "is_cell", "ends", "plain"]
-    docs = lines.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("lines"))
+    if "lines" in lines.columns:
+        docs = lines.select("document_id", F.transform("lines", lambda x: F.struct(*(x[k].alias(k) for k in names))).alias("lines"))
+    else:
+        docs = lines.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("lines"))
     kind = docs.schema["document_id"].dataType.simpleString()
 
     def run(batches):

@@ -63,7 +63,7 @@ def report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block counts, unknown ratio and chunks of every document."""
-    found = blocks.blocks(blocks.classified(blocks.normalised_lines(documents(spark, sf_dir))))
+    found = blocks.blocks(blocks.classified_documents(documents(spark, sf_dir)))
     count = lambda k: F.count_if(F.col("block.type") == k)
     totals = found.groupBy("document_id").agg(
         F.count("*").alias("block_count"), count("title").alias("titles"), count("list").alias("lists"), count("paragraph").alias("paragraphs"), count("kv_table").alias("kv_table_count"), F.round(count("unknown") / F.count("*"), 4).alias("unknown_ratio")
