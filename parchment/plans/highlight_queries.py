@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.operators import highlights
 from parchment.plans.tables import conversation_pages
+from parchment.plans.retrieval_queries import _both, _numbers, _periods, _tokens
 from parchment.plans.vector_queries import _hashed
 
 QUERY = "what does page 3 say of the nation in 2023 and 12.5% growth"
@@ -54,6 +55,15 @@ def best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("document_id", "page_number", highlights.best_sentence(F.lit(QUERY), F.coalesce("text", F.lit(""))).alias("sentence"))
 
 
+_QUOTED = r"trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+BEST_SENTENCES = rf"""
+WITH {_P}, q AS (SELECT {_tokens(f"'{QUERY}'")} AS qt), f AS (SELECT document_id, page_number, {_QUOTED} AS x FROM p),
+l AS (SELECT document_id, page_number, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '([.!?])\s+', concat('\1', chr(10)), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '') AS parts FROM f),
+s AS (SELECT document_id, page_number, unnest(parts) AS st, generate_subscripts(parts, 1) AS i FROM l),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY document_id, page_number ORDER BY {_both("qt", _tokens("st"))} DESC, length(st) DESC, i) AS n FROM s, q)
+SELECT f.document_id, f.page_number, coalesce(st, x) AS sentence FROM f LEFT JOIN r ON f.document_id = r.document_id AND f.page_number = r.page_number AND n = 1"""
+
+
 def pages_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page that the middle of each turn is from, by shared words."""
     turns = _turns(spark, sf_dir)
@@ -76,5 +86,10 @@ def plain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highlights.plain_scores(rows, QUERY).select("document_id", "page_number", F.col("score").cast("double").alias("score"))
 
 
+PLAIN_SCORES = f"""
+WITH {_P}, q AS (SELECT {_tokens(f"'{QUERY}'")} AS qt, {_numbers(f"'{QUERY}'")} AS qn, {_periods(f"'{QUERY}'")} AS qp)
+SELECT document_id, page_number, ({_both("qt", _tokens("text"))} + {_both("qt", _tokens("'the nation'"))} * 3 + {_both("qt", _tokens("'report 2023'"))} * 6 + {_both("qn", _numbers("text"))} * 8 + {_both("qp", _periods("text"))} * 6)::DOUBLE AS score FROM p, q"""
+
+
 QUERIES = {"curated_scores": curated_scores, "best_lines": best_lines, "best_sentences": best_sentences, "pages_by_words": pages_by_words, "plain_scores": plain_scores}
-ORACLES = {"curated_scores": CURATED_SCORES, "best_lines": BEST_LINES, "pages_by_words": PAGES_BY_WORDS}
+ORACLES = {"curated_scores": CURATED_SCORES, "best_lines": BEST_LINES, "best_sentences": BEST_SENTENCES, "plain_scores": PLAIN_SCORES, "pages_by_words": PAGES_BY_WORDS}
