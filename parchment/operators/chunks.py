@@ -123,13 +123,9 @@ def rule_chunks(text: str, size: int = RULE_SIZE, overlap: int = RULE_OVERLAP) -
     """(text, section) of a document's rule-based chunks."""
     packer = Packer(size, overlap)
     for p in paragraphs(text):
-        if "\n" in p and _HEADING.match(p) and not _HEADING.fullmatch(p):
-            # A heading line with text right below is no heading paragraph.
-            packer.add("​" + p)
-        else:
-            packer.add(p)
+        packer.add(p)
     packer.close()
-    return clamped([(x.replace("​", ""), h) for x, h in packer.done], 2 * size, overlap)
+    return clamped(packer.done, 2 * size, overlap)
 
 
 def first_heading(text: str) -> str | None:
@@ -171,16 +167,18 @@ def semantic_chunks(text: str) -> list[tuple[str, str | None]]:
         return []
     if len(text) < SMALL:
         return [(text, first_heading(text))]
+    # Between rows of a table stands a character that the text doesn't have, so that no sentence ends there.
+    tie = next(c for c in map(chr, (*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE))) if c not in text)
     guarded, inside = [], False
     for line in text.splitlines():
         row = bool(_TABLE_ROW.match(line))
-        guarded.append(("\x00" if inside and row else "\n" if guarded else "") + line)
+        guarded.append((tie if inside and row else "\n" if guarded else "") + line)
         inside = row
     sentences = [s for s in _SENTENCE.split("".join(guarded)) if s.strip()]
     # A sentence is compared together with its neighbours.
     vectors = [_vector(" ".join(sentences[max(0, i - 1) : i + 2])) for i in range(len(sentences))]
     cuts = breakpoints([_distance(a, b) for a, b in zip(vectors, vectors[1:], strict=False)])
-    joined = [" ".join(sentences[a:b]).replace("\x00", "\n").strip() for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(sentences)], strict=True)]
+    joined = [" ".join(sentences[a:b]).replace(tie, "\n").strip() for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(sentences)], strict=True)]
     return clamped([(x, first_heading(x)) for x in joined], CLAMP_SIZE, CLAMP_OVERLAP)
 
 

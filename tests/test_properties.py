@@ -35,6 +35,14 @@ def test_breakpoints_are_few(distances):
     assert len(chunks.breakpoints(distances)) <= max(1, len(distances) // 10 + 1)
 
 
+def test_chunks_lose_no_character_that_could_be_a_mark():
+    text = "# Head\nbelow\n\n" + "a\u200bb \x00 \ue000 c. " * 30 + "\n| x | y |\n| 1 | 2 |\n" + "End\ue001 of it. " * 20
+    for found in (chunks.rule_chunks(text, 5000), chunks.semantic_chunks(text)):
+        whole = "".join(x for x, _ in found)
+        assert all(whole.count(c) == text.count(c) for c in "\u200b\x00\ue000\ue001")
+    assert any("| x | y |\n| 1 | 2 |" in x for x, _ in chunks.semantic_chunks(text))
+
+
 def test_pages_round_trip(spark):
     rows = [(d, p, f"text {d} of page {p}\n\nmore {'x' * p}") for d in range(5) for p in range(1, 4 + d)]
     df = spark.createDataFrame(rows, "document_id int, page_number int, text string")
