@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.operators import visual
+from parchment.operators import structures, visual
 from parchment.plans.tables import table
 
 
@@ -192,7 +192,59 @@ SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'cached_ui_summary' ELSE 'pip
   CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS point FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"""
 
 
+def region_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables, cards and titles of a region for each nation."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey").cast("string")
+    md = F.concat(F.lit("| name | key |\n|---|:---:|\n| "), F.col("n_name"), F.lit(" | "), key, F.lit(" |\nno row"))
+    text = F.concat(F.lit("- a\n\n 1,000 \n"), F.col("n_name"), F.lit("\n* b "), key, F.lit("\nmore\nlast"))
+    rows = n.select("n_nationkey", structures.table(md).alias("x"), structures.card(text).alias("c"), structures.title_candidates(text).alias("titles"))
+    return rows.select("n_nationkey", F.array_join(F.get("x.rows", F.lit(0)), ",").alias("row"), "x.row_count", "x.column_count", F.array_join("c.headings", ",").alias("headings"), F.array_join("c.bullets", ",").alias("bullets"), F.size("c.lines").alias("n_lines"), F.array_join("titles", ",").alias("titles"))
+
+
+REGION_STRUCTURES = """
+SELECT n_nationkey, n_name || ',' || n_nationkey AS "row", 1 AS row_count, 2 AS column_count, '1,000,' || n_name AS headings, 'a,b ' || n_nationkey AS bullets, 6 AS n_lines, '- a,' || n_name || ',* b ' || n_nationkey AS titles FROM nation"""
+
+
+def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plotted values of each order by period, with the callout."""
+    items = _items(spark, sf_dir)
+    rows = items.select("document_id", F.col("number").alias("position"), F.col("l_quantity").cast("int").cast("string").alias("text"), F.when(F.col("number") % 3 == 0, 2).otherwise(1).alias("band_index"), (F.col("l_suppkey") % 50).cast("double").alias("cx"), F.col("number").cast("double").alias("cy"), (F.lit(8.0) + 2 * F.col("number")).alias("height"))
+    periods = items.select("document_id").distinct().select("document_id", F.posexplode(F.array(F.lit("1Q24"), F.lit("2Q24"))).alias("position", "label"))
+    points = structures.line_points(rows, periods, ["document_id"])
+    callout = structures.callouts(rows, periods, ["document_id"]).select("document_id", F.concat_ws("=", "period", "value").alias("callout"))
+    listed = points.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("point", F.concat_ws("=", F.coalesce("period", F.lit("-")), "value").alias("x")))), lambda x: x["x"]), ",").alias("points"))
+    return callout.join(listed, "document_id", "left")
+
+
+CHART_POINTS = f"""
+WITH {_ITEMS}, a AS (SELECT l_orderkey, l_linenumber AS n, l_quantity::INT::VARCHAR AS v, l_suppkey % 50 AS cx FROM i WHERE l_linenumber % 3 <> 0),
+p AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS c FROM a WHERE n <= 3 WINDOW w AS (PARTITION BY l_orderkey ORDER BY cx, n)),
+q AS (SELECT l_orderkey, string_agg(CASE WHEN k = 1 THEN '1Q24' WHEN k = c THEN '2Q24' ELSE '-' END || '=' || v, ',' ORDER BY k) AS points FROM p GROUP BY 1)
+SELECT l_orderkey AS document_id, '2Q24=' || arg_max(v, n) AS callout, any_value(points) AS points FROM a LEFT JOIN q USING (l_orderkey) GROUP BY 1"""
+
+
+def found_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of two words found among the words of each order's line items."""
+    items = _items(spark, sf_dir)
+    box = F.struct((F.col("number") * 10.0).alias("x0"), F.lit(5.0).alias("y0"), (F.col("number") * 10.0 + 8).alias("x1"), F.lit(9.0).alias("y1"))
+    elements = items.select("document_id", "page_number", F.col("number").alias("element_order"), F.concat("l_returnflag", "l_linestatus").alias("text"), box.alias("box"))
+    first = items.where("number IN (1, 3)").groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", F.concat("l_returnflag", "l_linestatus").alias("x")))), lambda x: x["x"]), " ").alias("text"))
+    cells = first.select("document_id", "page_number", F.lit(0).alias("row_index"), F.lit(0).alias("cell_index"), "text")
+    return structures.matched_cells(cells, elements).select("document_id", F.size("matched").alias("n_words"), "x0")
+
+
+FOUND_CELLS = f"""
+WITH {_ITEMS}, w AS (SELECT l_orderkey, l_linenumber AS n, l_returnflag || l_linestatus AS t FROM i),
+c AS (SELECT l_orderkey, count(*) AS k, min(t) FILTER (n = 1) AS a, min(t) FILTER (n = 3) AS b FROM w WHERE n IN (1, 3) GROUP BY 1),
+f AS (SELECT c.l_orderkey, c.k, min(s.n) AS n FROM c JOIN w s ON s.l_orderkey = c.l_orderkey AND s.t = coalesce(c.a, c.b) WHERE c.k = 1 OR EXISTS (SELECT 1 FROM w e WHERE e.l_orderkey = c.l_orderkey AND e.n > s.n AND e.t = c.b) GROUP BY 1, 2)
+SELECT l_orderkey AS document_id, k::INT AS n_words, n * 10.0::DOUBLE AS x0 FROM f"""
+
+
 QUERIES = {
+    "region_structures": region_structures,
+    "chart_points": chart_points,
+    "found_cells": found_cells,
     "image_texts": image_texts,
     "run_boxes": run_boxes,
     "structure_tables": structure_tables,
@@ -204,6 +256,9 @@ QUERIES = {
     "shown_summaries": shown_summaries,
 }
 ORACLES = {
+    "region_structures": REGION_STRUCTURES,
+    "chart_points": CHART_POINTS,
+    "found_cells": FOUND_CELLS,
     "image_texts": IMAGE_TEXTS,
     "run_boxes": RUN_BOXES,
     "structure_tables": STRUCTURE_TABLES,

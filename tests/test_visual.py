@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from parchment.operators import structures
 from parchment.operators import visual as v
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -92,3 +93,18 @@ def test_picture_texts(spark):
         "# Page 1", "", "**----- Start of picture mcid -----**<br>", "one<br>", "two<br>", "**----- End of picture mcid -----**<br>",
         "", "**----- Start of picture ocr -----**<br>", "seen<br>", "**----- End of picture ocr -----**<br>", "end",
     ]
+
+
+def test_cells_are_found_in_the_flattest_place(spark):
+    box = lambda x, y: (float(x), float(y), float(x + 8), float(y + 4))
+    words = [("net", 0, 0), ("sales", 10, 0), ("net", 0, 50), ("x", 12, 50), ("sales", 4, 60), ("it’s", 0, 90), ("net", 0, 120), ("sales", 0, 149)]
+    elements = spark.createDataFrame([(1, 1, i, w, box(x, y)) for i, (w, x, y) in enumerate(words)], f"document_id int, page_number int, element_order int, text string, box {BOX}")
+    cells = spark.createDataFrame([(1, 1, 0, 0, " net  sales "), (1, 1, 0, 1, "it's"), (1, 1, 1, 0, "x sales"), (1, 1, 1, 1, ""), (1, 1, 2, 0, "sales x"), (1, 2, 0, 0, "net")], "document_id int, page_number int, row_index int, cell_index int, text string")
+    got = {(r.page_number, r.row_index, r.cell_index): (r.matched, r.x0, r.y1) for r in structures.matched_cells(cells, elements).collect()}
+    assert got == {(1, 0, 0): ([0, 1], 0.0, 4.0), (1, 0, 1): ([5], 0.0, 94.0), (1, 1, 0): ([3, 4], 4.0, 64.0), (1, 1, 1): ([], None, None), (1, 2, 0): ([], None, None), (2, 0, 0): ([], None, None)}
+
+
+def test_series_columns_prefer_axis_labels(spark):
+    rows = [(1, 0, "2 0 24", ["a", "12", "3%"]), (1, 1, "plain", ["7"]), (2, 0, "plain", ["7", "x"]), (2, 1, None, [])]
+    got = structures.series_columns(spark.createDataFrame(rows, "page int, column_index int, anchor string, texts array<string>"), ["page"]).collect()
+    assert sorted((r.page, r.column_index, tuple(r.values)) for r in got) == [(1, 0, ("12", "3%")), (2, 0, ("7",)), (2, 1, ())]
