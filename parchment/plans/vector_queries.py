@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchment.operators import embedding
+from parchment.operators import embedding, evaluation
 from parchment.plans.tables import conversation_pages, documents, table
 
 QUESTION = "the nation of the thing and what it is for"
@@ -122,7 +122,29 @@ f AS (SELECT conv_id, k, n AS room, 0 AS batch FROM s WHERE k = 1
       UNION ALL SELECT s.conv_id, s.k, CASE WHEN f.room + s.n > 6000 THEN s.n ELSE f.room + s.n END, f.batch + (f.room + s.n > 6000)::INT FROM f JOIN s ON s.conv_id = f.conv_id AND s.k = f.k + 1)
 SELECT conv_id AS document_id, count(*) AS n_texts, (max(batch) + 1)::BIGINT AS n_batches FROM f GROUP BY 1"""
 
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit@1, Hit@3 and MRR of a document for each nation, found by its name and section titles."""
+    n = table(spark, sf_dir, "nation")
+    key, region = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    text = F.concat(F.lit("# "), "n_name", F.lit(" land\n\nThe land of "), "n_name", F.lit(" has key "), key, F.lit(".\n\n# Region "), region, F.lit("\n\nIt lies in region "), region, F.lit(" of the world."))
+    return evaluation.document_quality(n.select(F.col("n_nationkey").alias("document_id"), F.col("n_name").alias("source_name"), text.alias("markdown")))
+
+
+DOCUMENT_QUALITY = f"""
+WITH s AS (SELECT n_nationkey * 10 AS id, n_name || ' land The land of ' || n_name || ' has key ' || n_nationkey AS text FROM nation
+      UNION ALL SELECT n_nationkey * 10 + 1, 'Region ' || n_regionkey || ' It lies in region ' || n_regionkey || ' of the world' FROM nation
+      UNION ALL SELECT 100000 + n_nationkey * 10, n_name || ' ' || n_name || ' land' FROM nation UNION ALL SELECT 100001 + n_nationkey * 10, n_name || ' Region ' || n_regionkey FROM nation), {_hashed("s", 128)},
+n AS (SELECT id, sqrt(sum(w * w)) AS n FROM v GROUP BY id),
+d AS (SELECT q.id AS query_id, a.id // 10 AS doc, a.id AS part, sum(a.w * q.w) / (any_value(na.n) * any_value(nq.n)) AS score
+      FROM v a JOIN v q USING (bucket) JOIN n na ON na.id = a.id JOIN n nq ON nq.id = q.id WHERE q.id >= 100000 AND a.id < 100000 GROUP BY 1, 2, 3),
+b AS (SELECT query_id, doc, round(max(score), 6) AS score FROM d GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM b),
+p AS (SELECT query_id, min(rank) FILTER (doc = (query_id - 100000) // 10) AS rank FROM r GROUP BY 1)
+SELECT count(*) AS n_queries, round(avg(coalesce((rank = 1)::INT, 0)), 4) AS hit_at_1, round(avg(coalesce((rank <= 3)::INT, 0)), 4) AS hit_at_3, round(avg(coalesce(1.0 / rank, 0)), 4) AS mrr FROM p"""
+
+
 QUERIES = {
+    "document_quality": document_quality,
     "semantic_top5": semantic_top5,
     "hashed_vectors": hashed_vectors,
     "embedding_neighbours": embedding_neighbours,
@@ -131,6 +153,7 @@ QUERIES = {
     "embedding_batches": embedding_batches,
 }
 ORACLES = {
+    "document_quality": DOCUMENT_QUALITY,
     "semantic_top5": SEMANTIC_TOP5,
     "hashed_vectors": HASHED_VECTORS,
     "embedding_neighbours": EMBEDDING_NEIGHBOURS,
