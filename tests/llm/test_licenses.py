@@ -30,6 +30,26 @@ def test_query_against_brute_force(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_query_labels_and_scores_against_brute_force(spark):
+    """All phrases by comparing words, without those within longer ones but for the base; each label's
+    doubt is the rest of its certainty."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    phrases = {p: (label, False) for p, label in licenses.PHRASES.items()} | {p: (label, True) for p, label in licenses.BASE_PHRASES.items()}
+    found = 0
+    for r in licenses.op7_licenses(spark, DATA).collect():
+        w = WORD.findall(lower(docs[r.doc_id]))
+        places = [(i, i + len(p.split()), *phrases[p]) for p in phrases for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        longest = [x for x in places if not any(o[0] <= x[0] and x[1] <= o[1] and o[:2] != x[:2] for o in places)]
+        labels = {x[2] for x in longest} | {x[2] for x in places if x[3]}
+        doubt = 1.0
+        for x in labels:
+            doubt *= 1 - (licenses.LIKELY if x in licenses.WEAK_LABELS else licenses.SURE)
+        assert r.labels == ",".join(sorted(labels)) and r.score == pytest.approx(1 - doubt)
+        assert (r.permissive is None) == (not places)
+        found += bool(labels)
+    assert found > 0
+
+
 @pytest.mark.parametrize(
     ("text", "postfix", "permissive", "names"),
     [

@@ -37,6 +37,32 @@ def test_stages_on_the_corpus(spark):
     assert toxicity.THRESHOLD == 0.3 and bpe.vocabulary().endswith(".json")
 
 
+def test_planted_near_copies_of_the_corpus(spark):
+    """Copies with a word in thirty changed: of each group with a similarity of 0.8 one stays, whatever
+    passages and stop words it shares with others; all else stays."""
+    import random
+
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(vocabulary) for _ in range(80)]
+    rows, keep = [], set()
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(150 + i)] + (passage if i % 2 else [])
+        rows.append((1000 * i, " ".join(words)))
+        keep.add(1000 * i)
+        for k in range(1, 1 + i % 4):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), len(copy) // 60):
+                copy[at] = "changed"
+            a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (words, copy))
+            if len(a & b) >= 0.8 * len(a | b):
+                rows.append((1000 * i + k, " ".join(copy)))
+    assert len(rows) > 100
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert {r.doc_id for r in stage(spark, docs, DATA).collect()} == keep
+
+
 def test_run_and_odd_tables(spark, tmp_path):
     rows = [(i, f"plain text number {i} of the corpus\nshared line", "en", f"s{i % 3}", 30) for i in range(40)]
     rows += [(40, None, None, None, None), (None, "", "en", "s1", 0), (None, "plain text number 3 of the corpus\nshared line", "en", "s2", 1), (3, "x " * 30_000, "en", "s1", 60_000)]

@@ -100,6 +100,16 @@ def test_query_base_scores_and_held_out_gain(spark):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def test_query_scores_against_brute_force(spark):
+    """The tree of the query on the smallest tables, context by context."""
+    data = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    brute = Brute([t for d, t in docs.items() if not held(d)], 3)
+    assert len(brute.model) > 100
+    got = {r.doc_id: r.score for r in st.op3_lm_scores(spark, data).collect()}
+    assert {d: got[d] for d in docs} == pytest.approx({d: brute.score(t) for d, t in docs.items()}, abs=1e-4)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert st.score(df).count() == 0

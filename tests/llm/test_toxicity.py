@@ -93,3 +93,50 @@ def test_kept_columns_that_clash_give_way(spark):
         assert found.count() == 2 and len(found.collect()) == 2, name
     row = made["quality"].where("doc_id = 1").first()
     assert (row.n_words, row.labels, row.kept) == (2, 7, False)
+
+
+def recursive_segments(v, at=0):
+    """Scores of all maximal segments: the best one by prefix sums, then those on either side of it."""
+    best, low, where, total = 0.0, 0.0, 0, 0.0
+    span = None
+    for i, x in enumerate(v):
+        total += x
+        if total - low > best + 1e-12:
+            best, span = total - low, (where, i)
+        if total < low:
+            low, where = total, i + 1
+    if span is None:
+        return []
+    return [best, *recursive_segments(v[: span[0]]), *recursive_segments(v[span[1] + 1 :])]
+
+
+def test_query_against_brute_force(spark):
+    """The query's scores from its model, by recursive search and the sum statistic written out."""
+    import math
+
+    data = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    model = toxicity.fit(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    got = toxicity.op4_toxicity(spark, data).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        tokens = toxicity.TOKEN.findall((docs[r.doc_id] or "").lower())
+        found = sorted(recursive_segments([model.token(x) for x in tokens]), reverse=True)
+        best = 0.0
+        for n in range(1, len(found) + 1):
+            total = sum(model.rate * s - math.log(max(model.size * max(len(tokens), 1), 1e-9)) for s in found[:n])
+            if total <= 0:
+                break
+            p = -total + (n - 1) * math.log(max(total, 1.0)) - math.log(math.factorial(n)) - math.log(math.factorial(n - 1)) + n * math.log(2)
+            best = max(best, -p / math.log(10))
+        score = 1 / (1 + math.exp(-max(-30, min(30, model.intercept + model.slope * math.log1p(best)))))
+        assert abs(r.score - score) < 1e-6 and r.predicted == (r.score >= 0.3)
+
+
+def test_held_out_documents(spark):
+    """Of the documents that nothing was learnt from, the toxic ones are found and the others left alone."""
+    data = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    rows = [(labels[r.doc_id], r.predicted) for r in toxicity.op4_toxicity(spark, data).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    toxic, clean = ([p for y, p in rows if y == k] for k in (1, 0))
+    assert sum(toxic) > 0.9 * len(toxic) and sum(clean) < 0.05 * len(clean)
