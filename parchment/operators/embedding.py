@@ -6,6 +6,7 @@ weight. Dense arrays are only made for storage.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,18 +98,26 @@ def over_fetch(k: int) -> int:
 def batches(df: DataFrame, order_col: str, text_col: str, limit: int = 6000, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """df with batch: texts in order, greedily filled up to `limit` characters within each group.
 
-    A fold over the sizes of a group in the JVM; a group is one document's chunks.
+    A group is one document's chunks; only their sizes go to a worker, which reads them once.
     """
+    @F.pandas_udf("array<int>")
+    def filled(sizes: pd.Series) -> pd.Series:
+        def one(own) -> list[int]:
+            numbers, room, number = [], 0, 0
+            for n in own:
+                if room and room + n > limit:
+                    room, number = 0, number + 1
+                room += n
+                numbers.append(number)
+            return numbers
+
+        return sizes.map(one)
+
     sized = df.withColumn("__size", F.greatest(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1)))
     packed = sized.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("__size").alias("n")))).alias("a"))
-    start = F.struct(F.lit(0).alias("room"), F.lit(0).alias("batch"), F.array().cast(f"array<struct<o:{dict(df.dtypes)[order_col]},batch:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["room"] > 0) & (s["room"] + x["n"] > limit)
-        number = s["batch"] + full.cast("int")
-        return F.struct(F.when(full, x["n"]).otherwise(s["room"] + x["n"]).alias("room"), number.alias("batch"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), number.alias("batch")))).alias("out"))
-
-    return packed.select(*group_cols, F.explode(F.aggregate("a", start, step)["out"]).alias("x")).select(*group_cols, F.col("x.o").alias(order_col), "x.batch")
+    packed = packed.withColumn("b", filled(F.transform("a", lambda x: x["n"])))
+    rows = F.transform("a", lambda x, i: F.struct(x["o"].alias(order_col), F.get("b", i).alias("batch")))
+    return packed.select(*group_cols, F.explode(rows).alias("x")).select(*group_cols, "x.*")
 
 
 def hit_rates(ranked: DataFrame, query_col: str = "query_id", target_col: str = "target", doc_col: str = "doc", score_col: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchment.functions.storage import written
 from parchment.operators import embedding, evaluation
 from parchment.plans.tables import conversation_pages, documents, table
 
@@ -51,14 +52,13 @@ SELECT id AS document_id, dims::INT AS dims, count(*) AS n_buckets, round(sqrt(s
 def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest vectors, by cosine, of each label's first vector.
 
-    The queries are one row per label, so they are joined by their label's hash bucket to nobody:
-    every vector meets every query, of which there are as many as labels.
+    Every vector meets every query, of which there is a row for each label; they are written, so that
+    the planner knows their size and broadcasts them only below its threshold.
     """
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     q = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("q"), F.min("vec_id").alias("query_id")).select("query_id", "q")
-    packed = q.agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    pairs = v.join(F.broadcast(packed)).select("vec_id", "e", F.explode("queries").alias("x")).where("vec_id <> x.query_id")
-    scored = pairs.select(F.col("x.query_id").alias("query_id"), "vec_id", F.round(embedding.cosine(F.col("e"), F.col("x.q")), 6).alias("score"))
+    pairs = v.join(written(q, "queries"), F.col("vec_id") != F.col("query_id"))
+    scored = pairs.select("query_id", "vec_id", F.round(embedding.cosine(F.col("e"), F.col("q")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "rank", "vec_id", "score")
 
@@ -95,7 +95,7 @@ def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest class centroid of every embedding: hit rates by label."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("d", "x"))
     centre = v.groupBy("label", "d").agg(F.avg("x").alias("c")).withColumnRenamed("label", "class")
-    dots = v.join(F.broadcast(centre), "d").groupBy("vec_id", "label", "class").agg(F.sum(F.col("x").cast("double") * F.col("c")).alias("dot"), F.sum(F.col("x").cast("double") * F.col("x")).alias("nv"), F.sum(F.col("c") * F.col("c")).alias("nc"))
+    dots = v.join(written(centre, "centres"), "d").groupBy("vec_id", "label", "class").agg(F.sum(F.col("x").cast("double") * F.col("c")).alias("dot"), F.sum(F.col("x").cast("double") * F.col("x")).alias("nv"), F.sum(F.col("c") * F.col("c")).alias("nc"))
     ranked = dots.select(F.col("vec_id").alias("query_id"), F.col("class").alias("doc"), F.col("label").alias("target"), F.round(F.col("dot") / F.sqrt(F.col("nv") * F.col("nc")), 6).alias("score"))
     return embedding.hit_rates(ranked)
 
