@@ -43,8 +43,11 @@ def next_state(state: str, event_type: str) -> str:
 def job_states(events: DataFrame) -> DataFrame:
     """(job_id, state, events): the state of each job (user_id) after its events in order of time.
 
-    A stream keeps one small state per job and reports each job that a batch has changed.
+    A stream keeps one small state per job and reports each job that a batch has changed; a table needs none.
     """
+    if not events.isStreaming:
+        return settled_states(events)
+
     import pandas as pd
 
     schema = "job_id bigint, state string, events bigint"
@@ -54,14 +57,6 @@ def job_states(events: DataFrame) -> DataFrame:
             state = next_state(state, kind)
         return state, n + len(rows)
 
-    if not events.isStreaming:
-
-        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-            state, n = fold(QUEUED, 0, rows)
-            return pd.DataFrame({"job_id": [key[0]], "state": [state], "events": [n]})
-
-        return events.select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandas(run, schema)
-
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now, n = state.get if state.exists else (QUEUED, 0)
         now, n = fold(now, n, pd.concat(list(frames)))
