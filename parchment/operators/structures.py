@@ -101,28 +101,39 @@ def _following(tokens: list[str], boxes: list, start: int, wanted: list[str]) ->
 def matched_cells(cells: DataFrame, elements: DataFrame) -> DataFrame:
     """(document_id, page_number, row_index, cell_index, matched, x0, y0, x1, y1): where a table's cells stand
     among a page's elements (element_order, text, box): their words in order, in the flattest place; without
-    words or a place, matched is empty and the box null. One page is matched in one task."""
+    words or a place, matched is empty and the box null. A page's cells and elements are matched together."""
     key = ["document_id", "page_number"]
     normal = F.regexp_replace(F.regexp_replace(t.text("text"), "[‘’]", "'"), "﻿", "")
     left = cells.select(*key, "row_index", "cell_index", F.filter(F.split(t.collapse(normal), " "), lambda x: x != "").alias("words"))
     right = elements.select(*key, "element_order", t.collapse(normal).alias("token"), "box")
 
-    def run(own, page):
-        import pandas as pd
-
-        page = page.sort_values("element_order")
-        tokens, boxes, orders = page.token.tolist(), page.box.tolist(), page.element_order.tolist()
-        places: dict[str, list[int]] = {}
-        for i, token in enumerate(tokens):
-            places.setdefault(token, []).append(i)
-        rows = []
-        for c in own.itertuples():
-            words = list(c.words)
-            found = [x for s in places.get(words[0], []) if (x := _following(tokens, boxes, s, words))] if words else []
-            best = min(found, key=lambda x: (boxes[x[-1]]["y0"] - boxes[x[0]]["y0"], boxes[x[0]]["y0"], boxes[x[0]]["x0"]), default=[])
-            edges = [f(boxes[i][k] for i in best) if best else None for f, k in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))]
-            rows.append((c.document_id, c.page_number, c.row_index, c.cell_index, [orders[i] for i in best], *edges))
-        return pd.DataFrame(rows, columns=[*key, "row_index", "cell_index", "matched", "x0", "y0", "x1", "y1"])
-
-    ids = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in (*key, "row_index", "cell_index"))
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, f"{ids}, matched array<int>, x0 double, y0 double, x1 double, y1 double")
+    cell = F.struct("row_index", "cell_index", "words")
+    element = F.struct("element_order", "token", *(F.col(f"box.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")))
+    pages = left.groupBy(*key).agg(F.collect_list(cell).alias("cells")).join(right.groupBy(*key).agg(F.sort_array(F.collect_list(element)).alias("elements")), key, "left")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for cells, elements in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                boxes = elements or []
+                tokens = [x["token"] for x in boxes]
+                places: dict[str, list[int]] = {}
+                for i, token in enumerate(tokens):
+                    places.setdefault(token, []).append(i)
+                rows = []
+                for c in cells:
+                    words = c["words"]
+                    found = [x for s in places.get(words[0], []) if (x := _following(tokens, boxes, s, words))] if words else []
+                    best = min(found, key=lambda x: (boxes[x[-1]]["y0"] - boxes[x[0]]["y0"], boxes[x[0]]["y0"], boxes[x[0]]["x0"]), default=[])
+                    edges = {k: f(boxes[i][k] for i in best) if best else None for f, k in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))}
+                    rows.append({"row_index": c["row_index"], "cell_index": c["cell_index"], "matched": [boxes[i]["element_order"] for i in best], **edges})
+                made.append(rows)
+            edge = [(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")]
+            kind = pa.list_(pa.struct([("row_index", pa.int32()), ("cell_index", pa.int32()), ("matched", pa.list_(pa.int32())), *edge]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, kind)], names=[*key, "found"])
+
+    ids = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in key)
+    out = pages.select(*key, "cells", "elements").mapInArrow(run, f"{ids}, found array<struct<row_index:int,cell_index:int,matched:array<int>,x0:double,y0:double,x1:double,y1:double>>")
+    return out.select(*key, F.explode("found").alias("x")).select(*key, "x.*")
