@@ -180,6 +180,14 @@ def grown_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.grown_region(tokens, tokens.groupBy("page").agg(F.min("id").alias("id")), ["page"], 12, 9)
 
 
+_NEAR = "k.page = {0}.page AND k.x0 <= {0}.x1 + 12 AND k.x1 >= {0}.x0 - 12 AND k.y0 <= {0}.y1 + 9 AND k.y1 >= {0}.y0 - 9"
+GROWN_REGIONS = f"""
+WITH RECURSIVE {_T}, g(page, x0, y0, x1, y1) AS (SELECT page, x0, y0, x1, y1 FROM k WHERE (page, id) IN (SELECT page, min(id) FROM k GROUP BY 1)
+  UNION SELECT g.page, min(k.x0), min(k.y0), max(k.x1), max(k.y1) FROM g JOIN k ON {_NEAR.format("g")} GROUP BY g.page, g.x0, g.y0, g.x1, g.y1),
+f AS (SELECT DISTINCT ON (page) * FROM g ORDER BY page, (x1 - x0) + (y1 - y0) DESC)
+SELECT f.page, f.x0, f.y0, f.x1, f.y1, count(*) AS n FROM f JOIN k ON {_NEAR.format("f")} GROUP BY ALL"""
+
+
 QUERIES = {
     "y_clusters": y_clusters,
     "row_tables": row_tables,
@@ -198,6 +206,7 @@ ORACLES = {
     "y_clusters": Y_CLUSTERS,
     "row_tables": ROW_TABLES,
     "tokens_in_boxes": TOKENS_IN_BOXES,
+    "grown_regions": GROWN_REGIONS,
     "anchor_tokens": ANCHOR_TOKENS,
     "box_containers": BOX_CONTAINERS,
     "master_grid": MASTER_GRID,
