@@ -186,7 +186,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
     """`keep` and ids, the token ids of every whole text (null counts as empty: no ids).
 
     With round_trip also `decoded`, the text decoded from the ids. `path` is a tokenizer file that
-    the executors can read. Repeated rows are encoded one by one.
+    the executors can read. Repeated rows are encoded one by one; a kept column named ids or decoded gives
+    way to that made here; texts of any length are encoded whole; of an empty table there are no rows.
     """
 
     def worker():
