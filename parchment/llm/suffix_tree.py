@@ -424,6 +424,8 @@ def _merged(cells: DataFrame, length: int, shared: Broadcast) -> DataFrame:
         made |= {"cell": pa.array(answered, pa.binary()), "own": pa.array([*owned, None], pa.binary())}
         for name, values in zip(("s", "total", "several", "kinds", "next", "asked"), (s, total, several, kinds, following, asked), strict=True):
             made[name] = pa.array([None] * rows + [values], pa.list_(pa.int64()))
+        del cells, code, count, counts, key, pair, answers
+        give_back()
         return pa.table(made)
 
     return cells.groupBy("part").applyInArrow(run, MERGED)
@@ -633,6 +635,8 @@ def _score(encoded: DataFrame, answers: DataFrame, shared: Broadcast, filters: l
                 p[there] = least[state] * p[there] + np.where(kept & (gain > GAIN), share, 0.0)
                 fit[there] = mixed
             made.append([chunk.sizes, known_words, base, np.add.reduceat(np.log10(p), chunk.starts)])
+            del chunk, fit, p, codes
+        give_back()
         columns = [np.concatenate(c) if made else [] for c in (zip(*made, strict=True) if made else [()] * 4)]
         rows = {c: pa.chunked_array([v.flatten() for v in texts.column(c).chunks], texts.schema.field(c).type.value_type) for c in keep}
         return pa.table(rows | {"size": pa.array(columns[0], pa.int64()), "known": pa.array(columns[1], pa.int64()), "base": pa.array(columns[2], pa.float64()), "tree": pa.array(columns[3], pa.float64())})
