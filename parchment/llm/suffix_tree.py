@@ -37,6 +37,8 @@ DISCOUNT = 0.75
 DIVERGENCE, GAIN = 5.0, 0.1
 #: Tokens of a chunk (a longer text is one alone), training tokens of a part.
 CHUNK, PART = 1_500_000, 1_000_000
+#: Tokens, or answers to them, that are worked on at once where each is by itself; it decides only the memory.
+SLICE = 1 << 18
 #: Most bits of a filter. More keys than that make it pass more, never less.
 FILTER = 1 << 26
 SLOTS = (0, 19, 38)
@@ -164,30 +166,43 @@ class Chunk:
         self.sizes = sizes.astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = None if held is None else np.repeat(~np.asarray(held, bool), self.sizes)
+        self.mixed = _mixed(self.words)
+        self.place = np.arange(len(self.at), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.sizes)
 
-    def levels(self, depth: int):
-        """For each length: (places that have a context so long, keys of the contexts there; by place, keys
-        of the contexts' suffixes and of their last words). The key of words is a polynomial of their
-        hashes, so that a context with its follower is also a context one longer."""
+    def keys(self, there, length: int):
+        """Of the contexts so long at some places that have one: their keys, those of their suffixes and of
+        their last words. The key of words is a polynomial of their hashes, so that a context with its
+        follower is also a context one longer."""
         import numpy as np
 
-        own = _mixed(self.words)[self.at]
-        place = (np.arange(len(own)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
-        start = _mixed(np.array([START], np.int64))[0]
-        context, power, step, last = np.zeros(len(own), np.uint64), np.uint64(1), np.uint64(STEP), None
-        for k in range(1, depth + 1):
-            there = np.flatnonzero(place >= k - 1).astype(np.int32)
-            suffix = context.copy()
-            context[there] += np.where(place[there] == k - 1, start, own[there - k]) * power
-            power = np.uint64(int(power) * int(step) % (1 << 64))
-            last = context.copy() if last is None else last
-            yield there, context[there].view(np.int64), suffix.view(np.int64), last.view(np.int64)
+        key, power, last = np.zeros(len(there), np.uint64), 1, None
+        for k in range(1, length + 1):
+            suffix, term = key, self.mixed[self.at[there - k]]
+            if k == length:
+                term[self.place[there] == k - 1] = _mixed(np.array([START], np.int64))[0]
+            key = suffix + term * np.uint64(power)
+            power = power * STEP % (1 << 64)
+            last = key if last is None else last
+        return key.view(np.int64), suffix.view(np.int64), last.view(np.int64)
+
+    def candidates(self, length: int, bits):
+        """(places with a context so long that passes the filter, its key), looked for slice by slice."""
+        import numpy as np
+
+        places, keys = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(self.at), SLICE):
+            there = np.flatnonzero(self.place[i : i + SLICE] >= length - 1).astype(np.int32) + np.int32(i)
+            key = self.keys(there, length)[0]
+            ok = _passes(bits, key)
+            places.append(there[ok])
+            keys.append(key[ok])
+        return np.concatenate(places), np.concatenate(keys)
 
     def word_parts(self, parts: int):
         """(order of the words by part and hash, edges of the parts in it, the parts)."""
         import numpy as np
 
-        part = _mixed(self.words) % np.uint64(parts)
+        part = self.mixed % np.uint64(parts)
         order = np.lexsort((self.words, part))
         edges = _edges(part[order])
         return order, edges, part[order][edges[:-1]].astype(np.int64)
@@ -250,35 +265,58 @@ class Pairs:
         return np.concatenate([[0], np.cumsum((self.part[1:] != self.part[:-1]) | (self.context[1:] != self.context[:-1]))])
 
 
-def _pairs(chunk: Chunk, level: tuple, length: int, bits, known: Known, codes) -> Pairs:
+def _distinct(x):
+    """The distinct values of x, where one of each stands, and of each of x its value's number."""
+    import numpy as np
+
+    order = np.argsort(x)
+    values = x[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])[: len(x)]
+    values, first = values[new], order[new]
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return values, first, number
+
+
+def _pairs(chunk: Chunk, length: int, bits, known: Known, codes) -> Pairs:
     import numpy as np
 
-    there, contexts, suffixes, last = level
-    ok = _passes(bits, contexts)
-    there = there[ok]
-    _, first, context = np.unique(contexts[ok], return_index=True, return_inverse=True)
+    there, contexts = chunk.candidates(length, bits)
+    _, first, context = _distinct(contexts)
+    del contexts
     at = there[first]
-    suffixes, last = suffixes[at], last[at]
-    begins = np.repeat(chunk.starts, chunk.sizes)[at] == at - length + 1
+    _, suffixes, last = chunk.keys(at, length)
+    begins = chunk.place[at] == length - 1
     oldest = np.where(begins, BEGINNING, codes[chunk.at[at - length]])
     order = np.lexsort((oldest, suffixes))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     context, suffixes, oldest, last = rank[context], suffixes[order], oldest[order], last[order]
     if len(known.counts):
         often = np.where((codes >= 0) & (codes < len(known.words)), known.counts[np.clip(codes, 0, len(known.counts) - 1)] >= 2, _passes(known.twice, chunk.words))
     else:
         often = np.zeros(len(codes), bool)
     ordered, word = np.unique(np.where(often, codes, OTHER), return_inverse=True)
-    key, pair = np.unique(context * np.int64(len(ordered)) + word[chunk.at[there]], return_inverse=True)
-    context, code = key // len(ordered), ordered[key % len(ordered)]
-    hot = Places(known.hot).find(last)
-    pieces = np.where(hot >= 0, known.pieces[hot], 1)[context] if len(known.hot) else np.ones(len(context), np.int64)
-    part = last.view(np.uint64)[context] + (code % pieces).view(np.uint64) * np.uint64(STEP)
-    part = ((part ^ (part >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(known.parts)
+    key = context.astype(np.int64)
+    del context
+    key *= len(ordered)
+    key += word.astype(np.int32)[chunk.at[there]]
+    key, _, pair = _distinct(key)
+    context, code = (key // len(ordered)).astype(np.int32), ordered[key % len(ordered)]
+    del key
+    part = last.view(np.uint64)[context]
+    if len(known.hot):
+        hot = Places(known.hot).find(last)
+        pieces = np.where(hot >= 0, known.pieces[hot], 1)[context]
+        part += (code % pieces).view(np.uint64) * np.uint64(STEP)
+        del pieces
+    part ^= part >> np.uint64(32)
+    part *= np.uint64(0xBF58476D1CE4E5B9)
+    part >>= np.uint64(33)
+    part %= np.uint64(known.parts)
     order = np.argsort(part, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
+    back = np.empty(len(order), np.int32)
+    back[order] = np.arange(len(order), dtype=np.int32)
     return Pairs(there, back[pair], context[order], suffixes, oldest, code[order], part[order].astype(np.int64))
 
 
@@ -355,21 +393,22 @@ def _cells(encoded: DataFrame, length: int, shared: Broadcast, bits: Broadcast)
         import pyarrow as pa
 
         known = shared.value
+
+        def sent(number: int, text: bytes, held):
+            chunk = Chunk(text, held)
+            x = _pairs(chunk, length, bits.value, known, known.codes(chunk.words))
+            n = np.bincount(x.pair[chunk.train[x.there]], minlength=len(x.context)).astype(np.uint64)
+            edges, parts, cells = _edges(x.part), [], []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                own = _edges(x.context[a:b])
+                names = x.context[a:b][own[:-1]]
+                parts.append(int(x.part[a]))
+                cells.append(pack(x.suffixes[names], x.oldest[names], np.diff(own).astype(np.uint64), x.code[a:b], n[a:b]))
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array(cells, pa.binary())], names=["part", "chunk", "cell"])
+
         for batch in batches:
             for number, text, held in zip(*(batch.column(i) for i in range(3)), strict=True):
-                chunk = Chunk(text.as_py(), held.values.to_numpy(zero_copy_only=False))
-                for level in chunk.levels(length):
-                    pass
-                x = _pairs(chunk, level, length, bits.value, known, known.codes(chunk.words))
-                n = np.bincount(x.pair[chunk.train[x.there]], minlength=len(x.context)).astype(np.uint64)
-                del level
-                edges, parts, cells = _edges(x.part), [], []
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    own = _edges(x.context[a:b])
-                    names = x.context[a:b][own[:-1]]
-                    parts.append(int(x.part[a]))
-                    cells.append(pack(x.suffixes[names], x.oldest[names], np.diff(own).astype(np.uint64), x.code[a:b], n[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([number.as_py()] * len(parts), pa.int64()), pa.array(cells, pa.binary())], names=["part", "chunk", "cell"])
+                yield sent(number.as_py(), text.as_py(), held.values.to_numpy(zero_copy_only=False))
         give_back()
 
     return encoded.select("chunk", "text", "held").mapInArrow(run, "part bigint, chunk bigint, cell binary")
@@ -390,25 +429,31 @@ def _merged(cells: DataFrame, length: int, shared: Broadcast) -> DataFrame:
 
         known, rows = shared.value, x.num_rows
         cells = [unpack(v.as_py()) for v in x.column("cell")]
-        suffix, oldest, counts, code, count = (np.concatenate([c[i] for c in cells]) for i in range(5))
+        ends, tops = np.cumsum([len(c[4]) for c in cells]), np.cumsum([len(c[0]) for c in cells])
+        suffix, oldest, counts, code, count = (np.concatenate([c.pop(0) for c in cells]) for _ in range(5))
         counts = counts.astype(np.int64)
         power = np.uint64(pow(STEP, length - 1, 1 << 64))
-        s, first, at = np.unique((suffix.view(np.uint64) + _mixed(known.hashes(oldest)) * power).view(np.int64), return_index=True, return_inverse=True)
+        s, first, at = _distinct((suffix.view(np.uint64) + _mixed(known.hashes(oldest)) * power).view(np.int64))
         # Contexts have their order in the cells.
         order = np.lexsort((oldest[first], suffix[first]))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         s, suffix, at = s[order], suffix[first][order], rank[at]
-        w, word = np.unique(code, return_inverse=True)
-        key, pair = np.unique(np.repeat(at, counts) * np.int64(len(w)) + word, return_inverse=True)
+        w, _, word = _distinct(code)
+        del code
+        key = np.repeat(at, counts).astype(np.int64)
+        key *= len(w)
+        key += word
+        key, _, pair = _distinct(key)
         n = np.bincount(pair, count).astype(np.int64)
         context, word = key // len(w), key % len(w)
+        del key, count, counts
         total = np.bincount(context, n, len(s)).astype(np.int64)
         keeps = (n >= 2) & (w[word] != OTHER)
-        answers = np.where(keeps, n, 0)[pair].astype(np.uint64)
-        ends, tops = np.cumsum([len(c[4]) for c in cells]), np.cumsum([len(c[0]) for c in cells])
-        answered = [pack(answers[e - len(c[4]) : e]) for e, c in zip(ends, cells, strict=True)]
-        owned = [pack(at[e - len(c[0]) : e]) for e, c in zip(tops, cells, strict=True)]
+        sums = np.where(keeps, n, 0).astype(np.uint64)
+        answered = [pack(sums[pair[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        owned = [pack(at[a:b].astype(np.int64)) for a, b in zip([0, *tops[:-1]], tops, strict=True)]
+        del pair, at, sums
         context, word, n = context[keeps], word[keeps], n[keeps]
         edges = _edges(context)
         names = context[edges[:-1]]
@@ -424,7 +469,7 @@ def _merged(cells: DataFrame, length: int, shared: Broadcast) -> DataFrame:
         made |= {"cell": pa.array(answered, pa.binary()), "own": pa.array([*owned, None], pa.binary())}
         for name, values in zip(("s", "total", "several", "kinds", "next", "asked"), (s, total, several, kinds, following, asked), strict=True):
             made[name] = pa.array([None] * rows + [values], pa.list_(pa.int64()))
-        del cells, code, count, counts, key, pair, answers
+        del context, word, n, keeps
         give_back()
         return pa.table(made)
 
@@ -603,7 +648,7 @@ def _score(encoded: DataFrame, answers: DataFrame, shared: Broadcast, filters: l
         import numpy as np
         import pyarrow as pa
 
-        made, known = [], shared.value
+        known = shared.value
 
         def answered(level: int, columns: int = 1) -> list:
             """The columns of the chunk's answers of a level, in the order of the parts."""
@@ -611,8 +656,8 @@ def _score(encoded: DataFrame, answers: DataFrame, shared: Broadcast, filters: l
             found = [unpack(c.as_py()) for c in cells]
             return [np.concatenate([np.zeros(0, np.int64), *(f[i].astype(np.int64) for f in found)]) for i in range(columns)]
 
-        for row in texts.column("text"):
-            chunk = Chunk(row.as_py())
+        def scored(text: bytes) -> list:
+            chunk = Chunk(text)
             order, _, _ = chunk.word_parts(known.parts)
             count = np.empty(len(order), np.int64)
             count[order] = answered(0)[0]
@@ -620,22 +665,26 @@ def _score(encoded: DataFrame, answers: DataFrame, shared: Broadcast, filters: l
             fit = ((count + 1.0) / known.unit)[chunk.at]
             base, p = np.add.reduceat(np.log10(fit), chunk.starts), fit.copy()
             codes = known.codes(chunk.words)
-            for length, level in enumerate(chunk.levels(len(filters)), 1):
-                x = _pairs(chunk, level, length, filters[length - 1].value, known, codes)
-                del level
+            for length, bits in enumerate(filters, 1):
+                x = _pairs(chunk, length, bits.value, known, codes)
                 flags, total, several, kinds, most, among = answered(-length, 6)
                 back, least = 1 - (several - DISCOUNT * kinds) / total, 1 - (most - DISCOUNT * among) / total
-                state = np.where(flags > 0, np.cumsum(flags) - 1, -1)[x.entries()][x.pair]
-                stays = state >= 0
-                there, state, n = x.there[stays], state[stays], answered(length)[0][x.pair[stays]].astype(np.float64)
-                del x, stays
-                share, kept, lower = (n - DISCOUNT) / total[state], n >= 2, fit[there]
-                mixed = np.where(kept, share + back[state] * lower, lower)
-                gain = n * np.log(mixed / lower)
-                p[there] = least[state] * p[there] + np.where(kept & (gain > GAIN), share, 0.0)
-                fit[there] = mixed
-            made.append([chunk.sizes, known_words, base, np.add.reduceat(np.log10(p), chunk.starts)])
-            del chunk, fit, p, codes
+                states = np.where(flags > 0, np.cumsum(flags) - 1, -1)[x.entries()]
+                counts = answered(length)[0]
+                for i in range(0, len(x.there), SLICE):
+                    there, pair = x.there[i : i + SLICE], x.pair[i : i + SLICE]
+                    state = states[pair]
+                    stays = state >= 0
+                    there, state, n = there[stays], state[stays], counts[pair[stays]].astype(np.float64)
+                    share, kept, lower = (n - DISCOUNT) / total[state], n >= 2, fit[there]
+                    mixed = np.where(kept, share + back[state] * lower, lower)
+                    gain = n * np.log(mixed / lower)
+                    p[there] = least[state] * p[there] + np.where(kept & (gain > GAIN), share, 0.0)
+                    fit[there] = mixed
+                del x, states, counts
+            return [chunk.sizes, known_words, base, np.add.reduceat(np.log10(p), chunk.starts)]
+
+        made = [scored(row.as_py()) for row in texts.column("text")]
         give_back()
         columns = [np.concatenate(c) if made else [] for c in (zip(*made, strict=True) if made else [()] * 4)]
         rows = {c: pa.chunked_array([v.flatten() for v in texts.column(c).chunks], texts.schema.field(c).type.value_type) for c in keep}

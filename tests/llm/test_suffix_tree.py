@@ -151,3 +151,35 @@ def test_all_frequent_words_are_symbols_against_brute_force(spark):
     got = {r.doc_id: r.score for r in st.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert len(brute.c) > 7000
     assert [got[d] for d, _ in rows[:300]] == pytest.approx([brute.score(t) for _, t in rows[:300]], abs=1e-5)
+
+
+def test_a_worker_needs_few_bytes_a_token():
+    """What a worker allocates beside a chunk while it counts a level, and how the next chunk starts without it."""
+    import gc
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(6)
+    at = np.minimum(rng.zipf(1.3, 300_000), 40_000).astype(np.uint64) - 1
+    words = rng.integers(1 << 40, 1 << 62, 40_000)
+    text = st.pack(np.full(300, 1000, np.uint64), words, at)
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([text] * 3, pa.binary()), pa.array([[False] * 300] * 3)], names=["chunk", "text", "held"])
+    known = st.Known(words[:0], words[:0], np.full(1 << 10, -1), words[:0], words[:0], 20, 10**6)
+    run = st._cells(Frame(), 1, SimpleNamespace(value=known), SimpleNamespace(value=np.full(1 << 10, -1)))
+    gc.collect()
+    tracemalloc.start()
+    try:
+        assert len([len(x) for x in run(iter([rows]))]) == 3
+        assert tracemalloc.get_traced_memory()[1] < 90 * 300_000
+    finally:
+        tracemalloc.stop()
