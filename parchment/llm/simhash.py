@@ -110,6 +110,12 @@ def _search(members, distance: int):
     return found
 
 
+def _shuffled(rows: DataFrame, values: DataFrame, *keys: str) -> DataFrame:
+    """rows with the columns of values, both shuffled. For rows that explode makes: Spark takes them for as few as
+    the rows they are made of, and would broadcast all of them over the driver."""
+    return rows.join(values.hint("merge"), list(keys))
+
+
 def links(distinct: DataFrame, distance: int = MAX_DISTANCE, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(a, b), a > b: edges whose components are those of all pairs of fp within `distance` bits."""
     blocks = blocks or _blocks(distinct.count(), distance)
@@ -134,9 +140,12 @@ def links(distinct: DataFrame, distance: int = MAX_DISTANCE, blocks: int | None
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     several = sizes.where((F.col("n") > 2) & (F.col("n") <= bucket)).select("c", "key")
-    grouped = filed.join(several, ["c", "key"]).groupBy("c", "key").agg(F.collect_list("fp").alias("fps"))
+    grouped = _shuffled(filed, several, "c", "key").groupBy("c", "key").agg(F.collect_list("fp").alias("fps"))
     searched = grouped.select("fps").mapInArrow(search, "a bigint, b bigint")
-    return pairs.unionByName(searched).unionByName(_over_midpoints(filed, sizes.where(F.col("n") > bucket), distance)).distinct()
+    found, large = pairs.unionByName(searched), sizes.where(F.col("n") > bucket)
+    if not large.isEmpty():
+        found = found.unionByName(_over_midpoints(filed, large, distance))
+    return found.distinct()
 
 
 def _over_midpoints(filed: DataFrame, large: DataFrame, distance: int) -> DataFrame:
@@ -151,10 +160,10 @@ def _over_midpoints(filed: DataFrame, large: DataFrame, distance: int) -> DataFr
         flips += [_signed(sum(1 << i for i in c)) for c in combinations(range(64), k)]
     inner = sum(comb(64, k) for k in range(near + 1))
     words = F.posexplode(F.array(*[F.lit(f) for f in flips])).alias("i", "flip")
-    rows = filed.join(large.select("c", "key"), ["c", "key"]).select("fp").distinct()
+    rows = _shuffled(filed, large.select("c", "key"), "c", "key").select("fp").distinct()
     rows = rows.select("fp", words).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"), (F.col("i") < inner).alias("inner"))
     root = rows.where("inner").groupBy("mid").agg(F.min("fp").alias("root"))
-    met = rows.join(root, "mid").where("fp <> root")
+    met = _shuffled(rows, root, "mid").where("fp <> root")
     # Those near a word meet its root within 2 * near <= distance, those far from it within near + far.
     return met.select(F.greatest("fp", "root").alias("a"), F.least("fp", "root").alias("b")).distinct()
 

@@ -187,3 +187,17 @@ def test_fingerprint_links_are_verified_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "signatures", lone)
     root = {r.id: r.root for r in simhash.similar_groups(df).collect()}
     assert near and all(root[a] == root[b] for a, b in near)
+
+
+def test_filed_fingerprints_are_not_broadcast(spark):
+    """Explode multiplies the rows, which Spark's estimate doesn't know: they don't go over the driver."""
+    rng = random.Random(7)
+    distinct = simhash.written(spark.createDataFrame([(simhash._signed(rng.getrandbits(64) >> 20),) for _ in range(300)], "fp bigint"), "distinct")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for options in ({}, {"bucket": 2}):
+            plan = simhash.links(distinct, 4, **options)._jdf.queryExecution().executedPlan().toString()
+            assert "Join" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
