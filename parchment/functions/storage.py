@@ -26,3 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: How much of a table, as it is stored, one task takes.
+PIECE = 8 << 20
+
+
+def pieces(df: DataFrame) -> int:
+    """How many tasks df is dealt to: in proportion to the size that the planner reads from its files, so that
+    a task's memory stays the same as tables grow. Tables of unknown size, which aren't from files, are dealt as
+    Spark does. Not for joins, whose sizes the planner multiplies."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    session = df.sparkSession
+    if size > session.sparkContext.defaultParallelism * PIECE * 10_000:
+        return int(session.conf.get("spark.sql.shuffle.partitions"))
+    return max(session.sparkContext.defaultParallelism, -(-size // PIECE))
