@@ -5,7 +5,7 @@ Orders are pages, their line items what a reader finds on them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchment.operators import structures, visual
@@ -13,7 +13,12 @@ from parchment.plans.tables import table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"]).withColumns({"document_id": F.col("l_orderkey"), "page_number": F.lit(1), "number": F.col("l_linenumber")})
+    """Line items; of those with equal keys the one that stands first in the table's files, as in SQL. Which of
+    them dropDuplicates keeps would hang on the order in which tasks end."""
+    rows = table(spark, sf_dir, "lineitem").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("__file", "__row")
+    first = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__file", "__row")
+    return first.withColumns({"document_id": F.col("l_orderkey"), "page_number": F.lit(1), "number": F.col("l_linenumber")})
 
 
 def _box() -> Column:

@@ -108,3 +108,24 @@ def test_series_columns_prefer_axis_labels(spark):
     rows = [(1, 0, "2 0 24", ["a", "12", "3%"]), (1, 1, "plain", ["7"]), (2, 0, "plain", ["7", "x"]), (2, 1, None, [])]
     got = structures.series_columns(spark.createDataFrame(rows, "page int, column_index int, anchor string, texts array<string>"), ["page"]).collect()
     assert sorted((r.page, r.column_index, tuple(r.values)) for r in got) == [(1, 0, ("12", "3%")), (2, 0, ("7",)), (2, 1, ())]
+
+
+def test_of_items_with_equal_keys_the_first_in_the_files_stays(spark, tmp_path):
+    """Equal keys in several row groups of several files, read by as many tasks."""
+    import duckdb
+
+    from parchment.plans import visual_queries
+
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(6):
+        rows = f"SELECT k % 500 AS l_orderkey, (k % 3 + 1)::INT AS l_linenumber, {i} * 10000 + k AS l_partkey FROM range(3000) r(k)"
+        duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/lineitem.parquet/part-{5 - i}.parquet' (ROW_GROUP_SIZE 2048)")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = visual_queries._items(spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "l_partkey").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want: dict = {}
+    for k in range(3000):
+        want.setdefault((k % 500, k % 3 + 1), 50000 + k)
+    assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want)
