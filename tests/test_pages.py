@@ -1,6 +1,7 @@
 """The page cleaner with blocks of a layout, worked out by hand."""
 
 from parchment.operators import pages as p
+from pyspark.sql import functions as F
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -37,3 +38,36 @@ def test_page_numbers_of_contents_stay(spark):
     rows = [(1, 1, "Contents\nWind\n12\nSun\n40"), (2, 1, "Results\nWind\n12\nSun\n40")]
     got = {(r.document_id, r.line): r.remove for r in p.evaluate_lines(spark.createDataFrame(rows, "document_id int, page_number int, text string")).collect()}
     assert not got[1, "40"] and got[2, "40"]
+
+
+def test_words_end_where_sql_ends_them(spark):
+    """Letters beyond ASCII are no part of a word: a version after one is a version."""
+    import duckdb
+
+    from parchment.functions import text as t
+    from parchment.plans.text_queries import COMPARE_KEYS
+
+    lines = ["äver. 3 für", "über 2024-05-06ö x", "ö12 v 1.2.3", "é7é", "v2 b3 page 4x 10,5", "Kver 3", "no digit  here", "a <num> b", "version 2 and 2024/1/2"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents AS SELECT unnest($1) AS text", [lines])
+    want = sorted(r[0] for r in db.execute(COMPARE_KEYS).fetchall())
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(t.compare_key(F.col("line")).alias("k"))
+    assert sorted(r.k for r in got.collect()) == want
+    classes = spark.createDataFrame([("äver. 3",), ("é2024-05-06",), ("aver 3",)], "line string").select(F.array_join(t.noise_classes(F.col("line")), ",").alias("k"))
+    assert [r.k for r in classes.collect()] == ["version", "date", ""]
+
+
+def test_scores_are_summed_in_the_order_of_lines(spark, tmp_path):
+    """A sum that is half of the last digit rounds as in SQL."""
+    import duckdb
+
+    from parchment.plans import page_queries
+
+    rng = __import__("random").Random(3)
+    docs = [(d, "\n".join(rng.choice(["Copyright notice", "draft", "12", "2024-05-06", "some words", f"line {i} of text"]) for i in range(10 * rng.choice((6, 7, 12, 13)) - 3))) for d in range(400)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'s' AS source").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(f"SELECT document_id, page_number, score FROM ({page_queries.PAGE_LINE_DECISIONS})").fetchall())
+    got = sorted(tuple(r) for r in page_queries.page_line_decisions(spark, str(tmp_path)).select("document_id", "page_number", "score").collect())
+    assert got == want
