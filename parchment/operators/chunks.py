@@ -7,7 +7,10 @@ document at a time. Everything that works on chunk rows stays in the JVM.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from hashlib import sha256
+from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,21 +135,33 @@ def first_heading(text: str) -> str | None:
     return next((m[2] for line in text.splitlines() if (m := _HEADING.fullmatch(line.strip()))), None)
 
 
-def _vector(text: str) -> dict[int, float]:
-    """The hashed embedding of a sentence, as in parchment.operators.embedding."""
-    from hashlib import sha256
+@lru_cache(1 << 17)
+def _bucket(token: str) -> tuple[int, float]:
+    d = sha256(token.encode()).digest()
+    return int.from_bytes(d[:4], "big") % 128, (1 + d[5] / 255) * (-1) ** (d[4] % 2)
 
+
+def _hashes(text: str) -> list[tuple[int, float]]:
+    """The buckets and weights of a sentence's tokens."""
+    return [_bucket(token) for token in re.findall("[0-9A-Za-z가-힣]+", text.lower())]
+
+
+def _vector(hashes: Iterable[tuple[int, float]]) -> dict[int, float]:
+    """The hashed embedding of sentences, as in parchment.operators.embedding."""
     found: dict[int, float] = {}
-    for token in re.findall("[0-9A-Za-z가-힣]+", text.lower()):
-        d = sha256(token.encode()).digest()
-        bucket = int.from_bytes(d[:4], "big") % 128
-        found[bucket] = found.get(bucket, 0.0) + (1 + d[5] / 255) * (-1) ** (d[4] % 2)
+    for bucket, weight in hashes:
+        found[bucket] = found.get(bucket, 0.0) + weight
     return found
 
 
-def _distance(a: dict[int, float], b: dict[int, float]) -> float:
-    norm = (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
-    return 1 - sum(x * b.get(k, 0.0) for k, x in a.items()) / norm if norm else 1.0
+def _distances(vectors: list[dict[int, float]]) -> list[float]:
+    """One less the cosine of each vector and the next."""
+    squares = [sum([x * x for x in v.values()]) for v in vectors]
+    found = []
+    for a, b, p, q in zip(vectors, vectors[1:], squares, squares[1:], strict=False):
+        norm = (p * q) ** 0.5
+        found.append(1 - sum([x * b.get(k, 0.0) for k, x in a.items()]) / norm if norm else 1.0)
+    return found
 
 
 def breakpoints(distances: list[float], percentile: float = PERCENTILE) -> list[int]:
@@ -168,16 +183,17 @@ def semantic_chunks(text: str) -> list[tuple[str, str | None]]:
     if len(text) < SMALL:
         return [(text, first_heading(text))]
     # Between rows of a table stands a character that the text doesn't have, so that no sentence ends there.
-    tie = next(c for c in map(chr, (*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE))) if c not in text)
+    tie = next(c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in text)
     guarded, inside = [], False
     for line in text.splitlines():
         row = bool(_TABLE_ROW.match(line))
         guarded.append((tie if inside and row else "\n" if guarded else "") + line)
         inside = row
     sentences = [s for s in _SENTENCE.split("".join(guarded)) if s.strip()]
-    # A sentence is compared together with its neighbours.
-    vectors = [_vector(" ".join(sentences[max(0, i - 1) : i + 2])) for i in range(len(sentences))]
-    cuts = breakpoints([_distance(a, b) for a, b in zip(vectors, vectors[1:], strict=False)])
+    # A sentence is compared together with its neighbours; its tokens are hashed once.
+    hashes = [_hashes(x) for x in sentences]
+    vectors = [_vector(chain.from_iterable(hashes[max(0, i - 1) : i + 2])) for i in range(len(sentences))]
+    cuts = breakpoints(_distances(vectors))
     joined = [" ".join(sentences[a:b]).replace(tie, "\n").strip() for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(sentences)], strict=True)]
     return clamped([(x, first_heading(x)) for x in joined], CLAMP_SIZE, CLAMP_OVERLAP)
 
@@ -228,7 +244,11 @@ def metrics(chunks: DataFrame) -> DataFrame:
 
 def compare(chunks: DataFrame, left: str = "rule_based", right: str = "semantic") -> DataFrame:
     """What the right strategy has more than the left one, per document."""
-    m = metrics(chunks)
+    return compare_metrics(metrics(chunks), left, right)
+
+
+def compare_metrics(m: DataFrame, left: str = "rule_based", right: str = "semantic") -> DataFrame:
+    """compare() of metrics that are there already."""
     pivot = m.groupBy("document_id").pivot("strategy", [left, right]).agg(F.first("chunk_count").alias("n"), F.first("average_characters").alias("avg"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return pivot.select("document_id", (zero(f"{right}_n") - zero(f"{left}_n")).alias("chunk_count_delta"), F.round(zero(f"{right}_avg") - zero(f"{left}_avg"), 2).alias("average_characters_delta"))

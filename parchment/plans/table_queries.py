@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchment.functions.storage import written
 from parchment.operators import chunks, pages, tables
 from parchment.plans.page_queries import _MARKDOWN, page_markdown
 from parchment.plans.tables import conversation_pages, documents, fixture, table, values
@@ -134,7 +135,9 @@ def chunk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk metrics by strategy and what the semantic chunks differ by."""
     d = documents(spark, sf_dir)
     both = chunks.chunk(d).unionByName(chunks.chunk(d, "semantic"))
-    return chunks.metrics(both).join(chunks.compare(both), "document_id")
+    # Written, so that documents are chunked once for both sides.
+    found = written(chunks.metrics(both), "metrics")
+    return found.join(chunks.compare_metrics(found), "document_id")
 
 
 def stride_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

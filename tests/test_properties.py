@@ -86,3 +86,27 @@ def test_sentences_of_odd_texts_are_those_of_sql(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(db.execute(text_queries.TEXT_SENTENCES).fetchall())
     assert sorted(tuple(r) for r in text_queries.text_sentences(spark, str(tmp_path)).collect()) == want
+
+
+def test_semantic_chunks_hash_a_token_once_and_look_for_a_tie_as_far_as_needed(monkeypatch):
+    """Equal to vectors of windows of joined sentences; little memory is taken for a short text."""
+    import tracemalloc
+
+    from parchment.operators import chunks as c
+
+    text = " ".join(f"Word{i % 7} has {i} tokens of kind {i % 5}." for i in range(300)) + chr(0xE000)
+    sentences = [x for x in c._SENTENCE.split(text) if x.strip()]
+    windows = [c._vector(c._hashes(" ".join(sentences[max(0, i - 1) : i + 2]))) for i in range(len(sentences))]
+    want = c.breakpoints(c._distances(windows))
+    assert len(c.semantic_chunks(text)) == len(want) + 1 > 2
+    short = "A line of text. " * 20
+    tracemalloc.start()
+    c.semantic_chunks(short)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000
+    asked = []
+    monkeypatch.setattr(c, "sha256", lambda x, of=c.sha256: (asked.append(x), of(x))[1])
+    c._bucket.cache_clear()
+    c.semantic_chunks(short)
+    assert sorted(asked) == [b"a", b"line", b"of", b"text"]
