@@ -57,20 +57,66 @@ def unit_vectors(df: DataFrame, id_col: str, text_col: str, dimensions: int = DI
     return ids.join(sums, "id", "left").select("id", dense.alias("embedding"))
 
 
-def cosine_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def cosine_scores(docs: DataFrame, queries: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score) of all documents that share a bucket with a query.
 
     Both are sparse vectors. The query side has at most `dimensions` rows a query and is joined by
-    bucket; dot products and norms come from one aggregation.
+    bucket (and by `on`, columns of documents too); dot products and norms come from one aggregation.
     """
-    norms = docs.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    norms = (docs.dropDuplicates(["id", "bucket"]) if on else docs).groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     q = queries.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("w"))
     q_norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    dots = docs.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
+    dots = docs.join(q, ["bucket", *on]).groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
     scored = dots.join(norms, "id").join(q_norms, "query_id")
     return scored.select("query_id", "id", F.when((F.col("norm") > 0) & (F.col("q_norm") > 0), F.col("dot") / (F.col("norm") * F.col("q_norm"))).otherwise(0.0).alias("score"))
 
 
+#: Fixed values of the search for what is as near as a target: directions, width of a cell in radians, the widest angle
+#: looked up by cells, and what rounding to six decimals takes from a cosine.
+DIRECTIONS, CELL, WIDEST, ROUNDED = 3, 0.004, 0.008, 6e-7
+
+
+def _placed(vectors: DataFrame, dimensions: int) -> DataFrame:
+    """(id, norm, dense, a0, a1, ...): vectors with their angles to fixed directions."""
+    import random
+
+    rng = random.Random(7)
+    w, sums = F.col("weight"), []
+    for _ in range(DIRECTIONS):
+        way = [rng.gauss(0, 1) for _ in range(dimensions)]
+        length = sum(x * x for x in way) ** 0.5
+        sums.append(F.sum(w * F.get(F.array(*[F.lit(x / length) for x in way]), F.col("bucket"))))
+    rows = vectors.groupBy("id").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"), *[x.alias(f"a{i}") for i, x in enumerate(sums)])
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    angle = lambda i: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"a{i}") / F.col("norm"))))
+    return rows.where("norm > 0").select("id", "norm", dense.alias("dense"), *[angle(i).alias(f"a{i}") for i in range(DIRECTIONS)])
+
+
+def rivals(docs: DataFrame, queries: DataFrame, targets: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(query_id, id, score): of cosine_scores at least the rows whose score, to six decimals, is that of the query's target
+    or more; all that a rank of the target needs.
+
+    targets: query_id, id of the vectors that belong to a query's target. Two vectors' angles to a third differ by no
+    more than the angle between them, so what is as near as the target is in the cells around the query's own, and only these
+    meet. Queries whose targets aren't so near meet all vectors.
+    """
+    d, q = _placed(docs, dimensions), _placed(queries, dimensions).withColumnRenamed("id", "query_id")
+    own = cosine_scores(docs.join(targets, "id"), queries, ("query_id",))
+    best = own.groupBy("query_id").agg(F.acos(F.greatest(F.lit(-1.0), F.round(F.max("score"), 6) - ROUNDED)).alias("wide"))
+    asked = q.join(best, "query_id", "left").withColumn("near", F.coalesce(F.col("wide") <= WIDEST, F.lit(False)))
+    cell = lambda x: F.floor(x / CELL).cast("int")
+    cells = [f"c{i}" for i in range(DIRECTIONS)]
+    left = asked.where("near").select("query_id", F.col("norm").alias("q_norm"), F.col("dense").alias("q"), "wide", *[f"a{i}" for i in range(DIRECTIONS)])
+    for i, c in enumerate(cells):
+        low, high = cell(F.col(f"a{i}") - F.col("wide") - 1e-6), cell(F.col(f"a{i}") + F.col("wide") + 1e-6)
+        left = left.withColumn(c, F.explode(F.sequence(low, high)))
+    right = d.select("id", "norm", "dense", *[cell(F.col(f"a{i}")).alias(c) for i, c in enumerate(cells)])
+    dot = F.aggregate(F.zip_with("dense", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    met = left.join(right, cells).select("query_id", "id", (dot / (F.col("norm") * F.col("q_norm"))).alias("score"))
+    known = asked.where("near").select(F.col("query_id").alias("id"))
+    return met.unionByName(cosine_scores(docs, queries.join(known, "id", "left_anti")))
+
+
 def scores_to_one(docs: DataFrame, query: str, dimensions: int = DIMENSIONS, id_col: str = "id") -> DataFrame:
     """(id, score) of one query: dot product and norm from one pass over the sparse vectors."""
     spark = docs.sparkSession

@@ -1,5 +1,7 @@
 """Properties that hold for any text or table."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -110,3 +112,25 @@ def test_semantic_chunks_hash_a_token_once_and_look_for_a_tie_as_far_as_needed(m
     c._bucket.cache_clear()
     c.semantic_chunks(short)
     assert sorted(asked) == [b"a", b"line", b"of", b"text"]
+
+
+def test_rivals_rank_targets_as_all_scores_do(spark):
+    """Copies, near copies and targets that are far off; no pairs of vectors that have little in common."""
+    from pyspark.sql import functions as F
+
+    from parchment.operators import embedding as e
+
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randint(0, 60)}" for _ in range(12))
+    first = [text() for _ in range(120)]
+    rows = [(d, n, first[d] if n == 0 else text()) for d in range(120) for n in range(3)]
+    rows += [(200 + i, 1, first[i]) for i in range(20)] + [(-5, 1, first[7]), (300, 1, " ".join([first[3]] * 40 + ["w0"]))]
+    asked = [(d, first[d]) for d in range(100)] + [(d, text()) for d in range(100, 120)] + [(999, "w1 w2")]
+    docs = e.sparse_vectors(spark.createDataFrame(rows, "d int, n int, t string").withColumn("key", F.struct("d", "n")), "key", "t")
+    queries = e.sparse_vectors(spark.createDataFrame(asked, "q int, t string"), "q", "t")
+    targets = docs.select("id", F.col("id.d").alias("query_id")).distinct()
+    rank = lambda x: e.hit_rates(x.groupBy("query_id", F.col("id.d").alias("doc")).agg(F.round(F.max("score"), 6).alias("score")).withColumn("target", F.col("query_id"))).first()
+    found = e.rivals(docs, queries, targets)
+    assert rank(found) == rank(e.cosine_scores(docs, queries))
+    near = found.where("query_id < 100").count()
+    assert 100 <= near < 2000 < e.cosine_scores(docs, queries.where("id < 100")).count()
