@@ -197,23 +197,35 @@ def citation_table(*texts: Column) -> Column:
     """struct<markdown, n_rows, n_columns>: the table of a citation, from the first of its texts that
     isn't empty. Periods are in the line that names a series table, or in the first one of four cells; rows are
     `label: value | value`, distinct, with a value for each period. Two rows make a table, ten are shown."""
-    whole = F.coalesce(*(F.when(t.quoted(x) != "", t.quoted(x)) for x in map(t.text, texts)), F.lit(""))
-    lines = F.filter(F.transform(F.split(whole, "\n"), lambda x: F.regexp_replace(t.strip(x), r"^\*+\s*", "")), lambda x: t.strip(x) != "")
     named = lambda x: x.contains("|") & F.lower(x).contains("series table")
     plain = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 3) & ~x.contains(":")
     title = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\*+\[series table\]\*+", ""), r"^[ :\-]+|[ :\-]+$", "")
-    heads = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(named(x), _filled_cells(title(x))).when(plain(x), _filled_cells(x)).otherwise(F.array().cast("array<string>")).alias("cells")))
-    head = F.get(F.filter(heads, lambda x: F.size(x["cells"]) > 0), 0)
-    after = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda x: (x["i"] > head["i"]) & x["x"].contains(":") & x["x"].contains("|"))
     label = lambda x: _cell(F.regexp_replace(F.substring_index(x, ":", 1), r"^[* ]+|[* ]+$", ""))
-    made = F.transform(after, lambda x: F.concat(F.array(label(x["x"])), _filled_cells(F.substring(x["x"], F.length(F.substring_index(x["x"], ":", 1)) + 2, F.length(x["x"])))))
-    rows = F.array_distinct(F.filter(made, lambda r: (F.size(r) == F.size(head["cells"]) + 1) & (F.get(r, 0) != "")))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    columns = F.concat(F.array(F.lit("항목")), head["cells"])
-    text = F.concat_ws("\n", line(columns), line(F.transform(columns, lambda _: F.lit("---"))), F.array_join(F.transform(F.slice(rows, 1, MOST_ROWS), line), "\n"))
-    ok = head.isNotNull() & (F.size(rows) >= 2) & whole.contains("|")
-    none = lambda x, y: F.when(F.coalesce(ok, F.lit(False)), x).otherwise(y)
-    return F.struct(none(text, "").alias("markdown"), none(F.size(rows), 0).alias("n_rows"), none(F.size(columns), 0).alias("n_columns"))
+
+    def first_head(lines: Column) -> Column:
+        heads = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(named(x), _filled_cells(title(x))).when(plain(x), _filled_cells(x)).otherwise(F.array().cast("array<string>")).alias("cells")))
+        return F.get(F.filter(heads, lambda x: F.size(x["cells"]) > 0), 0)
+
+    def rows_below(lines: Column, head: Column) -> Column:
+        after = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda x: (x["i"] > head["i"]) & x["x"].contains(":") & x["x"].contains("|"))
+        made = F.transform(after, lambda x: F.concat(F.array(label(x["x"])), _filled_cells(F.substring(x["x"], F.length(F.substring_index(x["x"], ":", 1)) + 2, F.length(x["x"])))))
+        return F.array_distinct(F.filter(made, lambda r: (F.size(r) == F.size(head["cells"]) + 1) & (F.get(r, 0) != "")))
+
+    def shown(whole: Column, head: Column, rows: Column) -> Column:
+        columns = F.concat(F.array(F.lit("항목")), head["cells"])
+        text = F.concat_ws("\n", line(columns), line(F.transform(columns, lambda _: F.lit("---"))), F.array_join(F.transform(F.slice(rows, 1, MOST_ROWS), line), "\n"))
+        ok = head.isNotNull() & (F.size(rows) >= 2) & whole.contains("|")
+        none = lambda x, y: F.when(F.coalesce(ok, F.lit(False)), x).otherwise(y)
+        return F.struct(none(text, "").alias("markdown"), none(F.size(rows), 0).alias("n_rows"), none(F.size(columns), 0).alias("n_columns"))
+
+    def read(whole: Column) -> Column:
+        lines = F.filter(F.transform(F.split(whole, "\n"), lambda x: F.regexp_replace(t.strip(x), r"^\*+\s*", "")), lambda x: t.strip(x) != "")
+        return t.let(lines, lambda own: t.let(first_head(own), lambda head: t.let(rows_below(own, head), lambda rows: shown(whole, head, rows))))
+
+    # Each step is computed once: later ones name it for every line and cell.
+    quotes = [t.let(t.quoted(x), lambda q: F.when(q != "", q)) for x in map(t.text, texts)]
+    return t.let(F.coalesce(*quotes, F.lit("")), read)
 
 
 def _parts(colour: Column) -> tuple[Column, Column, Column]:

@@ -129,3 +129,18 @@ def test_of_items_with_equal_keys_the_first_in_the_files_stays(spark, tmp_path):
     for k in range(3000):
         want.setdefault((k % 500, k % 3 + 1), 50000 + k)
     assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want)
+
+
+def test_citation_tables_take_time_in_proportion_to_their_lines(spark):
+    """The head of a table isn't looked for again for each of its lines."""
+    import time
+
+    def seconds(n: int) -> float:
+        text = "A | B | C | D\n" + "\n".join(f"row {i}: 1 | 2 | 3 | {i}" for i in range(n))
+        df = spark.createDataFrame([(text,)] * 4, "text string").select(v.citation_table(F.col("text")).alias("x"))
+        began = time.perf_counter()
+        assert {r.x.n_rows for r in df.collect()} == {n}
+        return time.perf_counter() - began
+
+    seconds(20)
+    assert seconds(1600) < 16 * max(seconds(200), 0.5)
