@@ -29,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: How much of a table, as it is stored, one task takes.
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 
 def pieces(df: DataFrame) -> int:

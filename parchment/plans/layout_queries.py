@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchment.functions.storage import pieces
 from parchment.operators import layout
 from parchment.plans.tables import fixture, table, values
 
@@ -13,7 +14,9 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, id, x0, y0, x1, y1, cx, cy): boxes 20 wide and 8 high."""
     i = table(spark, sf_dir, "lineitem")
     x, y = (F.col("l_quantity") * 12).cast("double"), (F.col("l_orderkey") % 97 * 7).cast("double")
-    rows = i.groupBy(F.col("l_partkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.max(x).alias("x0"), F.max(y).alias("y0"))
+    placed = i.select(F.col("l_partkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x.alias("x0"), y.alias("y0"))
+    # Dealt by size before they are grouped, as the groups of a task are held in its memory.
+    rows = placed.repartition(pieces(placed), "page").groupBy("page", "id").agg(F.max("x0").alias("x0"), F.max("y0").alias("y0"))
     return rows.select("page", "id", "x0", "y0", (F.col("x0") + 20).alias("x1"), (F.col("y0") + 8).alias("y1"), (F.col("x0") + 10).alias("cx"), (F.col("y0") + 4).alias("cy"))
 
 
